@@ -1,0 +1,30 @@
+"""Make the package importable in executors' Python tasks."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
+
+import eventlens
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package once per application (what ``--py-files`` does)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(eventlens.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="eventlens-"), "eventlens.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.join("eventlens", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
