@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.scalars import generated_id, kind_name, kind_version
 from eventlens.functions.schemas import valid_variant
-from eventlens.model import EVENT_COLUMNS
+from eventlens.model import EVENT, EVENT_COLUMNS
 from eventlens.operators.ordered import ROWS_PER_RANGE, running_totals
 
 
@@ -120,15 +120,13 @@ def normalize(
         for column in ("event_id", "trace_id")
     }
     filled = numbered.withColumns({**ids, "seq": F.col("seq").cast("long")})
-    for column, kind in (("links", None), ("producer_id", "string")):
-        if column not in filled.columns:
-            empty = F.lit(None).cast(kind) if kind else _no_links()
-            filled = filled.withColumn(column, empty)
-    extra = [c for c in filled.columns if c not in EVENT_COLUMNS]
-    return filled.select(*EVENT_COLUMNS, *extra)
+    return as_events(filled)
 
 
-def _no_links() -> Column:
-    from eventlens.model import EVENT
-
-    return F.lit(None).cast(EVENT["links"].dataType)
+def as_events(rows: DataFrame) -> DataFrame:
+    """Add the event columns a frame lacks as nulls; other columns come last."""
+    missing = {
+        f.name: F.lit(None).cast(f.dataType) for f in EVENT if f.name not in rows.columns
+    }
+    extra = [c for c in rows.columns if c not in EVENT_COLUMNS]
+    return rows.withColumns(missing).select(*EVENT_COLUMNS, *extra)

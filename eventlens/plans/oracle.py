@@ -30,7 +30,8 @@ copied AS (
 _VEC = """
 vec AS (
   SELECT ev.event_id, source_id, kind, ts_ms_utc, embedding
-  FROM embeddings JOIN ev ON ev.event_id = lpad(vec_id::VARCHAR, 26, '0'))"""
+  FROM embeddings JOIN ev ON ev.event_id =
+    lpad((vec_id * 7919 % (SELECT count(*) FROM events))::VARCHAR, 26, '0'))"""
 
 _SRC = f"""
 src AS (
@@ -165,6 +166,13 @@ JOIN (SELECT DISTINCT source_id, kind, max_age_ms, max_count, max_bytes, vector_
       FROM lim) l USING (source_id, kind)
 GROUP BY source_id, kind HAVING sum(e) + sum(v) > 0"""
 
+_PARSED = f"""
+SELECT conv_id, turn, o.ord, 'chat.' || role AS source_id, 'message' AS kind,
+       {NOW_MS} + conv_id * 400 + turn AS ts_ms_utc,
+       json_object('text', text)::VARCHAR AS semantic
+FROM conversations JOIN (VALUES (0, 0::BIGINT), (0, 1), (1, 0), (5, 0), (6, 0)) o(shape, ord)
+  ON (conv_id + turn) % 7 = o.shape"""
+
 _CHAT = f"""
 chat AS (
   SELECT conv_id AS batch_id, turn AS ord, 'edge' || conv_id % 3 AS token_name,
@@ -311,7 +319,8 @@ ORACLE: dict[str, str] = {
     "WHERE source_id = 'user.7' AND kind = 'click'",
     "distinct_pairs": f"WITH {_EV} SELECT DISTINCT source_id, kind FROM ev",
     "get_by_id": f"WITH {_EV} SELECT * FROM ev WHERE event_id IN "
-    "(SELECT lpad(vec_id::VARCHAR, 26, '0') FROM embeddings)",
+    "(SELECT lpad((vec_id * 7919 % (SELECT count(*) FROM events))::VARCHAR, 26, '0') "
+    "FROM embeddings)",
     "kind_refs": f"""WITH {_EV}
 SELECT kind, split_part(kind, '@', 1) AS name, nullif(split_part(kind, '@', 2), '') AS version,
        count(*) AS n FROM ev GROUP BY ALL""",
@@ -341,12 +350,7 @@ SELECT source_id, kind, kind_version, description, schema_errors, last_error,
        max_bytes::BIGINT AS max_bytes, vector_max_age_ms::BIGINT AS vector_max_age_ms,
        NULL::VARCHAR AS peer_id
 FROM lim LEFT JOIN err USING (source_id)""",
-    "parse_payloads": f"""
-SELECT conv_id, turn, o.ord, 'chat.' || role AS source_id, 'message' AS kind,
-       {NOW_MS} + conv_id * 400 + turn AS ts_ms_utc,
-       json_object('text', text)::VARCHAR AS semantic
-FROM conversations JOIN (VALUES (0, 0::BIGINT), (0, 1), (1, 0), (5, 0), (6, 0)) o(shape, ord)
-  ON (conv_id + turn) % 7 = o.shape""",
+    "parse_payloads": _PARSED,
     "parse_rejects": """
 SELECT CASE (conv_id + turn) % 7 WHEN 2 THEN 'invalid event' WHEN 3 THEN 'no events in payload'
        ELSE 'invalid JSON' END AS reason, count(*) AS n
@@ -510,6 +514,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_
 SELECT query_id, rank, lpad(doc_id::VARCHAR, 26, '0') AS event_id, lang AS kind,
        round(raw, 5) AS score
 FROM r JOIN documents USING (doc_id) WHERE rank <= 3""",
+    "stream_seq": _SEQ,
+    "stream_normalize": f"""WITH p AS ({_PARSED})
+SELECT source_id, ts_ms_utc, semantic, {NOW_MS}::BIGINT AS ingest_ts_ms_utc,
+       row_number() OVER (PARTITION BY source_id ORDER BY conv_id, turn, ord) AS seq FROM p""",
+    "stream_append": f"""WITH {_EV}
+SELECT event_id, source_id, kind, ts_ms_utc, semantic, ingest_ts_ms_utc,
+       strftime(make_timestamp(ts_ms_utc * 1000), '%Y-%m-%d') AS day FROM ev""",
+    "stream_latest": f"WITH {_EV}, {_LATEST} SELECT * FROM latest",
+    "stream_ring": f"WITH {_EV}, {_RING} SELECT * FROM ring",
+    "stream_embed": f"""WITH {_EV}, {_SRC}
+SELECT e.event_id, e.source_id, e.kind, false AS truncated, 64::INT AS width
+FROM ev e LEFT JOIN src s ON s.source_id = e.source_id
+LEFT JOIN knd k ON k.name = split_part(e.kind, '@', 1)
+WHERE coalesce(s.embed, k.embed, false)""",
+    "stream_forward": f"""WITH {_EV}
+SELECT event_id, 'kitchen.' || source_id AS source_id, kind, ts_ms_utc, semantic FROM ev""",
+    "stream_progress": f"""WITH {_EV}
+SELECT sink, 2::BIGINT AS batches, (SELECT count(*) FROM ev)::BIGINT AS rows,
+       0::BIGINT AS errors FROM (VALUES ('log'), ('forward')) s(sink)""",
     "federated_state": f"""WITH {_EV}, {_LATEST}
 SELECT source_id, kind, event_id, ts_ms_utc, NULL::VARCHAR AS peer_id FROM latest
 UNION ALL

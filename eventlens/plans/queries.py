@@ -24,8 +24,10 @@ from eventlens.operators import (
     window,
 )
 from eventlens.plans import settings as S
+from eventlens.session import run_folder
 from eventlens.sources import events_log, payloads, tables
 from eventlens.sources import vectors as vector_store
+from eventlens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -541,6 +543,140 @@ def search_many(spark, d):
     return _rounded(hits).select("query_id", "rank", "event_id", "kind", "score")
 
 
+# --- streams -----------------------------------------------------------------
+
+
+def _in_two_runs(spark, rows, early, attach) -> str:
+    """Stream a frame in two slices, restarting in between.
+
+    ``attach(stream, folder)`` starts the queries; each run takes what is there
+    and stops, and the second goes on from the first one's checkpoints.
+    """
+    folder = run_folder(spark, "stream")
+    for part in (early, ~early):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        for running in attach(stream, folder):
+            running.awaitTermination()
+    return folder
+
+
+def _stream_events(spark, d, attach) -> str:
+    early = F.col("ingest_ts_ms_utc") < tables.NOW_MS - 15 * tables.DAY_MS
+    return _in_two_runs(spark, tables.events(spark, d), early, attach)
+
+
+@query
+def stream_seq(spark, d):
+    """Numbers per source that go on after a restart, each batch cut into ranges."""
+
+    def attach(stream, folder):
+        sink = jobs.normalize_sink(f"{folder}/log", f"{folder}/counters", rows_per_range=2000)
+        return [jobs.start(stream, sink, f"{folder}/ck")]
+
+    folder = _stream_events(spark, d, attach)
+    return events_log.read_log(spark, f"{folder}/log").select(
+        "event_id", "source_id", "ingest_ts_ms_utc", "seq"
+    )
+
+
+@query
+def stream_normalize(spark, d):
+    """Request bodies parsed on the stream, normalised and stored."""
+    arrival = ["conv_id", "turn", "ord"]
+
+    def attach(stream, folder):
+        parsed = payloads.parse_payloads(stream).events
+        sink = jobs.normalize_sink(
+            f"{folder}/log", f"{folder}/counters", arrival, now_ms=lambda: tables.NOW_MS
+        )
+        return [jobs.start(parsed, sink, f"{folder}/ck")]
+
+    bodies = tables.chat_payloads(spark, d)
+    middle = tables.table(spark, d, "conversations").agg(F.max("conv_id") / 2).scalar()
+    folder = _in_two_runs(spark, bodies, F.col("conv_id") < middle, attach)
+    return events_log.read_log(spark, f"{folder}/log").select(
+        "source_id", "ts_ms_utc", "semantic", "ingest_ts_ms_utc", "seq"
+    )
+
+
+@query
+def stream_append(spark, d):
+    """The log after a stream in which ids repeat later with other content."""
+
+    def attach(stream, folder):
+        copied = tables.with_copies(normalize.as_events(stream))
+        return [jobs.start(copied, jobs.log_sink(f"{folder}/log"), f"{folder}/ck")]
+
+    folder = _stream_events(spark, d, attach)
+    log = events_log.read_log(spark, f"{folder}/log")
+    return log.select(
+        "event_id", *PAIR, "ts_ms_utc", "semantic", "ingest_ts_ms_utc",
+        F.col("day").cast("string").alias("day"),
+    )
+
+
+@query
+def stream_latest(spark, d):
+    def attach(stream, folder):
+        latest = jobs.latest_stream(stream)
+        sink = jobs.changes_sink(f"{folder}/out")
+        return [jobs.start(latest, sink, f"{folder}/ck", "update")]
+
+    return jobs.read_changes(spark, f"{_stream_events(spark, d, attach)}/out")
+
+
+@query
+def stream_ring(spark, d):
+    def attach(stream, folder):
+        ring = jobs.ring_stream(stream, S.RING_EVENTS, S.RING_AGE_MS)
+        sink = jobs.changes_sink(f"{folder}/out")
+        return [jobs.start(ring, sink, f"{folder}/ck", "update")]
+
+    return jobs.read_changes(spark, f"{_stream_events(spark, d, attach)}/out")
+
+
+@query
+def stream_embed(spark, d):
+    model = hash_embedder()
+
+    def attach(stream, folder):
+        sink = jobs.embed_sink(
+            f"{folder}/vectors", tables.sources(spark, d), tables.kinds(spark, d), model
+        )
+        return [jobs.start(stream, sink, f"{folder}/ck")]
+
+    folder = _stream_events(spark, d, attach)
+    stored = vector_store.load_vectors(spark, f"{folder}/vectors", model.model_id, model.dim)
+    return stored.select("event_id", *PAIR, "truncated", F.size("vector").alias("width"))
+
+
+def _fanned_out(spark, d) -> str:
+    def attach(stream, folder):
+        sinks = {
+            "log": jobs.log_sink(f"{folder}/log", f"{folder}/commits"),
+            "forward": jobs.forward_sink(f"{folder}/hub", "kitchen", f"{folder}/commits"),
+        }
+        rows = normalize.as_events(stream)
+        return jobs.fan_out(lambda: rows, sinks, f"{folder}/ck", every=None).values()
+
+    return _stream_events(spark, d, attach)
+
+
+@query
+def stream_forward(spark, d):
+    """What a hub receives while the log is written by a query of its own."""
+    return spark.read.parquet(f"{_fanned_out(spark, d)}/hub").select(
+        "event_id", "source_id", "kind", "ts_ms_utc", "semantic"
+    )
+
+
+@query
+def stream_progress(spark, d):
+    commits = jobs.read_commits(spark, f"{_fanned_out(spark, d)}/commits")
+    return health.sink_progress(commits).select("sink", "batches", "rows", "errors")
+
+
 # --- several sites -----------------------------------------------------------
 
 
