@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _SEPARATORS = re.compile(f"[{WHITE_SPACE}]+")
-_DIGEST_BYTES = 32
+_RECORD = np.dtype([("digest", np.uint8, 32), ("first", "<u4")])
+_GROUP_CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -37,38 +40,58 @@ class Embedder:
     embed_text: Callable[[str], list[float]]
 
 
+def _tokens(text: str) -> list[str]:
+    """Runs of anything but white space.
+
+    Python's own ``split`` differs only in also cutting at four control
+    characters, so it serves whenever a text has none of them.
+    """
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [t for t in _SEPARATORS.split(text) if t]
+    return text.split()
+
+
+def _groups(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """Cut positions into runs of about a million characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= _GROUP_CHARS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _hash_vectors(texts: Sequence[str | None], dim: int) -> np.ndarray:
-    """One row per text; null texts give zero rows.
+    """One normalised row per text; texts without tokens give zero rows.
 
-    Token bytes are accumulated as the integers ``2b - 255``: they are the
-    bytes mapped to [-1, 1] up to a constant that normalising removes, and
-    integer sums do not depend on the order of the tokens.
+    A token's digest bytes go to 32 consecutive positions that start at its byte
+    length.  A byte ``b`` counts as the integer ``2b - 255``: the byte mapped to
+    [-1, 1] up to a constant that normalising removes.  Integer sums are exact in
+    double precision and do not depend on the order of the tokens.  Distinct
+    tokens of a text count once, and recent tokens' hashes are remembered.
     """
-    digests: list[bytes] = []
-    lengths: list[int] = []
-    counts: list[int] = []
-    for text in texts:
-        tokens = [t.encode() for t in _SEPARATORS.split(text or "") if t]
-        counts.append(len(tokens))
-        lengths.extend(map(len, tokens))
-        digests.extend(hashlib.sha256(t).digest() for t in tokens)
-    sums = np.zeros((len(counts), dim), dtype=np.int64)
-    if digests:
-        rows = np.repeat(np.arange(len(counts)), counts)
-        values = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, _DIGEST_BYTES)
-        values = values.astype(np.int64) * 2 - 255
-        offsets = np.asarray(lengths)
-        for i in range(_DIGEST_BYTES):
-            cells = rows * dim + (offsets + i) % dim
-            # bincount weights are doubles: exact for integers below 2**53
-            sums += (
-                np.bincount(cells, weights=values[:, i], minlength=sums.size)
-                .astype(np.int64)
-                .reshape(sums.shape)
-            )
-    norms = np.sqrt((sums * sums).sum(axis=1).astype(np.float64))
+    @lru_cache(maxsize=1 << 18)
+    def record(token: str) -> bytes:
+        raw = token.encode()
+        return hashlib.sha256(raw).digest() + (len(raw) % dim).to_bytes(4, "little")
+
+    out = np.zeros((len(texts), dim))
+    for start, end in _groups(texts):
+        counted = [Counter(_tokens(t)) if t else Counter() for t in texts[start:end]]
+        records = np.frombuffer(b"".join(record(t) for c in counted for t in c), _RECORD)
+        if not len(records):
+            continue
+        counts = np.array([n for c in counted for n in c.values()], np.float64)
+        rows = np.repeat(np.arange(end - start), [len(c) for c in counted])
+        at, cells = rows * dim + records["first"], (end - start) * dim
+        for i, byte in enumerate(np.ascontiguousarray(records["digest"].T)):
+            sums = np.bincount(at, weights=(byte * 2.0 - 255.0) * counts, minlength=cells)
+            out[start:end] += np.roll(sums.reshape(-1, dim), i, axis=1)
+    norms = np.sqrt((out * out).sum(axis=1))
     norms[norms == 0] = 1.0
-    return sums / norms[:, None]
+    return out / norms[:, None]
 
 
 def hash_embedder(dim: int = EMBED_DIM) -> Embedder:

@@ -63,16 +63,21 @@ def generated_id(ts_ms: Column, *parts: Column) -> Column:
 _END = "\\u0000end"  # as written in JSON; marks where a text must stop
 
 
-def strict_variant(json_text: Column) -> Column:
-    """VARIANT of a text that is exactly one JSON value, else null.
+def parse_marked(json_text: Column) -> Column:
+    """First half of strict parsing: the text as first of two list items.
 
-    ``try_parse_json`` stops after the first value and ignores what follows, so
-    the text is parsed as the first of two list items and the second, an end
-    mark, must be found where it belongs.
+    ``try_parse_json`` stops after the first value and ignores what follows.  So
+    the text is put before an end mark, and `strict_value` looks whether the
+    mark is found where it belongs.  Keep the result in a column of its own;
+    used twice in one expression it would be parsed twice.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), json_text, F.lit(f',"{_END}"]')))
-    at_end = F.try_variant_get(listed, "$[1]", "string") == "\0end"
-    return F.when(at_end, F.try_variant_get(listed, "$[0]", "variant"))
+    return F.try_parse_json(F.concat(F.lit("["), json_text, F.lit(f',"{_END}"]')))
+
+
+def strict_value(marked: Column) -> Column:
+    """The value if the text was exactly one JSON value, else null."""
+    at_end = F.try_variant_get(marked, "$[1]", "string") == "\0end"
+    return F.when(at_end, F.try_variant_get(marked, "$[0]", "variant"))
 
 
 def utf8_cut(text: Column, max_bytes: int) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eventlens.functions.scalars import strict_variant
+from eventlens.functions.scalars import parse_marked, strict_value
 
 
 def topic_regex(topic_filter: str) -> str:
@@ -87,32 +87,41 @@ def csv_fields(text: Column) -> Column:
     return F.when(has_quote, F.transform(fields, unquote)).otherwise(F.split(line, ",", -1))
 
 
-def decode_payload(fmt: str, payload: Column) -> Column:
-    """Compact JSON text of a binary payload; null where it cannot be decoded."""
+def payload_text(payload: Column) -> Column:
+    """Text of a payload; null where its bytes are not UTF-8."""
+    text = payload.cast("string")
+    return F.when(F.is_valid_utf8(text), text)
+
+
+def encode_payload(fmt: str, payload: Column) -> Column:
+    """Compact JSON text describing a payload that is not JSON itself."""
     if fmt == "raw":
-        body = F.rtrim(F.base64(payload), F.lit("=\r\n"))
-        body = F.regexp_replace(body, r"[\r\n]", "")
+        body = F.regexp_replace(F.base64(payload), r"[=\r\n]", "")
         return F.to_json(F.struct(body.alias("bytes_base64"), F.lit("raw").alias("encoding")))
     if fmt == "hex":
         return F.to_json(
             F.struct(F.lit("hex").alias("encoding"), F.lower(F.hex(payload)).alias("hex"))
         )
-    text = F.when(F.is_valid_utf8(payload.cast("string")), payload.cast("string"))
-    if fmt == "json":
-        return F.to_json(strict_variant(text))
     if fmt == "csv":
-        fields = csv_fields(text)
+        text = payload_text(payload)
         return F.when(
             text.isNotNull(),
-            F.to_json(F.struct(F.lit("csv").alias("encoding"), fields.alias("fields"))),
+            F.to_json(F.struct(F.lit("csv").alias("encoding"), csv_fields(text).alias("fields"))),
         )
     raise ValueError(f"unknown payload format {fmt!r}")
 
 
-def string_at(json_text: Column, path: str) -> Column:
+def decode_payload(fmt: str, payload: Column) -> Column:
+    """Compact JSON text of a binary payload; null where it cannot be decoded."""
+    if fmt == "json":
+        return F.to_json(strict_value(parse_marked(payload_text(payload))))
+    return encode_payload(fmt, payload)
+
+
+def string_at(node: Column, path: str) -> Column:
     """String found at a simple ``$.a.b[0]`` path; null for any other type."""
     if not re.fullmatch(r"\$(?:\.[A-Za-z_][A-Za-z0-9_]*|\['[^']*'\]|\[\d+\])*", path):
         raise ValueError(f"unsupported path {path!r}: use names and array positions only")
-    node = F.try_variant_get(F.try_parse_json(json_text), path, "variant")
-    is_text = F.schema_of_variant(node) == "STRING"
-    return F.when(is_text, F.try_variant_get(node, "$", "string"))
+    found = F.try_variant_get(node, path, "variant")
+    is_text = F.schema_of_variant(found) == "STRING"
+    return F.when(is_text, F.try_variant_get(node, path, "string"))

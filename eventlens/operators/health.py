@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,39 +54,60 @@ def ingest_counters(
     ``accepted`` are normalised events with token_name and schema_invalid,
     ``audit`` the batch verdicts of admission (reason, token_name,
     soft_oversize), ``routed`` routing outcomes with broker_id and outcome.
-    Each part is one partial aggregation over narrow columns.
+    Each input is read once and reduced to its few label combinations, which
+    are then spread over the counters they belong to.
     """
 
-    def total(df: DataFrame, counter: str) -> DataFrame:
-        return df.agg(F.count("*").alias("n")).select(
-            F.lit(counter).alias("counter"), F.lit(None).cast("string").alias("label"), "n"
+    def entry(counter: str | Column, label: Column, n: Column) -> Column:
+        name = F.lit(counter) if isinstance(counter, str) else counter
+        return F.struct(
+            name.alias("counter"), label.cast("string").alias("label"), n.cast("long").alias("n")
         )
 
-    def by(df: DataFrame, counter: str, label: str) -> DataFrame:
-        return (
-            df.where(F.col(label).isNotNull())
-            .groupBy(F.col(label).alias("label"))
-            .agg(F.count("*").alias("n"))
-            .select(F.lit(counter).alias("counter"), "label", "n")
-        )
+    none, n, zero = F.lit(None), F.col("n"), F.lit(0)
+
+    def labelled(counter: str, label: str, when: Column | None = None) -> Column:
+        there = F.col(label).isNotNull() if when is None else when & F.col(label).isNotNull()
+        return F.when(there, entry(counter, F.col(label), n))
 
-    shed = audit.where(F.col("reason").isNotNull())
+    def spread(groups: DataFrame, *entries: Column) -> DataFrame:
+        return groups.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+
+    shed = F.col("reason").isNotNull()
     parts = [
-        total(accepted, "accepted"),
-        by(accepted, "accepted_by_token", "token_name"),
-        by(shed, "shed_by_reason", "reason"),
-        by(shed, "shed_by_token", "token_name"),
-        audit.agg(F.coalesce(F.sum("soft_oversize"), F.lit(0)).alias("n")).select(
-            F.lit("oversized_soft").alias("counter"), F.lit(None).cast("string").alias("label"), "n"
+        spread(
+            accepted.groupBy("token_name", "schema_invalid").agg(F.count("*").alias("n")),
+            entry("accepted", none, n),
+            labelled("accepted_by_token", "token_name"),
+            entry("schema_invalid", none, F.when(F.col("schema_invalid"), n).otherwise(zero)),
+        ),
+        spread(
+            audit.groupBy("token_name", "reason").agg(
+                F.count("*").alias("n"), F.sum("soft_oversize").alias("soft")
+            ),
+            labelled("shed_by_reason", "reason"),
+            labelled("shed_by_token", "token_name", shed),
+            entry("oversized_soft", none, F.col("soft")),
+        ),
+        # totals are reported even when there is nothing to count
+        spread(
+            accepted.sparkSession.range(1),
+            *[entry(c, none, zero) for c in ("accepted", "schema_invalid", "oversized_soft")],
         ),
-        total(accepted.where("schema_invalid"), "schema_invalid"),
     ]
     if routed is not None:
-        for outcome in ("ok", "unmatched", "decode_failed"):
-            parts.append(
-                by(routed.where(F.col("outcome") == outcome), f"routed_{outcome}", "broker_id")
+        outcome = F.concat(F.lit("routed_"), "outcome")
+        parts.append(
+            spread(
+                routed.groupBy("broker_id", "outcome").agg(F.count("*").alias("n")),
+                entry(outcome, F.col("broker_id"), n),
             )
-    return reduce(DataFrame.unionByName, parts)
+        )
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("counter", "label")
+        .agg(F.sum("n").alias("n"))
+    )
 
 
 def sink_progress(commits: DataFrame) -> DataFrame:

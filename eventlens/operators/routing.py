@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.functions.scalars import parse_marked, strict_value
 from eventlens.functions.topics import (
-    decode_payload,
+    encode_payload,
+    payload_text,
     source_from_topic,
     string_at,
     topic_matches,
@@ -36,40 +38,57 @@ def route_outcomes(messages: DataFrame, subs: Sequence[Subscription]) -> DataFra
 
     The first subscription whose filter matches is final: when its template,
     decoder or kind rule then fails the message is ``decode_failed``, and no
-    later subscription is tried.  Everything is a row-wise expression.
+    later subscription is tried.  Everything is a row-wise expression, in steps
+    that keep what is used more than once in a column.
     """
-    topic, payload = F.col("topic"), F.col("payload")
+    topic, payload, index = F.col("topic"), F.col("payload"), F.col("subscription")
     chosen = F.lit(None).cast("int")
     for i, sub in reversed(list(enumerate(subs))):
         chosen = F.when(topic_matches(topic, sub.topic_filter), i).otherwise(chosen)
-    picked = messages.withColumn("subscription", chosen)
-    index = F.col("subscription")
 
     by_format: dict[str, list[int]] = {}
     for i, sub in enumerate(subs):
         by_format.setdefault(sub.payload, []).append(i)
-    semantic = F.lit(None).cast("string")
+    json_subs = by_format.pop("json", [])
+    parsed = F.when(index.isin(json_subs), parse_marked(payload_text(payload)))
+    semantic = F.to_json(F.col("__value"))
     for fmt, members in by_format.items():
-        semantic = F.when(index.isin(members), decode_payload(fmt, payload)).otherwise(semantic)
+        semantic = F.when(index.isin(members), encode_payload(fmt, payload)).otherwise(semantic)
+
     sources = {
         i: source_from_topic(topic, sub.topic_filter, sub.source_template)
         for i, sub in enumerate(subs)
     }
-    decoded = picked.withColumns({"source_id": _choose(index, sources), "semantic": semantic})
     kinds: dict[int, Column | None] = {}
     for i, sub in enumerate(subs):
         if sub.kind is not None:
             kinds[i] = F.lit(sub.kind)
         elif sub.kind_field is not None:
-            kinds[i] = string_at(F.col("semantic"), sub.kind_field)
-    decoded = decoded.withColumn("kind", _choose(index, kinds))
+            node = F.col("__value") if i in json_subs else F.try_parse_json("semantic")
+            kinds[i] = string_at(node, sub.kind_field)
     complete = (
         F.col("source_id").isNotNull() & F.col("semantic").isNotNull() & F.col("kind").isNotNull()
     )
-    outcome = (
-        F.when(index.isNull(), "unmatched").when(complete, "ok").otherwise("decode_failed")
+    outcome = F.when(index.isNull(), "unmatched").when(complete, "ok").otherwise("decode_failed")
+    return (
+        messages.withColumn("subscription", chosen)
+        .withColumn("__marked", parsed)
+        .withColumn("__value", strict_value(F.col("__marked")))
+        .withColumns({"source_id": _choose(index, sources), "semantic": semantic})
+        .withColumn("kind", _choose(index, kinds))
+        .withColumn("outcome", outcome)
+        .drop("__marked", "__value")
     )
-    return decoded.withColumn("outcome", outcome)
+
+
+def _rows_where(rows: DataFrame, cond: Column, columns: dict[str, Column]) -> DataFrame:
+    """``rows.where(cond).select(columns)``, with nothing computed twice.
+
+    A filter would be pushed below the projections it looks at, and with it a
+    second copy of the decoding; a generator is not.
+    """
+    fields = F.struct(*[col.alias(name) for name, col in columns.items()])
+    return rows.select(F.inline(F.when(cond, F.array(fields))))
 
 
 def route_messages(messages: DataFrame, subs: Sequence[Subscription]) -> Routed:
@@ -79,12 +98,17 @@ def route_messages(messages: DataFrame, subs: Sequence[Subscription]) -> Routed:
     belong to producers' requests.
     """
     outcomes = route_outcomes(messages, subs)
+    ok = F.col("outcome") == "ok"
     extra = [c for c in messages.columns if c not in ("topic", "payload", "ts_ms")]
-    events = outcomes.where("outcome = 'ok'").select(
-        "source_id", "kind", F.col("ts_ms").alias("ts_ms_utc"), "semantic", *extra
-    )
-    failed = outcomes.where("outcome <> 'ok'").select(*messages.columns, "subscription", "outcome")
-    return Routed(events, failed)
+    event = {
+        "source_id": F.col("source_id"),
+        "kind": F.col("kind"),
+        "ts_ms_utc": F.col("ts_ms"),
+        "semantic": F.col("semantic"),
+        **{c: F.col(c) for c in extra},
+    }
+    failed = {c: F.col(c) for c in [*messages.columns, "subscription", "outcome"]}
+    return Routed(_rows_where(outcomes, ok, event), _rows_where(outcomes, ~ok, failed))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

@@ -473,17 +473,17 @@ def select_embed(spark, d):
 @query
 def truncate_text(spark, d):
     text = F.col("text")
-    return tables.table(spark, d, "documents").select(
+    return tables.documents(spark, d).select(
         "doc_id", utf8_cut(text, 2048).alias("text"), was_cut(text, 2048).alias("truncated")
     )
 
 
 @query
 def hash_embed(spark, d):
-    embedded = tables.table(spark, d, "documents").select(
+    embedded = tables.documents(spark, d).select(
         "doc_id", hash_embedder().embed(F.col("text")).alias("vector")
     )
-    return embedded.select("doc_id", F.posexplode("vector").alias("idx", "value")).select(
+    return embedded.select("doc_id", F.posexplode_outer("vector").alias("idx", "value")).select(
         "doc_id", "idx", F.round(F.col("value").cast("double"), 5).alias("value")
     )
 
@@ -493,7 +493,7 @@ def embed_events(spark, d):
     rows = search.embed_events(tables.chat_events(spark, d))
     return rows.select(
         "event_id", "truncated", "model_id",
-        F.posexplode("vector").alias("idx", "value"),
+        F.posexplode_outer("vector").alias("idx", "value"),
     ).select(
         "event_id", "truncated", "model_id", "idx",
         F.round(F.col("value").cast("double"), 5).alias("value"),
@@ -526,7 +526,7 @@ def search_hydrated(spark, d):
 def search_many(spark, d):
     """Documents closest to each benchmark text."""
     indexed = search.embed_events(
-        tables.table(spark, d, "documents").select(
+        tables.documents(spark, d).select(
             F.lpad(F.col("doc_id").cast("string"), 26, "0").alias("event_id"),
             F.concat(F.lit("doc."), "source").alias("source_id"),
             F.col("lang").alias("kind"),

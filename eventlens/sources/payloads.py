@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.functions.scalars import strict_variant
+from eventlens.functions.scalars import parse_marked, strict_value
 from eventlens.model import LINK
 
 # The fields a producer's event may have.
@@ -137,34 +137,41 @@ def parse_payloads(payloads: DataFrame) -> Parsed:
     node = F.col("__node")
     wrapped = F.try_variant_get(node, "$.events", "array<variant>")
     bare = F.try_variant_get(node, "$", "array<variant>")
-    parsed = payloads.withColumn("__node", strict_variant(F.col("body"))).withColumn(
-        "__list",
-        F.when(_has_type(node, "OBJECT") & F.array_contains(_keys(node), "events"), wrapped)
-        .when(_has_type(node, "ARRAY"), bare)
-        .when(_has_type(node, "OBJECT"), F.array(node)),
+    parsed = (
+        payloads.withColumn("__marked", parse_marked(F.col("body")))
+        .withColumn("__node", strict_value(F.col("__marked")))
+        .withColumn(
+            "__list",
+            F.when(_has_type(node, "OBJECT") & F.array_contains(_keys(node), "events"), wrapped)
+            .when(_has_type(node, "ARRAY"), bare)
+            .when(_has_type(node, "OBJECT"), F.array(node)),
+        )
     )
+    items = F.col("__list")
     verdict = parsed.withColumn(
         "reason",
-        F.when(node.isNull() | F.col("__list").isNull(), "invalid JSON")
-        .when(F.size("__list") == 0, "no events in payload")
-        .when(~F.forall("__list", _event_ok), "invalid event"),
+        F.when(node.isNull() | items.isNull(), "invalid JSON")
+        .when(F.size(items) == 0, "no events in payload")
+        .when(~F.forall(items, _event_ok), "invalid event"),
     )
+    # Generators instead of filters: a filter on the verdict would be pushed
+    # down together with a second copy of parsing and checking.
+    fine = F.col("reason").isNull()
     item = F.col("__item")
-    events = (
-        verdict.where("reason is null")
-        .select(*extra, F.posexplode("__list").alias("ord", "__item"))
-        .select(
-            *extra,
-            "ord",
-            F.upper(_text(item, "event_id")).alias("event_id"),
-            _text(item, "source_id").alias("source_id"),
-            _text(item, "kind").alias("kind"),
-            F.try_variant_get(item, "$.ts_ms_utc", "long").alias("ts_ms_utc"),
-            F.to_json(F.try_variant_get(item, "$.semantic", "variant")).alias("semantic"),
-            _links(item).alias("links"),
-            _text(item, "trace_id").alias("trace_id"),
-            _text(item, "producer_id").alias("producer_id"),
-        )
+    events = verdict.select(
+        *extra, F.posexplode(F.when(fine, items)).alias("ord", "__item")
+    ).select(
+        *extra,
+        "ord",
+        F.upper(_text(item, "event_id")).alias("event_id"),
+        _text(item, "source_id").alias("source_id"),
+        _text(item, "kind").alias("kind"),
+        F.try_variant_get(item, "$.ts_ms_utc", "long").alias("ts_ms_utc"),
+        F.to_json(F.try_variant_get(item, "$.semantic", "variant")).alias("semantic"),
+        _links(item).alias("links"),
+        _text(item, "trace_id").alias("trace_id"),
+        _text(item, "producer_id").alias("producer_id"),
     )
-    rejected = verdict.where("reason is not null").select(*extra, "body", "reason")
+    refused = F.struct(*extra, "body", "reason")
+    rejected = verdict.select(F.inline(F.when(~fine, F.array(refused))))
     return Parsed(events, rejected)
