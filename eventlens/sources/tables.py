@@ -31,7 +31,7 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(size.toString()) < cores * SPREAD_BYTES
+    small = size < cores * SPREAD_BYTES
     return rows.repartition(cores) if small else rows
 
 
