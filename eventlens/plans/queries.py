@@ -654,9 +654,10 @@ def stream_embed(spark, d):
 def _fanned_out(spark, d) -> str:
     def attach(stream, folder):
         sinks = {
-            "log": jobs.log_sink(f"{folder}/log", f"{folder}/commits"),
-            "forward": jobs.forward_sink(f"{folder}/hub", "kitchen", f"{folder}/commits"),
+            "log": jobs.log_sink(f"{folder}/log"),
+            "forward": jobs.forward_sink(f"{folder}/hub", "kitchen"),
         }
+        sinks = {n: jobs.logged(n, f"{folder}/commits", s) for n, s in sinks.items()}
         rows = normalize.as_events(stream)
         return jobs.fan_out(lambda: rows, sinks, f"{folder}/ck", every=None).values()
 

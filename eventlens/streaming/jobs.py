@@ -8,6 +8,7 @@ Late events are accepted like any others.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import partial
 
@@ -55,21 +56,40 @@ def start(
     return writer.trigger(**trigger).start()
 
 
-def record_commit(
-    batch: DataFrame, log_path: str | None, sink: str, batch_id: int, **counts: int
-) -> None:
-    """Note a finished micro-batch in the commit log; a replay overwrites its note."""
-    if log_path is None:
-        return
-    spark = batch.sparkSession
-    row = spark.range(1).select(
+def logged(
+    name: str, commits: str, sink: Callable[[DataFrame, int], dict | None]
+) -> Callable[[DataFrame, int], None]:
+    """A sink that notes every micro-batch in the commit log.
+
+    A finished batch has one note, which a replay replaces; a failed attempt
+    leaves a note of its own and fails the query, to be started again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        try:
+            counts = sink(batch, batch_id) or {}
+        except Exception as error:
+            attempt = f"{name}-{batch_id}-failed-{uuid.uuid4().hex}"
+            text = str(error).splitlines()[0][:500] or type(error).__name__
+            _note(batch, f"{commits}/part={attempt}", name, batch_id, error=text)
+            raise
+        _note(batch, f"{commits}/part={name}-{batch_id}", name, batch_id, **counts)
+
+    return write
+
+
+def _note(batch: DataFrame, path: str, sink: str, batch_id: int, **values) -> None:
+    counts = [
+        F.lit(values.get(c, 0)).cast("long").alias(c) for c in ("rows", "truncated", "dropped")
+    ]
+    row = batch.sparkSession.range(1).select(
         F.lit(sink).alias("sink"),
         F.lit(batch_id).cast("long").alias("batch_id"),
-        *[F.lit(counts.get(c, 0)).cast("long").alias(c) for c in ("rows", "truncated", "dropped")],
-        F.lit(counts.get("error")).cast("string").alias("error"),
+        *counts,
+        F.lit(values.get("error")).cast("string").alias("error"),
         F.unix_millis(F.current_timestamp()).alias("ts_ms"),
     )
-    row.coalesce(1).write.mode("overwrite").parquet(f"{log_path}/part={sink}-{batch_id}")
+    row.coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def read_commits(spark: SparkSession, log_path: str) -> DataFrame:
@@ -79,12 +99,12 @@ def read_commits(spark: SparkSession, log_path: str) -> DataFrame:
 # --- log, vectors, hub -------------------------------------------------------
 
 
-def log_sink(path: str, commits: str | None = None) -> Callable[[DataFrame, int], None]:
+def log_sink(path: str) -> Callable[[DataFrame, int], dict]:
     """Append each micro-batch to the event log, first write per id."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> dict:
         append_events(batch, path)
-        record_commit(batch, commits, "log", batch_id, rows=batch.count())
+        return {"rows": batch.count()}
 
     return write
 
@@ -94,37 +114,38 @@ def embed_sink(
     sources: DataFrame,
     kinds: DataFrame,
     embedder: Embedder | None = None,
-    commits: str | None = None,
     max_bytes: int = EMBED_MAX_BYTES,
-) -> Callable[[DataFrame, int], None]:
-    """Embed the selected events of each micro-batch, last write per id."""
+) -> Callable[[DataFrame, int], dict]:
+    """Embed the selected events of each micro-batch, last write per id.
+
+    The batch is embedded once: into a table of its own for this batch, from
+    which the index is then updated.
+    """
     model = embedder or hash_embedder()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> dict:
         chosen = select_for_embedding(batch, sources, kinds)
-        embedded = embed_events(
-            chosen.select(*batch.columns), model, max_bytes
-        ).withColumn("write_no", F.lit(batch_id))
-        append_vectors(embedded, path, model.model_id, model.dim, ["write_no"])
+        staged = f"{path}-staged/batch={batch_id}"
+        embed_events(chosen, model, max_bytes).write.mode("overwrite").parquet(staged)
+        embedded = batch.sparkSession.read.parquet(staged)
+        append_vectors(embedded, path, model.model_id, model.dim, ["ts_ms_utc"])
         seen = embedded.agg(F.count("*"), F.count_if("truncated")).first()
-        record_commit(batch, commits, "embed", batch_id, rows=seen[0], truncated=seen[1])
+        return {"rows": seen[0], "truncated": seen[1]}
 
     return write
 
 
-def forward_sink(
-    path: str, peer_id: str, commits: str | None = None
-) -> Callable[[DataFrame, int], None]:
+def forward_sink(path: str, peer_id: str) -> Callable[[DataFrame, int], dict]:
     """Write each micro-batch for the hub, one directory per batch.
 
     A replayed batch replaces its directory; the hub drops ids it has already.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> dict:
         forward_events(batch, peer_id).write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}"
         )
-        record_commit(batch, commits, "forward", batch_id, rows=batch.count())
+        return {"rows": batch.count()}
 
     return write
 
