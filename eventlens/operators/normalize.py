@@ -103,14 +103,14 @@ def normalize(
     """
     if "schema_invalid" not in events.columns:
         events = events.withColumn("schema_invalid", F.lit(None).cast("boolean"))
-    if book is not None:
-        events = validate_semantic(events, book)
     if now_ms is not None:
         events = events.withColumn("ingest_ts_ms_utc", F.lit(now_ms).cast("long"))
     numbered = running_totals(
         events.drop("seq"), ["source_id"], arrival, {"seq": F.lit(1)},
         rows_per_range=rows_per_range,
     )
+    if book is not None:
+        numbered = validate_semantic(numbered, book)
     identity = [F.col(c) for c in ("source_id", "ts_ms_utc", "semantic", *arrival)]
     ids = {
         column: F.coalesce(

@@ -96,7 +96,10 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums per key in the given order, one column per entry.
 
-    ``sums={"rn": F.lit(1)}`` numbers the rows from one.
+    ``sums={"rn": F.lit(1)}`` numbers the rows from one.  The rows are read for
+    their count, for the cuts, for the totals and for the result, mostly in few
+    columns, and must be the same each time: give this a stored table or a plain
+    projection of one, and do costly work per row afterwards.
     """
     ranged, ranges = with_ranges(df, keys, order, rows_per_range)
     direction = [F.col(c).desc() if newest_first else F.col(c).asc() for c in order]

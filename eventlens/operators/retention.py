@@ -77,7 +77,7 @@ def expired_by_count(
 ) -> DataFrame:
     """All but the newest ``max_count`` rows of each pair."""
     limited = resolve_retention(events, policies).where("max_count is not null")
-    ranked = running_totals(limited, PAIR, ORDER, {"__n": F.lit(1)}, True, rows_per_range)
+    ranked = _with_running(limited, rows_per_range)
     return ranked.where("__n > max_count").select(*events.columns)
 
 
@@ -89,8 +89,7 @@ def expired_by_bytes(
     Length counts the characters of the stored text.
     """
     limited = resolve_retention(events, policies).where("max_bytes is not null")
-    sums = {"__size": F.length("semantic")}
-    summed = running_totals(limited, PAIR, ORDER, sums, True, rows_per_range)
+    summed = _with_running(limited, rows_per_range)
     return summed.where("__size > max_bytes").select(*events.columns)
 
 

@@ -115,13 +115,20 @@ def search(
 def hydrate(hits: DataFrame, events: DataFrame) -> DataFrame:
     """Hits with their full event; hits whose event is gone disappear.
 
-    ``hits`` is a search result, so at most 50 rows are broadcast.
+    ``hits`` is a search result of at most 50 rows.  They are fetched first, so
+    that their ids reach the scan of the log as a filter: ids sort by time, as
+    the log's files do, and most row groups are skipped.
     """
-    found = events.join(
-        F.broadcast(hits.select("event_id", "score", "truncated")), "event_id"
+    found = hits.select("event_id", "score", "truncated").limit(MAX_SEARCH_LIMIT).collect()
+    table = events.sparkSession.createDataFrame(
+        found, "event_id string, score double, truncated boolean"
     )
-    return found.select(*events.columns, "score", "truncated").orderBy(
-        F.col("score").desc(), "event_id"
+    wanted = events.where(F.col("event_id").isin([row["event_id"] for row in found]))
+    return (
+        wanted.join(F.broadcast(table), "event_id")
+        .select(*events.columns, "score", "truncated")
+        .orderBy(F.col("score").desc(), "event_id")
+        .limit(MAX_SEARCH_LIMIT)
     )
 
 

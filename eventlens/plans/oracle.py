@@ -521,6 +521,7 @@ SELECT source_id, ts_ms_utc, semantic, {NOW_MS}::BIGINT AS ingest_ts_ms_utc,
     "stream_append": f"""WITH {_EV}
 SELECT event_id, source_id, kind, ts_ms_utc, semantic, ingest_ts_ms_utc,
        strftime(make_timestamp(ts_ms_utc * 1000), '%Y-%m-%d') AS day FROM ev""",
+    "stream_dedupe": f"WITH {_EV} SELECT event_id, source_id, kind FROM ev",
     "stream_latest": f"WITH {_EV}, {_LATEST} SELECT * FROM latest",
     "stream_ring": f"WITH {_EV}, {_RING} SELECT * FROM ring",
     "stream_embed": f"""WITH {_EV}, {_SRC}

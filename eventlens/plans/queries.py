@@ -616,6 +616,18 @@ def stream_append(spark, d):
     )
 
 
+@query
+def stream_dedupe(spark, d):
+    """Ids of a stream in which many repeat soon after."""
+
+    def attach(stream, folder):
+        once = jobs.dedupe_stream(tables.with_copies(stream)).select("event_id", *PAIR)
+        return [jobs.start(once, jobs.changes_sink(f"{folder}/out"), f"{folder}/ck")]
+
+    folder = _stream_events(spark, d, attach)
+    return spark.read.parquet(f"{folder}/out").select("event_id", *PAIR)
+
+
 @query
 def stream_latest(spark, d):
     def attach(stream, folder):

@@ -203,15 +203,18 @@ def normalize_sink(
 
 
 def dedupe_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop repeated ids that arrive close together.
+    """Drop repeated ids that arrive within ``delay`` of each other.
 
-    Repeats further apart than ``delay`` are caught by the log's append.
+    The watermark follows the time of the micro-batch, not of the event, so that
+    an event however late is never taken for expired.  Repeats further apart are
+    caught by the log's append.
     """
+    use_rocksdb(events.sparkSession)
     return (
-        events.withColumn("__ts", F.timestamp_millis("ts_ms_utc"))
-        .withWatermark("__ts", delay)
+        events.withColumn("__seen", F.current_timestamp())
+        .withWatermark("__seen", delay)
         .dropDuplicatesWithinWatermark(["event_id"])
-        .drop("__ts")
+        .drop("__seen")
     )
 
 
