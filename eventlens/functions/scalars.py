@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The 32 digits of time-sortable ids.
 ID_ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+_CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # what conv() writes in base 32
 _DAY_MS = 86_400_000
 
 
@@ -37,10 +38,6 @@ def day_of(ts_ms: Column) -> Column:
     return F.date_from_unix_date(days.cast("int"))
 
 
-def _digit(value: Column) -> Column:
-    return F.substr(F.lit(ID_ALPHABET), value.cast("int") + 1, F.lit(1))
-
-
 def generated_id(ts_ms: Column, *parts: Column) -> Column:
     """Deterministic time-sortable id: ten digits of time, sixteen of a hash.
 
@@ -48,16 +45,12 @@ def generated_id(ts_ms: Column, *parts: Column) -> Column:
     """
     texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
     digest = F.sha2(F.concat_ws("\x1f", *texts), 256)
-    time_digits = [
-        _digit(F.shiftright(ts_ms, 5 * i).bitwiseAND(F.lit(31))) for i in range(9, -1, -1)
-    ]
-    hash_digits = []
-    for group in range(4):
-        bits = F.conv(F.substring(digest, group * 5 + 1, 5), 16, 10).cast("long")
-        hash_digits += [
-            _digit(F.shiftright(bits, 5 * i).bitwiseAND(F.lit(31))) for i in range(3, -1, -1)
-        ]
-    return F.concat(*time_digits, *hash_digits)
+    plain = F.concat(
+        F.lpad(F.conv(ts_ms.cast("string"), 10, 32), 10, "0"),
+        F.lpad(F.conv(F.substring(digest, 1, 10), 16, 32), 8, "0"),
+        F.lpad(F.conv(F.substring(digest, 11, 10), 16, 32), 8, "0"),
+    )
+    return F.translate(plain, _CONV_DIGITS, ID_ALPHABET)
 
 
 _END = "\\u0000end"  # as written in JSON; marks where a text must stop

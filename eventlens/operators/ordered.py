@@ -1,10 +1,9 @@
 """Exact per-key numbering and running sums that survive a hot key.
 
-A window over ``PARTITION BY key`` puts a whole key into one task.  When the
-data is larger than one task should hold, rows are first cut into ranges of
-roughly equal size over ``(key, order)``, whatever the key distribution: a key
-with a third of all rows simply spans a third of the ranges.  Each range is
-numbered on its own and shifted by the totals of the ranges before it.
+A window over ``PARTITION BY key`` puts a whole key into one task.  That is fine
+for most keys; a key with more rows than one task should hold is cut into ranges
+of its order.  Each range is numbered on its own and shifted by the totals of
+the key's ranges before it.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,17 +22,67 @@ MAX_RANGES = 4096
 _SAMPLES_PER_RANGE = 20
 RANGE = "__range"
 
+Cuts = dict[tuple, list[tuple]]
 
-def _range_starts(df: DataFrame, columns: Sequence[str], ranges: int, rows: int) -> list[tuple]:
-    """At most ``ranges - 1`` cut points from a sample of bounded size.
 
-    Only the narrow sort columns of about ``20 * ranges`` rows reach the
-    driver.  The cuts decide how even the ranges are, never what the result is.
+def _find_cuts(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_range: int
+) -> Cuts:
+    """Where to cut the keys that span several ranges.
+
+    Only the key and order columns of about ``20 * MAX_RANGES`` rows at most
+    reach the driver.  Every so many sampled rows make a cut; a key with fewer
+    than two is at most about two ranges long and stays whole.  The cuts decide
+    how even the work is, never what the result is.
     """
+    rows = df.count()
+    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
+    if ranges < 2:
+        return {}
     fraction = min(1.0, _SAMPLES_PER_RANGE * ranges / rows)
-    sample = sorted(tuple(r) for r in df.select(*columns).sample(fraction, seed=17).collect())
-    step = len(sample) / ranges
-    return sorted({sample[int(i * step)] for i in range(1, ranges) if int(i * step) < len(sample)})
+    drawn = df.select(*keys, *order).sample(fraction, seed=17).collect()
+    sample = sorted(tuple(row) for row in drawn)
+    step = max(1.0, len(sample) / ranges)
+    cuts: dict[tuple, set[tuple]] = {}
+    for i in range(1, ranges):
+        if int(i * step) < len(sample):
+            at = sample[int(i * step)]
+            cuts.setdefault(at[: len(keys)], set()).add(at[len(keys) :])
+    return {key: sorted(at) for key, at in cuts.items() if len(at) > 1}
+
+
+def _groups(columns: Sequence[pa.Array]) -> tuple[list[tuple], np.ndarray]:
+    """Distinct combinations of the columns and each row's combination."""
+    codes = np.zeros(len(columns[0]), np.int64)
+    names: list[list] = []
+    for column in columns:
+        encoded = column.dictionary_encode()
+        names.append(encoded.dictionary.to_pylist())
+        codes = codes * len(names[-1]) + encoded.indices.to_numpy(zero_copy_only=False)
+    distinct, rows = np.unique(codes, return_inverse=True)
+    combinations = []
+    for code in distinct.tolist():
+        parts = []
+        for values in reversed(names):
+            code, at = divmod(code, len(values))
+            parts.append(values[at])
+        combinations.append(tuple(reversed(parts)))
+    return combinations, rows
+
+
+def _count_passed(cuts: list[tuple], order: Sequence[pa.Array]) -> np.ndarray:
+    """How many of a key's cuts each of its rows has passed."""
+    first = [cut[0] for cut in cuts]
+    if pa.types.is_integer(order[0].type):
+        values = order[0].to_numpy(zero_copy_only=False)
+        passed = np.searchsorted(first, values, "right")
+        unclear = np.flatnonzero(np.searchsorted(first, values, "left") != passed)
+    else:
+        passed = np.zeros(len(order[0]), np.int64)
+        unclear = np.arange(len(order[0]))
+    rows = zip(*[column.take(pa.array(unclear)).to_pylist() for column in order])
+    passed[unclear] = [bisect_right(cuts, row) for row in rows]
+    return passed
 
 
 def with_ranges(
@@ -40,24 +90,34 @@ def with_ranges(
     keys: Sequence[str],
     order: Sequence[str],
     rows_per_range: int = ROWS_PER_RANGE,
-) -> tuple[DataFrame, int]:
-    """Add the range number of every row; returns the frame and the range count.
+) -> tuple[DataFrame, Column | None]:
+    """Number each row's range within its key; also a test for cut keys.
 
-    ``keys + order`` must be free of nulls and identify rows.
+    Keys that stay whole have range zero only.  The test is None if all do; it
+    is true for all rows of cut keys and for few others.  ``keys + order`` must
+    be free of nulls and identify rows.
     """
-    columns = [*keys, *order]
-    rows = df.count()
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
-    starts = _range_starts(df, columns, ranges, rows) if ranges > 1 else []
-    if not starts:
-        return df.withColumn(RANGE, F.lit(0)), 1
+    cuts = _find_cuts(df, keys, order, rows_per_range)
+    if not cuts:
+        return df.withColumn(RANGE, F.lit(0)), None
+    maybe_cut = F.col(keys[0]).isin(sorted({key[0] for key in cuts}))
 
     @F.arrow_udf("int")
     def locate(*values: pa.Array) -> pa.Array:
-        rows = zip(*[v.to_pylist() for v in values])
-        return pa.array([bisect_right(starts, row) for row in rows], pa.int32())
-
-    return df.withColumn(RANGE, locate(*columns)), len(starts) + 1
+        out = np.zeros(len(values[0]), np.int32)
+        there = np.flatnonzero(values[0].is_valid().to_numpy(zero_copy_only=False))
+        columns = [column.take(pa.array(there)) for column in values]
+        combinations, rows = _groups(columns[: len(keys)])
+        for i, key in enumerate(combinations):
+            if key in cuts:
+                mine = np.flatnonzero(rows == i)
+                order_values = [c.take(pa.array(mine)) for c in columns[len(keys) :]]
+                out[there[mine]] = _count_passed(cuts[key], order_values)
+        return pa.array(out)
+
+    # Rows of whole keys travel to the function as nulls.
+    numbers = locate(*[F.when(maybe_cut, F.col(c)) for c in (*keys, *order)])
+    return df.withColumn(RANGE, numbers), maybe_cut
 
 
 def range_totals(
@@ -97,27 +157,29 @@ def running_totals(
     """Inclusive running sums per key in the given order, one column per entry.
 
     ``sums={"rn": F.lit(1)}`` numbers the rows from one.  The rows are read for
-    their count, for the cuts, for the totals and for the result, mostly in few
-    columns, and must be the same each time: give this a stored table or a plain
-    projection of one, and do costly work per row afterwards.
+    their count, for the cuts, for the totals of cut keys and for the result,
+    mostly in few columns, and must be the same each time: give this a stored
+    table or a plain projection of one, and do costly work per row afterwards.
     """
-    ranged, ranges = with_ranges(df, keys, order, rows_per_range)
+    ranged, maybe_cut = with_ranges(df, keys, order, rows_per_range)
     direction = [F.col(c).desc() if newest_first else F.col(c).asc() for c in order]
+    groups = [*keys, RANGE] if maybe_cut is not None else keys
     inside = (
-        Window.partitionBy(*keys, *([RANGE] if ranges > 1 else []))
+        Window.partitionBy(*groups)
         .orderBy(*direction)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    if ranges == 1:
+    if maybe_cut is None:
         return ranged.drop(RANGE).select(
             "*", *[F.sum(col).over(inside).alias(name) for name, col in sums.items()]
         )
-    # A later range of some key exists once per cut at most, so this side has
-    # fewer rows than there are ranges and is safe to broadcast.
-    shifts = range_totals(ranged, keys, sums, newest_first).select(
-        *keys, RANGE, *[F.col(f"__before_{name}") for name in sums]
+    # Each later range of a key begins at a cut of that key, so this side has no
+    # more rows than there are cuts and is safe to broadcast.
+    shifts = (
+        range_totals(ranged.where(maybe_cut), keys, sums, newest_first)
+        .select(*keys, RANGE, *[F.col(f"__before_{name}") for name in sums])
+        .where(" or ".join(f"__before_{name} > 0" for name in sums))
     )
-    shifts = shifts.where(" or ".join(f"__before_{name} > 0" for name in sums))
     shifted = ranged.join(F.broadcast(shifts), [*keys, RANGE], "left")
     return shifted.select(
         *df.columns,

@@ -13,7 +13,6 @@ from eventlens.operators.ordered import (
     RANGE,
     ROWS_PER_RANGE,
     range_totals,
-    running_totals,
     with_ranges,
 )
 
@@ -152,9 +151,15 @@ def _rank_only_the_undecided(
 
 def _with_running(limited: DataFrame, rows_per_range: int) -> DataFrame:
     sums = {"__n": F.lit(1), "__size": F.length("semantic")}
-    ranged, ranges = with_ranges(limited, PAIR, ORDER, rows_per_range)
-    if ranges == 1:
-        return running_totals(limited, PAIR, ORDER, sums, True, rows_per_range)
+    ranged, maybe_cut = with_ranges(limited, PAIR, ORDER, rows_per_range)
+    if maybe_cut is None:
+        newest_first = (
+            Window.partitionBy(*PAIR)
+            .orderBy(*[F.col(c).desc() for c in ORDER])
+            .rowsBetween(Window.unboundedPreceding, 0)
+        )
+        plain = [F.sum(col).over(newest_first).alias(name) for name, col in sums.items()]
+        return ranged.drop(RANGE).select("*", *plain)
     limits = {"__n": "max_count", "__size": "max_bytes"}
     return _rank_only_the_undecided(ranged, sums, limits)
 
