@@ -127,9 +127,18 @@ lim AS (
 
 _EV_LIMITS = _EV + "," + _LIMITS.format(rows="ev")
 
-_SWEEP = (
-    _EV_LIMITS
+_HOT_LIMITS = (
+    _EV
     + f""",
+lim AS (
+  SELECT * REPLACE ('user.all' AS source_id),
+    CASE WHEN kind LIKE 'click%' THEN {25 * DAY_MS} ELSE {10 * DAY_MS} END AS max_age_ms,
+    CASE WHEN kind LIKE 'click%' THEN 300 ELSE 400 END AS max_count,
+    CASE WHEN kind LIKE 'view%' THEN 3000 ELSE 5000 END AS max_bytes
+  FROM ev)"""
+)
+
+_DROPS = f""",
 aged AS (SELECT *, ts_ms_utc < {NOW_MS} - max_age_ms AS by_age FROM lim),
 ranked AS (
   SELECT *, row_number() OVER w AS rn FROM aged WHERE NOT by_age
@@ -144,7 +153,8 @@ drops AS (
   UNION ALL SELECT event_id, source_id, kind, 'count' FROM counted WHERE by_count
   UNION ALL SELECT event_id, source_id, kind, 'bytes' FROM sized WHERE size > max_bytes),
 kept AS (SELECT * FROM ev WHERE event_id NOT IN (SELECT event_id FROM drops))"""
-)
+
+_SWEEP = _EV_LIMITS + _DROPS
 
 _VEC_DROPS = (
     _VEC
@@ -290,8 +300,6 @@ SELECT event_id, source_id, ingest_ts_ms_utc,
        row_number() OVER (PARTITION BY source_id ORDER BY ingest_ts_ms_utc, event_id) AS seq
 FROM ev"""
 
-_REASONS = f"WITH {_SWEEP} SELECT * FROM drops"
-
 _ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 
@@ -389,7 +397,9 @@ SELECT source_id, count(*) AS events, sum(size)::BIGINT AS estimated_bytes,
        count(*) FILTER (size > {S.HARD_CAP}) AS over_hard
 FROM chat GROUP BY source_id""",
     "normalize_seq": _SEQ,
-    "normalize_seq_ranges": _SEQ,
+    "normalize_seq_ranges": f"""WITH {_EV}
+SELECT event_id, 'user.all' AS source_id, ingest_ts_ms_utc,
+       row_number() OVER (ORDER BY ingest_ts_ms_utc, event_id) AS seq FROM ev""",
     "generated_ids": f"""WITH {_CHAT}
 SELECT batch_id, ord, source_id,
        row_number() OVER (PARTITION BY source_id ORDER BY batch_id, ord) AS seq,
@@ -451,8 +461,8 @@ SELECT event_id, source_id, kind, ts_ms_utc, semantic, ingest_ts_ms_utc FROM (
   SELECT *, sum(length(semantic)) OVER (PARTITION BY source_id, kind
            ORDER BY ts_ms_utc DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS size FROM lim)
 WHERE size > max_bytes""",
-    "sweep_reasons": _REASONS,
-    "sweep_reasons_ranges": _REASONS,
+    "sweep_reasons": f"WITH {_SWEEP} SELECT * FROM drops",
+    "sweep_reasons_ranges": f"WITH {_HOT_LIMITS}{_DROPS} SELECT * FROM drops",
     "sweep_survivors": f"WITH {_SWEEP} SELECT source_id, kind, count(*) AS n FROM kept "
     "GROUP BY source_id, kind",
     "sweep_report": f"""WITH {_SWEEP}, {_VEC_DROPS},

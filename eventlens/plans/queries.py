@@ -290,9 +290,10 @@ def normalize_seq(spark, d):
 
 @query
 def normalize_seq_ranges(spark, d):
-    """The same numbering, cut into many ranges as for data beyond one task."""
-    rows = normalize.normalize(tables.events(spark, d), ARRIVAL, rows_per_range=1000)
-    return rows.select("event_id", "source_id", "ingest_ts_ms_utc", "seq")
+    """One source has all events: its numbering is cut into many ranges."""
+    rows = tables.events(spark, d).withColumn("source_id", F.lit("user.all"))
+    numbered = normalize.normalize(rows, ARRIVAL, rows_per_range=1000)
+    return numbered.select("event_id", "source_id", "ingest_ts_ms_utc", "seq")
 
 
 @query
@@ -403,20 +404,18 @@ def sweep_bytes(spark, d):
     return retention.expired_by_bytes(tables.events(spark, d), S.POLICIES)
 
 
-def _dropped(spark, d, **more):
-    rows = retention.drop_reasons(tables.events(spark, d), S.POLICIES, tables.NOW_MS, **more)
-    return rows.select("event_id", *PAIR, "drop_reason")
-
-
 @query
 def sweep_reasons(spark, d):
-    return _dropped(spark, d)
+    drops = retention.drop_reasons(tables.events(spark, d), S.POLICIES, tables.NOW_MS)
+    return drops.select("event_id", *PAIR, "drop_reason")
 
 
 @query
 def sweep_reasons_ranges(spark, d):
-    """The same sweep cut into many ranges, ranking only the undecided ones."""
-    return _dropped(spark, d, rows_per_range=500)
+    """One source has all events: only ranges in which a limit falls are ranked."""
+    rows = tables.events(spark, d).withColumn("source_id", F.lit("user.all"))
+    drops = retention.drop_reasons(rows, S.HOT_POLICIES, tables.NOW_MS, rows_per_range=500)
+    return drops.select("event_id", *PAIR, "drop_reason")
 
 
 @query
@@ -571,7 +570,7 @@ def stream_seq(spark, d):
     """Numbers per source that go on after a restart, each batch cut into ranges."""
 
     def attach(stream, folder):
-        sink = jobs.normalize_sink(f"{folder}/log", f"{folder}/counters", rows_per_range=2000)
+        sink = jobs.normalize_sink(f"{folder}/log", f"{folder}/counters", rows_per_range=20)
         return [jobs.start(stream, sink, f"{folder}/ck")]
 
     folder = _stream_events(spark, d, attach)

@@ -25,6 +25,11 @@ POLICIES = [
     RetentionPolicy(max_age_ms=25 * DAY_MS, max_bytes=70, vector_max_age_ms=15 * DAY_MS),
     RetentionPolicy(match_kind="error", vector_max_age_ms=5 * DAY_MS),
 ]
+HOT_POLICIES = [
+    RetentionPolicy(match_kind="click", max_age_ms=25 * DAY_MS, max_count=300),
+    RetentionPolicy(match_kind="view", max_bytes=3000),
+    RetentionPolicy(max_age_ms=10 * DAY_MS, max_count=400, max_bytes=5000),
+]
 SUBSCRIPTIONS = [
     Subscription("site/click/user/+", "click.{+1}", kind="click"),
     Subscription("site/view/#", "view/{#}", kind="view", payload="csv"),

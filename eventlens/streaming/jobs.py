@@ -243,7 +243,7 @@ def ring_stream(
     use_rocksdb(events.sparkSession)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
     processor = RingProcessor(events.columns, schema, arrival, max_events, max_age_ms)
-    return events.groupBy(*PAIR).transformWithStateInPandas(processor, schema, "update", "none")
+    return events.groupBy(*PAIR).transformWithState(processor, schema, "update", "none")
 
 
 def changes_sink(path: str) -> Callable[[DataFrame, int], None]:

@@ -1,14 +1,10 @@
-"""Keyed state for `transformWithStateInPandas`.
-
-A processor sees one key's rows of one micro-batch as an iterator of frames and
-keeps no more of them than its state holds.
-"""
+"""Keyed state for `transformWithState`."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import (
     StatefulProcessor,
     StatefulProcessorHandle,
@@ -18,35 +14,44 @@ from pyspark.sql.streaming.stateful_processor import (
 class RingProcessor(StatefulProcessor):
     """Keep the newest events of a pair and emit them after each change.
 
-    Memory holds at most ``max_events`` rows plus one incoming frame.
+    Memory holds at most twice ``max_events`` rows of one pair.
     """
 
     def __init__(
         self, columns: Sequence[str], schema: str, arrival: Sequence[str],
         max_events: int, max_age_ms: int,
     ) -> None:
-        self.columns = list(columns)
         self.schema = schema
-        self.arrival = list(arrival)
+        self.row = Row(*columns)
+        self.arrival = [list(columns).index(c) for c in arrival]
+        self.pushed = [list(columns).index(c) for c in ("ingest_ts_ms_utc", "ts_ms_utc")]
         self.max_events = max_events
         self.max_age_ms = max_age_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ring = handle.getListState("ring", self.schema)
 
-    def _newest(self, frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values(self.arrival).tail(self.max_events)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(self.ring.get()), columns=self.columns)
-        for frame in rows:
-            added = frame[self.columns]
-            kept = self._newest(pd.concat([kept, added]) if len(kept) else added)
-        pushed = kept["ingest_ts_ms_utc"].fillna(kept["ts_ms_utc"])
-        young = pushed >= pushed.iloc[-1] - self.max_age_ms
-        kept = kept[young.cummax()]
-        self.ring.put([tuple(row) for row in kept.itertuples(index=False)])
-        yield kept
+    def _newest(self, kept: list[tuple]) -> list[tuple]:
+        kept.sort(key=lambda event: [event[i] for i in self.arrival])
+        return kept[-self.max_events :]
+
+    def _push_time(self, event: tuple) -> int:
+        ingest, ts = (event[i] for i in self.pushed)
+        return ts if ingest is None else ingest
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        kept = [tuple(event) for event in self.ring.get()]
+        for event in rows:
+            kept.append(tuple(event))
+            if len(kept) > 2 * self.max_events:
+                kept = self._newest(kept)
+        kept = self._newest(kept)
+        cutoff = self._push_time(kept[-1]) - self.max_age_ms
+        young = next(i for i, event in enumerate(kept) if self._push_time(event) >= cutoff)
+        kept = kept[young:]
+        self.ring.put(kept)
+        for event in kept:
+            yield self.row(*event)
 
     def close(self) -> None:
         pass
