@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventlens.functions.variants import is_type, keys, member
+
 _NOTES = {"title", "description", "$schema", "$id", "default", "examples", "$comment"}
 _NUMERIC = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum")
 _KNOWN = _NOTES | set(_NUMERIC) | {
@@ -33,30 +35,15 @@ def _holds(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _type_of(node: Column) -> Column:
-    """Variant type name up to the first bracket: OBJECT, ARRAY, BIGINT, ..."""
-    return F.regexp_extract(F.schema_of_variant(node), "^[A-Z]+", 0)
-
-
-def _is_number(node: Column) -> Column:
-    return _holds(_type_of(node).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"))
-
-
 def _number(node: Column) -> Column:
     return F.try_variant_get(node, "$", "double")
 
 
 def _type_check(node: Column, name: str) -> Column:
-    kind = _type_of(node)
-    if name == "number":
-        return _is_number(node)
     if name == "integer":
-        return _is_number(node) & _holds(_number(node) == F.floor(_number(node)))
-    names = {"object": "OBJECT", "array": "ARRAY", "string": "STRING",
-             "boolean": "BOOLEAN", "null": "VOID"}
-    if name not in names:
-        raise ValueError(f"unknown schema type {name!r}")
-    return _holds(kind == names[name])
+        whole = _holds(_number(node) == F.floor(_number(node)))
+        return is_type(node, "integer") | (is_type(node, "number") & whole)
+    return is_type(node, name)
 
 
 def _equals(node: Column, value: object) -> Column:
@@ -65,7 +52,7 @@ def _equals(node: Column, value: object) -> Column:
             F.try_variant_get(node, "$", "boolean") == F.lit(value)
         )
     if isinstance(value, (int, float)):
-        return _is_number(node) & _holds(_number(node) == F.lit(float(value)))
+        return is_type(node, "number") & _holds(_number(node) == F.lit(float(value)))
     if isinstance(value, str):
         return _type_check(node, "string") & _holds(
             F.try_variant_get(node, "$", "string") == F.lit(value)
@@ -76,12 +63,6 @@ def _equals(node: Column, value: object) -> Column:
     return _holds(F.to_json(node) == F.to_json(F.parse_json(F.lit(text))))
 
 
-def _property(node: Column, name: str) -> Column:
-    if "'" in name:
-        raise ValueError(f"property name {name!r} cannot be addressed")
-    return F.try_variant_get(node, f"$['{name}']", "variant")
-
-
 def valid_variant(node: Column, schema: dict | bool) -> Column:
     """Never-null boolean: does ``node`` satisfy ``schema``?"""
     if isinstance(schema, bool):
@@ -111,7 +92,7 @@ def valid_variant(node: Column, schema: dict | bool) -> Column:
         if rule in schema:
             numeric.append(test(F.lit(float(schema[rule]))))
     if numeric:
-        parts.append(~_is_number(node) | _holds(_all(numeric)))
+        parts.append(~is_type(node, "number") | _holds(_all(numeric)))
 
     text = F.try_variant_get(node, "$", "string")
     textual = []
@@ -135,18 +116,15 @@ def valid_variant(node: Column, schema: dict | bool) -> Column:
     if listed:
         parts.append(~_type_check(node, "array") | _holds(_all(listed)))
 
-    keys = F.map_keys(F.try_variant_get(node, "$", "map<string,variant>"))
     keyed = []
     for name in schema.get("required", []):
-        keyed.append(F.array_contains(keys, name))
+        keyed.append(member(node, name).isNotNull())
     for name, sub in schema.get("properties", {}).items():
-        keyed.append(
-            ~_holds(F.array_contains(keys, name)) | valid_variant(_property(node, name), sub)
-        )
+        keyed.append(member(node, name).isNull() | valid_variant(member(node, name), sub))
     extra = schema.get("additionalProperties", True)
     if extra is False:
         known = F.array(*[F.lit(n) for n in schema.get("properties", {})])
-        keyed.append(F.size(F.array_except(keys, known.cast("array<string>"))) == 0)
+        keyed.append(F.size(F.array_except(keys(node), known.cast("array<string>"))) == 0)
     elif extra is not True:
         raise ValueError("additionalProperties must be true or false")
     if keyed:

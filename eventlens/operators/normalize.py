@@ -49,8 +49,9 @@ def latest_versions(kinds: DataFrame) -> DataFrame:
 def validate_semantic(events: DataFrame, book: SchemaBook) -> DataFrame:
     """Add ``schema_invalid``: true where a schema applies and fails, else null.
 
-    Two lookup joins with configuration tables pick a schema number; each
-    distinct schema is compiled once and chosen by that number.
+    Two lookup joins with tables made of the configuration at hand, which are
+    therefore broadcast, pick a schema number; each distinct schema is compiled
+    once and chosen by that number.
     """
     spark = events.sparkSession
     texts: dict[str, int] = {}
@@ -74,12 +75,14 @@ def validate_semantic(events: DataFrame, book: SchemaBook) -> DataFrame:
     picked = (
         events.withColumn("__name", kind_name(F.col("kind")))
         .withColumn("__version", F.coalesce(kind_version(F.col("kind")), F.lit("")))
-        .join(source_table, "source_id", "left")
-        .join(kind_table, ["__name", "__version"], "left")
+        .join(F.broadcast(source_table), "source_id", "left")
+        .join(F.broadcast(kind_table), ["__name", "__version"], "left")
         .withColumn("__schema", F.coalesce("__by_source", "__by_kind"))
+        # a column of its own, parsed once and only where a schema applies
+        .withColumn("__node", F.when(F.col("__schema").isNotNull(), F.try_parse_json("semantic")))
     )
     invalid: Column = F.lit(None).cast("boolean")
-    node = F.try_parse_json("semantic")
+    node = F.col("__node")
     for text, i in texts.items():
         bad = F.when(~valid_variant(node, json.loads(text)), True)
         invalid = F.when(F.col("__schema") == i, bad).otherwise(invalid)

@@ -22,6 +22,7 @@ from eventlens.model import (
     VECTOR,
     VectorFilter,
 )
+from eventlens.operators.sizes import broadcast_if_small
 
 HIT_COLUMNS = ["event_id", "source_id", "kind", "ts_ms_utc", "truncated"]
 
@@ -31,7 +32,8 @@ def select_for_embedding(
 ) -> DataFrame:
     """Events to embed: the source's flag, else the bare kind's, else default.
 
-    ``sources`` and ``kinds`` are descriptor tables with ``embed`` flags.
+    ``sources`` and ``kinds`` are descriptor tables with ``embed`` flags; as
+    long as their flags are few they are broadcast and the events stay in place.
     """
     by_source = sources.where("embed is not null").select(
         "source_id", F.col("embed").alias("__source_flag")
@@ -43,8 +45,8 @@ def select_for_embedding(
     )
     flagged = (
         events.withColumn("__bare", bare_kind(F.col("kind")))
-        .join(by_source, "source_id", "left")
-        .join(by_kind, "__bare", "left")
+        .join(broadcast_if_small(by_source), "source_id", "left")
+        .join(broadcast_if_small(by_kind), "__bare", "left")
     )
     wanted = F.coalesce("__source_flag", "__kind_flag", F.lit(default))
     return flagged.where(wanted).select(*events.columns)

@@ -1,0 +1,19 @@
+"""Broadcasts behind a look at the size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast if it has at most ``max_rows`` rows.
+
+    Meant for narrow lookup tables whose size Spark cannot estimate.  Beyond the
+    limit the join is left to Spark, with adaptive skew handling.
+    """
+    if table.limit(max_rows + 1).count() > max_rows:
+        return table
+    return F.broadcast(table)

@@ -188,7 +188,7 @@ def resolve_descriptors(spark, d):
 @query
 def describe_sources(spark, d):
     """Descriptors with schema errors of the sample events and their retention."""
-    checked = normalize.validate_semantic(tables.events(spark, d), S.SCHEMAS)
+    checked = normalize.validate_semantic(tables.spread(tables.events(spark, d)), S.SCHEMAS)
     errors = health.recent_errors(
         health.event_errors(checked.where("schema_invalid"), "schema_invalid", "ts_ms_utc")
     )
@@ -306,7 +306,8 @@ def generated_ids(spark, d):
 
 @query
 def validate_semantic(spark, d):
-    return normalize.validate_semantic(tables.events(spark, d), S.SCHEMAS).select(
+    rows = tables.spread(tables.events(spark, d))
+    return normalize.validate_semantic(rows, S.SCHEMAS).select(
         "event_id", "source_id", "kind", "schema_invalid"
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions.scalars import parse_marked, strict_value
+from eventlens.functions.variants import is_type, keys, member
 from eventlens.model import LINK
 
 # The fields a producer's event may have.
@@ -48,67 +49,46 @@ def read_payloads(
     return rows.withColumn("body", F.col(column).cast("string"))
 
 
-def _type(node: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(node), "^[A-Z]+", 0)
-
-
-def _has_type(node: Column, *names: str) -> Column:
-    return F.coalesce(_type(node).isin(*names), F.lit(False))
-
-
-def _keys(node: Column) -> Column:
-    return F.map_keys(F.try_variant_get(node, "$", "map<string,variant>"))
-
-
 def _text(node: Column, name: str) -> Column:
-    field = F.try_variant_get(node, f"$.{name}", "variant")
-    return F.when(_type(field) == "STRING", F.try_variant_get(field, "$", "string"))
+    field = member(node, name)
+    return F.when(is_type(field, "string"), F.try_variant_get(field, "$", "string"))
 
 
-def _optional_text_ok(node: Column, name: str) -> Column:
-    field = F.try_variant_get(node, f"$.{name}", "variant")
-    return field.isNull() | _has_type(field, "STRING", "VOID")
+def _optional(node: Column, name: str, kind: str) -> Column:
+    """Absent, JSON null or of the given type."""
+    field = member(node, name)
+    return field.isNull() | is_type(field, "null") | is_type(field, kind)
 
 
 def _link_ok(link: Column) -> Column:
-    size = F.try_variant_get(link, "$.bytes", "variant")
+    size = F.try_variant_get(member(link, "bytes"), "$", "long")
     return (
-        _has_type(link, "OBJECT")
+        is_type(link, "object")
         & _text(link, "rel").isNotNull()
         & _text(link, "uri").isNotNull()
-        & _optional_text_ok(link, "mime")
-        & _optional_text_ok(link, "sha256")
-        & (
-            size.isNull()
-            | _has_type(size, "VOID")
-            | (
-                _has_type(size, "BIGINT")
-                & F.coalesce(F.try_variant_get(size, "$", "long") >= 0, F.lit(False))
-            )
-        )
+        & _optional(link, "mime", "string")
+        & _optional(link, "sha256", "string")
+        & _optional(link, "bytes", "integer")
+        & F.coalesce(size >= 0, F.lit(True))
     )
 
 
 def _event_ok(node: Column) -> Column:
     allowed = F.array(*[F.lit(f) for f in REQUIRED_FIELDS + OPTIONAL_FIELDS])
-    links = F.try_variant_get(node, "$.links", "variant")
-    listed = F.try_variant_get(links, "$", "array<variant>")
+    links = F.try_variant_get(member(node, "links"), "$", "array<variant>")
     ok = (
-        _has_type(node, "OBJECT")
-        & (F.size(F.array_except(_keys(node), allowed)) == 0)
+        is_type(node, "object")
+        & (F.size(F.array_except(keys(node), allowed)) == 0)
         & _text(node, "source_id").isNotNull()
         & _text(node, "kind").isNotNull()
-        & _has_type(F.try_variant_get(node, "$.ts_ms_utc", "variant"), "BIGINT")
-        & F.array_contains(_keys(node), "semantic")
-        & _optional_text_ok(node, "trace_id")
-        & _optional_text_ok(node, "producer_id")
-        & _optional_text_ok(node, "event_id")
+        & is_type(member(node, "ts_ms_utc"), "integer")
+        & member(node, "semantic").isNotNull()
+        & _optional(node, "trace_id", "string")
+        & _optional(node, "producer_id", "string")
+        & _optional(node, "event_id", "string")
         & F.coalesce(F.upper(_text(node, "event_id")).rlike(_ID), F.lit(True))
-        & (
-            links.isNull()
-            | _has_type(links, "VOID")
-            | (_has_type(links, "ARRAY") & F.coalesce(F.forall(listed, _link_ok), F.lit(False)))
-        )
+        & _optional(node, "links", "array")
+        & F.coalesce(F.forall(links, _link_ok), F.lit(True))
     )
     return F.coalesce(ok, F.lit(False))
 
@@ -142,9 +122,9 @@ def parse_payloads(payloads: DataFrame) -> Parsed:
         .withColumn("__node", strict_value(F.col("__marked")))
         .withColumn(
             "__list",
-            F.when(_has_type(node, "OBJECT") & F.array_contains(_keys(node), "events"), wrapped)
-            .when(_has_type(node, "ARRAY"), bare)
-            .when(_has_type(node, "OBJECT"), F.array(node)),
+            F.when(is_type(node, "object") & member(node, "events").isNotNull(), wrapped)
+            .when(is_type(node, "array"), bare)
+            .when(is_type(node, "object"), F.array(node)),
         )
     )
     items = F.col("__list")
