@@ -237,8 +237,6 @@ _HEX = "lower(hex(encode(body)))"
 _B64 = "rtrim(base64(encode(body)), '=')"
 _CSV = """'{"encoding":"csv","fields":' || to_json([u::VARCHAR, 'a"b', props]) || '}'"""
 
-_VIEW_MSG = _MSG + ", m AS (SELECT * FROM msg)"
-
 _WS = (
     r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
     r"\x{202f}\x{205f}\x{3000}]+"

@@ -201,39 +201,37 @@ def test_bad_templates(spark, template):
     assert source_from_topic(F.lit("a/b"), "a/+", template) is None
 
 
-def csv_by_hand(line):
-    out, cur, quoted, i = [], "", False, 0
-    while i < len(line):
-        c = line[i]
-        if c == '"' and not quoted and not cur:
-            quoted = True
-        elif c == '"' and quoted:
-            if line[i + 1 : i + 2] == '"':
-                cur += '"'
-                i += 1
-            else:
-                quoted = False
-        elif c == "," and not quoted:
-            out.append(cur)
-            cur = ""
-        else:
-            cur += c
-        i += 1
-    return [*out, cur]
-
-
-def test_csv_example(spark):
-    assert column(spark, ['"a""b",c', "a,b\r\nsecond", ""], csv_fields) == [
-        ['a"b', "c"],
-        ["a", "b"],
-        [""],
-    ]
+CSV_LINES = {
+    '"a""b",c': ['a"b', "c"],
+    "a,b\r\nsecond": ["a", "b"],
+    "": [""],
+    ",": ["", ""],
+    "a,": ["a", ""],
+    ",b": ["", "b"],
+    '"a,b",c': ["a,b", "c"],
+    '"",x': ["", "x"],
+    '"a"tail,b': ["atail", "b"],
+    'mid"quote,b': ['mid"quote', "b"],
+    '"open,b': ["open,b"],
+    '"open,': ["open,"],
+    '""""': ['"'],
+    '"a""': ['a"'],
+    '"""x""","y"': ['"x"', "y"],
+    '"a"b"c,d': ['ab"c', "d"],
+    "é,日本": ["é", "日本"],
+    'x,"",': ["x", "", ""],
+}
+
+
+def test_csv(spark):
+    assert column(spark, list(CSV_LINES), csv_fields) == list(CSV_LINES.values())
 
 
 @SLOW
-@given(st.lists(st.text('ab",', max_size=10), min_size=200, max_size=400))
-def test_csv_by_hand(spark, lines):
-    assert column(spark, lines, csv_fields) == [csv_by_hand(line) for line in lines]
+@given(st.lists(st.lists(st.text('ab", ', max_size=5), min_size=1, max_size=4), min_size=50))
+def test_quoted_csv_round_trip(spark, rows):
+    lines = [",".join('"' + f.replace('"', '""') + '"' for f in row) for row in rows]
+    assert column(spark, lines, csv_fields) == rows
 
 
 def test_decoders(spark):

@@ -1,5 +1,6 @@
 """Window scans, current state and descriptors."""
 
+import itertools
 import random
 
 import pytest
@@ -138,19 +139,15 @@ def test_quiet_ring_keeps_its_events(make_events, ids):
     assert ids(state.hot_window(rows, max_age_ms=1)) == ["a", "b"]
 
 
-def ring_by_hand(pushes, max_events, max_age):
-    ring = []
-    for name, ingest in pushes:
-        ring.append((name, ingest))
-        while len(ring) > max_events:
-            ring.pop(0)
-        while ring and ring[0][1] < ingest - max_age:
-            ring.pop(0)
-    return [name for name, _ in ring]
+def expected_ring(pushes, max_events, max_age):
+    """The newest pushes without the run of too old ones at their front."""
+    cutoff = pushes[-1][1] - max_age
+    kept = itertools.dropwhile(lambda p: p[1] < cutoff, pushes[-max_events:])
+    return [name for name, _ in kept]
 
 
 @pytest.mark.parametrize("max_events", [1, 4, 30])
-def test_ring_equals_pushing_one_by_one(make_events, ids, max_events):
+def test_rings_of_many_pairs(make_events, ids, max_events):
     rng = random.Random(max_events)
     rows, expected = [], []
     for key in range(15):
@@ -159,7 +156,7 @@ def test_ring_equals_pushing_one_by_one(make_events, ids, max_events):
             now += rng.choice([0, 1, 5, 30])
             pushes.append((f"{key:02d}-{i:03d}", now))
         rows += [(name, f"s{key}", "k", 0, "{}", at) for name, at in pushes]
-        expected += ring_by_hand(pushes, max_events, 40)
+        expected += expected_ring(pushes, max_events, 40)
     assert ids(state.hot_window(make_events(rows), max_events, 40)) == sorted(expected)
 
 
