@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import quality
+from eventlens.llm import mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": mixing.op3_mixing,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 ORACLE: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
     "op7_quality_rules": quality.ORACLE,
 }
