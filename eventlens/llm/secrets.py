@@ -130,14 +130,14 @@ def normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
 
 
-def battery(run: Column, alphabet: str) -> Column:
+def battery(run: Column, alphabet: Column) -> Column:
     """The combined p-value of the three tests for one run of `alphabet`'s characters."""
-    size = len(alphabet)
+    size = F.length(alphabet)
     half = (size - 1) / 2
 
     def chi(n: Column) -> Column:
         counts = F.transform(
-            F.array(*(F.lit(c) for c in alphabet)),
+            F.filter(F.split(alphabet, ""), lambda c: c != ""),
             lambda c: F.length(run) - F.length(F.replace(run, c, F.lit(""))),
         )
         squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c.cast("double"))
@@ -170,7 +170,7 @@ def battery(run: Column, alphabet: str) -> Column:
         return F.array(2 * normal_tail(F.abs(serial)), 2 * normal_tail(F.abs(runs)))
 
     def combined(n: Column) -> Column:
-        letters = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(alphabet)) - F.lit(1.0))
+        letters = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.position(c, alphabet) - F.lit(1.0))
         parts = F.concat(F.array(chi(n)), let(letters, lambda v: neighbours(v, n)))
         half_sum = -F.aggregate(parts, F.lit(0.0), lambda s, p: s + F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))))
         return let(half_sum, lambda x: F.exp(-x) * (1 + x + x * x / 2))
@@ -184,28 +184,28 @@ def candidates(text: Column) -> Column:
     digit, letter = r"[0-9]", r"[A-Za-z]"
     runs = F.filter(runs, lambda m: m["hit"].rlike(digit) & m["hit"].rlike(letter))
 
-    def judged(m: Column) -> Column:
+    def encoding(hit: Column) -> Column:
         which = F.lit(None).cast("int")
-        p = F.lit(None).cast("double")
-        for i, (name, pattern, alphabet, least) in reversed(list(enumerate(ENCODINGS))):
-            hit = F.lower(m["hit"]) if name == "hex" else F.translate(m["hit"], "-_", "+/")
-            fits = m["hit"].rlike(f"^{pattern}$") & (F.length(m["hit"]) >= least)
-            if name == "base64":  # letters of one case and digits are words and numbers, not base64
-                fits = fits & m["hit"].rlike("[a-z]") & m["hit"].rlike("[A-Z]")
-            which = F.when(fits, i).otherwise(which)
-            p = F.when(fits, battery(hit, alphabet)).otherwise(p)
-        length = F.lit(0)
-        for i, least in enumerate(LENGTHS):
-            length = F.when(m["end"] - m["start"] >= least, i).otherwise(length)
-        return F.struct(m["start"], m["end"], which.alias("encoding"), length.alias("class"), p.alias("p"))
-
-    return F.filter(F.transform(runs, judged), lambda m: m["encoding"].isNotNull())
-
-
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `fixed` (spans of the fixed patterns) and `runs` (judged candidates)."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"fixed": fixed_spans(whole), "runs": candidates(whole)})
+        for i, (name, pattern, _, least) in reversed(list(enumerate(ENCODINGS))):
+            # letters of one case and digits are words and numbers, not base64
+            both = "(?=.*[a-z])(?=.*[A-Z])" if name == "base64" else ""
+            which = F.when(hit.rlike(f"^{both}{pattern}$") & (F.length(hit) >= least), i).otherwise(which)
+        return which
+
+    alphabets = F.split(F.lit(" ".join(e[2] for e in ENCODINGS)), " ")
+
+    def judged(m: Column, which: Column) -> Column:
+        plain = F.when(which == 0, F.lower(m["hit"])).otherwise(F.translate(m["hit"], "-_", "+/"))
+        return F.struct(
+            m["start"],
+            m["end"],
+            which.alias("encoding"),
+            F.size(F.filter(F.lit(LENGTHS), lambda least: m["end"] - m["start"] >= least)).alias("class"),
+            F.when(which.isNotNull(), battery(plain, F.get(alphabets, which))).alias("p"),
+        )
+
+    found = F.transform(runs, lambda m: let(encoding(m["hit"]), lambda which: judged(m, which)))
+    return F.filter(found, lambda m: m["encoding"].isNotNull())
 
 
 def cuts(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -233,9 +233,10 @@ def cuts(scanned: DataFrame, fdr: float = FDR) -> DataFrame:
 
 def find_secrets(docs: DataFrame, fdr: float = FDR, text: str = "text") -> DataFrame:
     """`docs` with `fixed` and `spans`, arrays of (start, kind, end); `kind` counts along KINDS."""
-    scanned = scan(docs, text)
-    entry = F.struct(F.col("encoding") * len(LENGTHS) + F.col("class"), F.col("cut"))
-    limits = cuts(scan(docs.select(text), text), fdr).agg(F.map_from_entries(F.collect_list(entry)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    runs = candidates(whole)
+    entry = F.struct(F.col("encoding") * (len(LENGTHS) + 1) + F.col("class"), F.col("cut"))
+    limits = cuts(docs.select(runs.alias("runs")), fdr).agg(F.map_from_entries(F.collect_list(entry)))
 
     def as_span(m: Column) -> Column:
         return F.struct(m["start"], F.lit(KINDS.index("random")).alias("kind"), m["end"])
@@ -243,10 +244,10 @@ def find_secrets(docs: DataFrame, fdr: float = FDR, text: str = "text") -> DataF
     def free(m: Column) -> Column:
         return ~F.exists("fixed", lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"]))
 
-    rows = scanned.withColumn("limits", limits.scalar())
+    rows = docs.withColumns({"fixed": fixed_spans(whole), "runs": runs, "limits": limits.scalar()})
     random = F.filter(
         "runs",
-        lambda m: (m["p"] > F.coalesce(F.try_element_at("limits", m["encoding"] * len(LENGTHS) + m["class"]), F.lit(-1.0)))
+        lambda m: (m["p"] > F.coalesce(F.try_element_at("limits", m["encoding"] * (len(LENGTHS) + 1) + m["class"]), F.lit(-1.0)))
         & free(m),
     )
     fixed = F.transform("fixed", lambda m: F.struct(m["start"], m["kind"], m["end"]))
