@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import mixing, quality, secrets
+from eventlens.llm import bpe, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_mixing": mixing.op3_mixing,
+    "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 ORACLE: dict[str, str] = {
