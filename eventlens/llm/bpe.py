@@ -7,7 +7,7 @@ concatenated. The result is that of merging the whole piece: no merge reaches ov
 so merges on either side do not see each other.
 
 The tokenizer file gives normaliser, pre-tokeniser, vocabulary, merges and added tokens; the tokenizers
-library runs the first two. The memo holds at most `MEMO` entries per task; beyond that it starts anew.
+library runs the first two. Each memo holds at most `MEMO` entries per worker; beyond that it starts anew.
 
 Nulls: a null text is empty and has no tokens. Repeated rows get equal results, other columns come
 through, an empty table gives an empty result, and texts are encoded whole.
@@ -16,6 +16,7 @@ through, an empty table gives an empty result, and texts are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ from eventlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 MEMO = 300_000
+#: Symbols of a fragment from which pairs are kept in a heap.
+LONG = 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -56,6 +59,7 @@ class Codec:
         self.tokens |= {i: t for t, i in self.added.items()}
         self.inside = {pair for token in self.ids for pair in self._pairs(token)}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _symbols(self, token: str) -> list[str]:
         """A token's symbols: characters, the last one with the end-of-word suffix."""
@@ -71,34 +75,70 @@ class Codec:
     def fragments(self, piece: str) -> list[tuple[str, ...]]:
         """The piece's symbols, cut at every forced boundary."""
         symbols = self._symbols(piece + self.suffix)
-        cuts = [i + 1 for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if pair not in self.inside]
+        inside = self.inside
+        cuts = [i for i, pair in enumerate(zip(symbols, symbols[1:]), 1) if pair not in inside]  # noqa: B905
+        if not cuts:
+            return [tuple(symbols)]
         return [tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True)]
 
     def merged(self, fragment: tuple[str, ...]) -> list[int]:
         """Ids of one fragment: the pair of lowest rank is joined, leftmost first, until none is left."""
+        if len(fragment) > LONG:
+            return self._merged_long(fragment)
+        rank, never = self.ranks.get, len(self.ranks)
         parts = list(fragment)
-        never = len(self.ranks)
-        while len(parts) > 1:
-            ranks = [self.ranks.get(pair, never) for pair in zip(parts, parts[1:], strict=False)]
-            best = min(ranks)
-            if best == never:
-                break
-            joined, i = [], 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
         return [self.ids[p] for p in parts if p in self.ids]
 
+    def _merged_long(self, fragment: tuple[str, ...]) -> list[int]:
+        """As `merged`, with a heap of pairs and linked neighbours, for fragments of any length."""
+        parts: list[str | None] = list(fragment)
+        after = list(range(1, len(parts) + 1))
+        before = list(range(-1, len(parts) - 1))
+        heap: list[tuple[int, int, str, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            pair = (parts[i], parts[j])
+            if pair in self.ranks:
+                heapq.heappush(heap, (self.ranks[pair], i, *pair))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= len(parts) or parts[j] != right:
+                continue  # one of the two has been joined to something else since
+            parts[i], parts[j], after[i] = left + right, None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+                offer(i, after[j])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [self.ids[p] for p in parts if p is not None and p in self.ids]
+
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = tuple(i for fragment in self.fragments(piece) for i in self.merged(fragment))
+            if len(self.pieces) >= MEMO:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
+
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         """Ids of a stretch without blanks or line ends; no piece and no normal form reaches over those."""
         normal = self.whole.normalizer.normalize_str(chunk) if self.whole.normalizer else chunk
-        pieces = (piece for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal))
-        found = tuple(i for piece in pieces for fragment in self.fragments(piece) for i in self.merged(fragment))
+        pieces = self.whole.pre_tokenizer.pre_tokenize_str(normal)
+        found = self.piece_ids(pieces[0][0]) if len(pieces) == 1 else tuple(i for p, _ in pieces for i in self.piece_ids(p))
         if len(self.memo) >= MEMO:
             self.memo.clear()
         self.memo[chunk] = found
