@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import bpe, chat, jaccard, mixing, quality, secrets
+from eventlens.llm import bpe, chat, jaccard, mixing, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_mixing": mixing.op3_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_warc": warc.op5_warc,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
 }
