@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import bpe, chat, jaccard, mixing, quality, secrets, warc
+from eventlens.llm import bpe, chat, fingerprints, jaccard, language, mixing, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_mixing": mixing.op3_mixing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_warc": warc.op5_warc,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_language_id": language.op8_language_id,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
 ORACLE: dict[str, str] = {
