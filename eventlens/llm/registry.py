@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import bpe, chat, fingerprints, jaccard, language, mixing, quality, secrets, warc
+from eventlens.llm import bpe, chat, fingerprints, jaccard, language, mixing, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_language_id": language.op8_language_id,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLE: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
