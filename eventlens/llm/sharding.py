@@ -55,8 +55,9 @@ def propagate(linked: DataFrame, rows: int, shards: int = SHARDS, steps: int = S
     state = stored(linked.withColumn("label", F.pmod("doc", F.lit(shards)).cast("int")), "shard-labels")
     for _ in range(steps):
         blocks = state.groupBy("grp", "label").agg(F.count("*").alias("n"))
-        best = blocks.groupBy("grp").agg(F.max(F.struct("n", (-F.col("label")).alias("l")))["l"].alias("to"))
-        moves = blocks.join(best.withColumn("to", -F.col("to")), "grp").filter(F.col("label") != F.col("to"))
+        most = F.struct("n", F.xxhash64("grp", "label").alias("tie"), "label")  # ties must not favour a shard
+        best = blocks.groupBy("grp").agg(F.max(most)["label"].alias("to"))
+        moves = blocks.join(best, "grp").filter(F.col("label") != F.col("to"))
         moves = running_sum(moves, ["to"], "grp", "n", "before", levels(rows, BITS), ["label"])
         load = state.groupBy(F.col("label").alias("to")).agg(F.count("*").alias("load"))
         moves = moves.join(load, "to").select(
