@@ -85,12 +85,10 @@ KIND = T.StructType(
 # Caps and defaults of the four read questions and of ingest.
 MAX_WINDOW_LIMIT = 10_000
 DEFAULT_SEARCH_LIMIT = 10
-MAX_SEARCH_LIMIT = 50
 HARD_CAP_BYTES = 64 * 1024
 SOFT_CAP_BYTES = 16 * 1024
 RING_MAX_EVENTS = 256
 RING_MAX_AGE_MS = 60_000
-EMBED_MAX_BYTES = 2048
 EMBED_DIM = 64
 COSTLY_SWEEP_ROWS = 1_000
 
@@ -113,6 +111,7 @@ class WindowFilter:
 
     @property
     def page_size(self) -> int:
+        """Rows of one page, which are brought to the caller; scans without pages have no cap."""
         if self.limit is None:
             return MAX_WINDOW_LIMIT
         return min(self.limit, MAX_WINDOW_LIMIT)

@@ -18,8 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 4096
-_SAMPLES_PER_RANGE = 20
+_SAMPLES_PER_RANGE = 8
 RANGE = "__range"
 
 Cuts = dict[tuple, list[tuple]]
@@ -30,13 +29,14 @@ def _find_cuts(
 ) -> Cuts:
     """Where to cut the keys that span several ranges.
 
-    Only the key and order columns of about ``20 * MAX_RANGES`` rows at most
-    reach the driver.  Every so many sampled rows make a cut; a key with fewer
-    than two is at most about two ranges long and stays whole.  The cuts decide
-    how even the work is, never what the result is.
+    The number of ranges follows the number of rows alone.  Only the key and order
+    columns of 8 rows per range reach the driver: 4 million of 10**12.  Every so
+    many sampled rows make a cut; a key with fewer than two is at most about two
+    ranges long and stays whole, as all do where there is one range.  The cuts
+    decide how even the work is, never what the result is.
     """
     rows = df.count()
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
+    ranges = math.ceil(rows / rows_per_range)
     if ranges < 2:
         return {}
     fraction = min(1.0, _SAMPLES_PER_RANGE * ranges / rows)

@@ -15,14 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from eventlens.functions.embedding import Embedder, dot, hash_embedder
 from eventlens.functions.globs import glob_filter, time_between
 from eventlens.functions.scalars import bare_kind, utf8_cut, was_cut
-from eventlens.model import (
-    DEFAULT_SEARCH_LIMIT,
-    EMBED_MAX_BYTES,
-    MAX_SEARCH_LIMIT,
-    VECTOR,
-    VectorFilter,
-)
-from eventlens.operators.sizes import broadcast_if_small
+from eventlens.model import DEFAULT_SEARCH_LIMIT, VECTOR, VectorFilter
 
 HIT_COLUMNS = ["event_id", "source_id", "kind", "ts_ms_utc", "truncated"]
 
@@ -32,8 +25,8 @@ def select_for_embedding(
 ) -> DataFrame:
     """Events to embed: the source's flag, else the bare kind's, else default.
 
-    ``sources`` and ``kinds`` are descriptor tables with ``embed`` flags; as
-    long as their flags are few they are broadcast and the events stay in place.
+    ``sources`` and ``kinds`` are descriptor tables with ``embed`` flags; whether
+    they are broadcast is left to Spark, which knows their size when the join runs.
     """
     by_source = sources.where("embed is not null").select(
         "source_id", F.col("embed").alias("__source_flag")
@@ -45,27 +38,31 @@ def select_for_embedding(
     )
     flagged = (
         events.withColumn("__bare", bare_kind(F.col("kind")))
-        .join(broadcast_if_small(by_source), "source_id", "left")
-        .join(broadcast_if_small(by_kind), "__bare", "left")
+        .join(by_source, "source_id", "left")
+        .join(by_kind, "__bare", "left")
     )
     wanted = F.coalesce("__source_flag", "__kind_flag", F.lit(default))
     return flagged.where(wanted).select(*events.columns)
 
 
 def embed_events(
-    events: DataFrame, embedder: Embedder | None = None, max_bytes: int = EMBED_MAX_BYTES
+    events: DataFrame, embedder: Embedder | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """Vector rows of events: compact JSON, cut between characters, embedded."""
+    """Vector rows of events: compact JSON, embedded whole.
+
+    ``max_bytes`` cuts longer texts between characters, which ``truncated`` then says.
+    """
     embedder = embedder or hash_embedder()
     text = F.col("semantic")
+    cut = max_bytes is not None
     return events.select(
         "event_id",
         "source_id",
         "kind",
         "ts_ms_utc",
-        was_cut(text, max_bytes).alias("truncated"),
+        (was_cut(text, max_bytes) if cut else F.lit(False)).alias("truncated"),
         F.lit(embedder.model_id).alias("model_id"),
-        embedder.embed(utf8_cut(text, max_bytes)).alias("vector"),
+        embedder.embed(utf8_cut(text, max_bytes) if cut else text).alias("vector"),
     )
 
 
@@ -82,7 +79,11 @@ def filter_vectors(vectors: DataFrame, flt: VectorFilter | None) -> DataFrame:
 
 
 def top_k(limit: int | None) -> int:
-    return max(1, min(DEFAULT_SEARCH_LIMIT if limit is None else limit, MAX_SEARCH_LIMIT))
+    """How many hits to give; any number from 1 on."""
+    k = DEFAULT_SEARCH_LIMIT if limit is None else limit
+    if k < 1:
+        raise ValueError(f"limit {k} < 1")
+    return k
 
 
 def search_vector(
@@ -117,21 +118,13 @@ def search(
 def hydrate(hits: DataFrame, events: DataFrame) -> DataFrame:
     """Hits with their full event; hits whose event is gone disappear.
 
-    ``hits`` is a search result of at most 50 rows.  They are fetched first, so
-    that their ids reach the scan of the log as a filter: ids sort by time, as
-    the log's files do, and most row groups are skipped.
+    ``hits`` is the result of `search` or `search_many`, of any size; columns that
+    events lack, such as the query's id and the rank, are kept.  Spark
+    broadcasts the hits if they are few.
     """
-    found = hits.select("event_id", "score", "truncated").limit(MAX_SEARCH_LIMIT).collect()
-    table = events.sparkSession.createDataFrame(
-        found, "event_id string, score double, truncated boolean"
-    )
-    wanted = events.where(F.col("event_id").isin([row["event_id"] for row in found]))
-    return (
-        wanted.join(F.broadcast(table), "event_id")
-        .select(*events.columns, "score", "truncated")
-        .orderBy(F.col("score").desc(), "event_id")
-        .limit(MAX_SEARCH_LIMIT)
-    )
+    own = [c for c in hits.columns if c not in events.columns]
+    found = events.join(hits.select("event_id", *own), "event_id")
+    return found.select(*events.columns, *own).orderBy(F.col("score").desc(), "event_id")
 
 
 def embed_queries(queries: DataFrame, text: Column, embedder: Embedder | None = None) -> DataFrame:

@@ -35,21 +35,21 @@ def hot_window(
     so an old one behind it stays.  Age is counted from ingest time, and a pair
     that has gone quiet keeps what it last held.
 
-    Catalyst keeps only the newest rows per pair before the shuffle; the salted
-    first round bounds what one task of the second receives for a hot pair.
+    A first round per pair and input partition bounds what one task of the second
+    receives for a hot pair; there are as many shares as the data has partitions.
+    Catalyst keeps only the newest rows of each before the shuffle where
+    ``max_events`` is below its own limit for that.
     """
     newest_first = [F.col(c).desc() for c in arrival]
-    salted = Window.partitionBy(*PAIR, "__salt").orderBy(*newest_first)
+    salted = Window.partitionBy(*PAIR, "__share").orderBy(*newest_first)
     per_pair = Window.partitionBy(*PAIR).orderBy(*newest_first)
     older = per_pair.rowsBetween(0, Window.unboundedFollowing)
-    rounds = events
-    if max_events <= 1000:  # larger limits are not pushed below the shuffle
-        rounds = (
-            rounds.withColumn("__salt", F.pmod(F.xxhash64(*arrival), F.lit(32)))
-            .withColumn("__n", F.row_number().over(salted))
-            .where(F.col("__n") <= max_events)
-            .drop("__salt", "__n")
-        )
+    rounds = (
+        events.withColumn("__share", F.spark_partition_id())
+        .withColumn("__n", F.row_number().over(salted))
+        .where(F.col("__n") <= max_events)
+        .drop("__share", "__n")
+    )
     last = (
         rounds.withColumn("__rank", F.row_number().over(per_pair))
         .where(F.col("__rank") <= max_events)

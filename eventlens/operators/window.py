@@ -6,7 +6,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -46,9 +46,9 @@ def window_rows(events: DataFrame, flt: WindowFilter, anchor: Anchor | None = No
 
 
 def window_scan(events: DataFrame, flt: WindowFilter, anchor: Anchor | None = None) -> DataFrame:
-    """First rows after ``anchor`` by (event time, id): a distributed top-n."""
-    rows = window_rows(events, flt, anchor)
-    return rows.orderBy("ts_ms_utc", "event_id").limit(flt.page_size)
+    """Rows after ``anchor`` by (event time, id); a distributed top-n if the filter has a limit."""
+    rows = window_rows(events, flt, anchor).orderBy("ts_ms_utc", "event_id")
+    return rows if flt.limit is None else rows.limit(flt.limit)
 
 
 def _filter_hash(flt: WindowFilter) -> str:
@@ -86,7 +86,7 @@ class Page:
 def get_page(events: DataFrame, flt: WindowFilter, token: str | None = None) -> Page:
     """One page; a full page carries a token even if nothing follows it."""
     anchor = read_token(token, flt) if token is not None else None
-    rows = window_scan(events, flt, anchor).collect()
+    rows = window_scan(events, replace(flt, limit=flt.page_size), anchor).collect()
     full = bool(rows) and len(rows) >= flt.page_size
     last = Anchor(rows[-1]["ts_ms_utc"], rows[-1]["event_id"]) if full else None
     return Page(rows, page_token(flt, last) if last else None)

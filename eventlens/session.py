@@ -6,8 +6,6 @@ helper exists for tests, the benchmark and local work.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -38,17 +36,10 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a purely local session that names none falls back to a folder of its
-    own; on a cluster a machine-local folder would not be readable elsewhere.
+    Where that is unset it is a folder of the warehouse, which executors share too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = os.path.join(tempfile.gettempdir(), f"eventlens-{os.getpid()}")
-    os.makedirs(folder, exist_ok=True)
-    return folder
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_runs").rstrip("/")
 
 
 def run_folder(spark: SparkSession, label: str) -> str:

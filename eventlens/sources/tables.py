@@ -8,42 +8,32 @@ from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW_MS = 1_706_659_200_000  # 2024-01-31, just after the last sample event
 DAY_MS = 86_400_000
-SPREAD_BYTES = 32 * 1024 * 1024
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a share of a small table before costly work per row.
-
-    A sample table is one row group, which one core would read and work on alone.
-    A table of more than a few megabytes per core is left as it is: it has
-    splits enough, and moving it would cost more than it gains.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = size < cores * SPREAD_BYTES
-    return rows.repartition(cores) if small else rows
-
-
 def _ntz(ms: int):
     moment = datetime.fromtimestamp(ms // 1000, UTC) + timedelta(milliseconds=ms % 1000)
     return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
+def _utc_millis(ntz: Column) -> Column:
+    """Epoch milliseconds of a zoneless time taken as UTC, whatever the session's zone is."""
+    return F.unix_millis(F.from_utc_timestamp(ntz.cast("timestamp"), F.current_timezone()))
+
+
 def events_from(raw: DataFrame) -> DataFrame:
     """The sample ``events`` table, batch or stream, in the canonical columns."""
     number = F.col("event_id")
-    ts_ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ts_ms = _utc_millis(F.col("ts"))
     version = F.when(number % 10 == 0, "@v2").otherwise("")
     return raw.select(
         F.lpad(number.cast("string"), 26, "0").alias("event_id"),
@@ -94,13 +84,13 @@ def vectors(spark: SparkSession, sf_dir: str, model_id: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
 def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as producer batches: one batch per conversation."""
     turn = F.col("turn")
-    return spread(table(spark, sf_dir, "conversations")).select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("batch_id"),
         turn.alias("ord"),
         F.concat(F.lit("edge"), (F.col("conv_id") % 3).cast("string")).alias("token_name"),
@@ -122,7 +112,7 @@ def chat_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every turn is one body: wrapped, bare or single by turn; some carry an
     unknown field, an empty list or broken text.
     """
-    rows = spread(table(spark, sf_dir, "conversations"))
+    rows = table(spark, sf_dir, "conversations")
     event = F.struct(
         F.concat(F.lit("chat."), "role").alias("source_id"),
         F.lit("message").alias("kind"),
@@ -153,12 +143,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", typed)
         .otherwise(F.col("props"))
     )
-    return spread(table(spark, sf_dir, "events")).select(
+    return table(spark, sf_dir, "events").select(
         number.alias("message_no"),
         F.concat(F.lit("broker"), (number % 2).cast("string")).alias("broker_id"),
         F.concat(F.lit("site/"), kind, F.lit("/user/"), user, tail).alias("topic"),
         F.encode(body, "UTF-8").alias("payload"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+        _utc_millis(F.col("ts")).alias("ts_ms"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventlens.functions.embedding import Embedder, hash_embedder
-from eventlens.model import EMBED_MAX_BYTES, RING_MAX_AGE_MS, RING_MAX_EVENTS
+from eventlens.model import RING_MAX_AGE_MS, RING_MAX_EVENTS
 from eventlens.operators.federation import forward_events
 from eventlens.operators.normalize import SchemaBook, normalize
 from eventlens.operators.search import embed_events, select_for_embedding
@@ -114,7 +114,7 @@ def embed_sink(
     sources: DataFrame,
     kinds: DataFrame,
     embedder: Embedder | None = None,
-    max_bytes: int = EMBED_MAX_BYTES,
+    max_bytes: int | None = None,
 ) -> Callable[[DataFrame, int], dict]:
     """Embed the selected events of each micro-batch, last write per id.
 

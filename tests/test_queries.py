@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from eventlens.operators import admission
 from eventlens.plans import settings
+from eventlens.plans.oracle import ORACLE
 from eventlens.plans.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
@@ -24,11 +25,12 @@ def tables():
 
 
 def test_every_query_has_a_check():
-    assert set(QUERIES) - set(entry.oracle_sql()) == {"rate_limit"}
-    assert set(entry.oracle_sql()) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == {"rate_limit"}
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, tables, name):
     got = entry.queries()[name](spark, SAMPLE)
     expected = tables.execute(entry.oracle_sql()[name])

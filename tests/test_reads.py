@@ -73,7 +73,16 @@ def test_tokens(ten):
             window.read_token(bad, flt)
 
 
-def test_limit_is_clamped():
+def test_scans_have_no_cap_of_their_own(spark, make_events):
+    many = spark.range(10_050).selectExpr(
+        "lpad(id, 8, '0') AS event_id", "'s' AS source_id", "'k' AS kind", "id AS ts_ms_utc"
+    )
+    assert window.window_scan(many, WindowFilter(0, 20_000)).count() == 10_050
+    assert window.window_scan(many, WindowFilter(0, 20_000, limit=10_020)).count() == 10_020
+    assert len(window.get_page(many, WindowFilter(0, 20_000)).rows) == 10_000
+
+
+def test_page_size_is_clamped():
     assert WindowFilter(0, 1).page_size == 10_000
     assert WindowFilter(0, 1, limit=10**6).page_size == 10_000
     flt, big = WindowFilter(0, 1, limit=10_000), WindowFilter(0, 1, limit=99_999)
@@ -81,7 +90,7 @@ def test_limit_is_clamped():
 
 
 def test_plan_is_a_top_n(ten):
-    plan = window.window_scan(ten, WindowFilter(0, 99))._jdf.queryExecution().toString()
+    plan = window.window_scan(ten, WindowFilter(0, 99, limit=5))._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
 
 

@@ -54,7 +54,23 @@ def test_bad_range(indexed):
 
 
 def test_limit():
-    assert [search.top_k(n) for n in (None, 0, -3, 7, 50, 1000)] == [10, 1, 1, 7, 50, 50]
+    assert [search.top_k(n) for n in (None, 1, 7, 50, 1000)] == [10, 1, 7, 50, 1000]
+    for bad in (0, -3):
+        with pytest.raises(ValueError, match="limit"):
+            search.top_k(bad)
+
+
+def test_hydrate_keeps_every_hit(spark, make_events):
+    hits = spark.createDataFrame([(f"e{i:03}", float(i), False) for i in range(80)], "event_id string, score double, truncated boolean")
+    rows = make_events([(f"e{i:03}", "s", "k", i) for i in range(80)])
+    got = [r["score"] for r in search.hydrate(hits, rows).collect()]
+    assert got == [float(i) for i in range(79, -1, -1)]
+
+
+def test_whole_texts_are_embedded(make_events):
+    rows = make_events([("a", "s", "k", 1, "word " * 2000 + "tail"), ("b", "s", "k", 1, "word " * 2000)])
+    got = {r["event_id"]: r for r in search.embed_events(rows).collect()}
+    assert got["a"]["vector"] != got["b"]["vector"] and not got["a"]["truncated"]
 
 
 def test_ties_go_by_id(spark):
