@@ -7,7 +7,7 @@ concatenated. The result is that of merging the whole piece: no merge reaches ov
 so merges on either side do not see each other.
 
 The tokenizer file gives normaliser, pre-tokeniser, vocabulary, merges and added tokens; the tokenizers
-library runs the first two. Each memo holds at most `MEMO` entries per worker; beyond that it starts anew.
+library runs the first two. The memos of chunks and pieces hold at most `MEMO` and `PIECES` entries per worker; beyond that it starts anew.
 
 Nulls: a null text is empty and has no tokens. Repeated rows get equal results, other columns come
 through, an empty table gives an empty result, and texts are encoded whole.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from eventlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
-MEMO = 300_000
+MEMO, PIECES = 1_000_000, 300_000
 #: Symbols of a fragment from which pairs are kept in a heap.
 LONG = 64
 
@@ -58,7 +59,7 @@ class Codec:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.added.items()}
         self.inside = {pair for token in self.ids for pair in self._pairs(token)}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _symbols(self, token: str) -> list[str]:
@@ -129,19 +130,19 @@ class Codec:
         found = self.pieces.get(piece)
         if found is None:
             found = tuple(i for fragment in self.fragments(piece) for i in self.merged(fragment))
-            if len(self.pieces) >= MEMO:
+            if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             self.pieces[piece] = found
         return found
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a stretch without blanks or line ends; no piece and no normal form reaches over those."""
+    def chunk_ids(self, chunk: str) -> bytes:
+        """Packed ids of a stretch without blanks or line ends; no piece and no normal form reaches over those."""
         normal = self.whole.normalizer.normalize_str(chunk) if self.whole.normalizer else chunk
         pieces = self.whole.pre_tokenizer.pre_tokenize_str(normal)
-        found = self.piece_ids(pieces[0][0]) if len(pieces) == 1 else tuple(i for p, _ in pieces for i in self.piece_ids(p))
+        ids = self.piece_ids(pieces[0][0]) if len(pieces) == 1 else [i for p, _ in pieces for i in self.piece_ids(p)]
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        self.memo[chunk] = found
+        found = self.memo[chunk] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def _sections(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -154,21 +155,27 @@ class Codec:
             at = begin + len(content)
         yield text[at:], None
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        memo = self.memo
+    def packed(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        parts: list[bytes] = []
+        known, learn = self.memo.get, self.chunk_ids
         for section, added in self._sections(text):
             if added is not None:
-                ids.append(added)
-                continue
-            for chunk in section.replace("\n", " ").split(" "):
-                if chunk:
-                    ids.extend(memo.get(chunk) or self.chunk_ids(chunk))
-        return ids
+                parts.append(struct.pack("<I", added))
+            else:
+                chunks = section.replace("\n", " ").split(" ")
+                parts += [known(chunk) or learn(chunk) for chunk in chunks if chunk]
+        return b"".join(parts)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks, as the library does for a file without a decoder; unknown ids go."""
-        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
 @lru_cache(maxsize=2)
@@ -189,14 +196,15 @@ def per_text(schema: str, figures: Callable[[Codec, str], dict], path: str) -> C
 
 
 def _ids(own: Codec, text: str) -> dict:
-    return {"ids": np.asarray(own.encode(text), dtype=np.int32)}
+    return {"ids": np.frombuffer(own.packed(text), "<i4")}
 
 
 def _digest(own: Codec, text: str) -> dict:
-    ids = own.encode(text)
+    packed = own.packed(text)
+    ids = np.frombuffer(packed, "<u4").tolist()
     return {
         "n_tokens": len(ids),
-        "ids_sha256": hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(),
+        "ids_sha256": hashlib.sha256(packed).hexdigest(),
         "decoded_sha256": hashlib.sha256(own.decode(ids).encode()).hexdigest(),
     }
 
