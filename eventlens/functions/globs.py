@@ -85,6 +85,33 @@ def glob_match(col: Column, pattern: str) -> Column:
     return col.rlike(glob_regex(pattern))
 
 
+PATTERN_SET = "exact array<string>, prefixes array<string>, regex string"
+
+
+def pattern_set(patterns: Sequence[str]) -> dict:
+    """Patterns as one value of a configuration table, of type `PATTERN_SET`."""
+    exact, prefixes, rest = [], [], []
+    for pattern in patterns:
+        stem = pattern[:-1]
+        if not _META & set(pattern):
+            exact.append(pattern)
+        elif pattern.endswith("*") and not _META & set(stem):
+            prefixes.append(stem)
+        else:
+            rest.append(glob_regex(pattern).removeprefix("(?s)^").removesuffix(r"\z"))
+    regex = f"(?s)^(?:{'|'.join(rest)})\\z" if rest else None
+    return {"exact": exact, "prefixes": prefixes, "regex": regex}
+
+
+def in_pattern_set(col: Column, patterns: Column) -> Column:
+    """`any_glob` for patterns that come with the row; the regular expression is the last resort."""
+    return (
+        F.array_contains(patterns["exact"], col)
+        | F.exists(patterns["prefixes"], lambda p: F.startswith(col, p))
+        | F.when(patterns["regex"].isNotNull(), F.rlike(col, patterns["regex"])).otherwise(F.lit(False))
+    )
+
+
 def any_glob(col: Column, patterns: Sequence[str]) -> Column:
     """True where a pattern matches; no patterns match nothing (scopes)."""
     if not patterns:

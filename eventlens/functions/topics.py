@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from eventlens.functions.scalars import parse_marked, strict_value
 
 
+#: Payload formats other than JSON.
+FORMATS = ("raw", "hex", "csv")
+
+
 def topic_regex(topic_filter: str) -> str:
     """Regex whose groups are the ``+`` levels, then the ``#`` tail if any.
 
@@ -20,9 +24,9 @@ def topic_regex(topic_filter: str) -> str:
     for i, level in enumerate(topic_filter.split("/")):
         slash = "/" if i else ""
         if level == "#":
-            return f"^{out}(?:{slash}(.*))?$" if i else "(?s)^(.*)$"
+            return rf"(?s)^{out}(?:{slash}(.*))?\z" if i else r"(?s)^(.*)\z"
         out += slash + ("([^/]*)" if level == "+" else re.escape(level))
-    return f"^{out}$"
+    return rf"(?s)^{out}\z"
 
 
 def topic_groups(topic_filter: str) -> tuple[int, bool]:
@@ -41,28 +45,40 @@ def topic_matches(topic: Column, topic_filter: str) -> Column:
     return topic.rlike(topic_regex(topic_filter))
 
 
-def source_from_topic(topic: Column, topic_filter: str, template: str) -> Column | None:
-    """Source id built from the captures; None when the template cannot apply.
+def template_pieces(topic_filter: str, template: str) -> list[str | int] | None:
+    """A template's literals and captures (the N-th ``+``, or 0 for the tail).
 
-    ``{+N}`` is the N-th ``+`` level and ``{#}`` the tail.  A template that
-    names anything else, or a capture the filter lacks, fails for every message.
+    None when the template names anything else, or a capture the filter lacks; it then
+    fails for every message.
     """
     pluses, has_tail = topic_groups(topic_filter)
-    regex = topic_regex(topic_filter)
-    pieces: list[Column] = []
+    pieces: list[str | int] = []
     for literal, placeholder in re.findall(r"([^{]*)(\{[^}]*\}?)?", template):
         if literal:
-            pieces.append(F.lit(literal))
+            pieces.append(literal)
         if not placeholder:
             continue
         body = re.fullmatch(r"\{(?:(#)|\+(\d+))\}", placeholder)
         if body is None:
             return None
-        group = pluses + 1 if body[1] else int(body[2])
+        group = 0 if body[1] else int(body[2])
         if body[1] and not has_tail or body[2] and not 1 <= group <= pluses:
             return None
-        pieces.append(F.regexp_extract(topic, regex, group))
-    return F.concat(*pieces) if pieces else F.lit("")
+        pieces.append(group)
+    return pieces
+
+
+def source_from_topic(topic: Column, topic_filter: str, template: str) -> Column | None:
+    """Source id built from the captures; None when the template cannot apply.
+
+    ``{+N}`` is the N-th ``+`` level and ``{#}`` the tail.
+    """
+    pieces = template_pieces(topic_filter, template)
+    if pieces is None:
+        return None
+    regex, tail = topic_regex(topic_filter), topic_groups(topic_filter)[0] + 1
+    parts = [F.lit(p) if isinstance(p, str) else F.regexp_extract(topic, regex, p or tail) for p in pieces]
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def csv_fields(text: Column) -> Column:
@@ -72,7 +88,9 @@ def csv_fields(text: Column) -> Column:
     one; text after the closing quote is kept.  The line gets a leading comma so
     that every field is one non-empty match of "comma, field".
     """
-    line = F.regexp_replace(F.substring_index(text, "\n", 1), r"\r$", "")
+    first = F.substring_index(text, "\n", 1)
+    ends = F.contains(text, F.lit("\n"))  # a bare "\r" without it belongs to the last field
+    line = F.when(ends, F.regexp_replace(first, r"\r\z", "")).otherwise(first)
     quoted = r'"(?:[^"]|"")*+(?:"|$)'
     pattern = rf"(?s)\G,((?:{quoted})?+[^,]*)"
     fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(pattern), F.lit(1))

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.globs import any_glob
+from eventlens.functions.globs import PATTERN_SET, in_pattern_set, pattern_set
 from eventlens.functions.scalars import semantic_size
 from eventlens.model import HARD_CAP_BYTES, SOFT_CAP_BYTES, TokenScope
+from eventlens.operators.lookup import config_table
 from eventlens.operators.ordered import ROWS_PER_RANGE, running_totals
 
 # Units of a rate and their length in nanoseconds.
@@ -26,19 +27,23 @@ class Admission:
     audit: DataFrame
 
 
-def token_allows(tokens: Sequence[TokenScope]) -> Column:
-    """May the row's token write its source and kind?
+def with_allowed(events: DataFrame, tokens: Sequence[TokenScope]) -> DataFrame:
+    """Add ``allowed``: may the row's token write its source and kind?
 
     Both an allowed source and an allowed kind are needed; an empty list, like
-    an unknown token, allows nothing.
+    an unknown token, allows nothing.  Tokens are looked up in a table, and
+    only the patterns of the row's own token are tested.
     """
-    allowed = F.lit(False)
-    for token in tokens:
-        scope = any_glob(F.col("source_id"), token.allow_sources) & any_glob(
-            F.col("kind"), token.allow_kinds
-        )
-        allowed = F.when(F.col("token_name") == token.name, scope).otherwise(allowed)
-    return allowed
+    schema = f"token_name string, __sources struct<{PATTERN_SET}>, __kinds struct<{PATTERN_SET}>"
+    first = {t.name: t for t in reversed(tokens)}
+    rows = [
+        {"token_name": n, "__sources": pattern_set(t.allow_sources), "__kinds": pattern_set(t.allow_kinds)}
+        for n, t in first.items()
+    ]
+    table = config_table(events.sparkSession, rows, schema)
+    scope = in_pattern_set(F.col("source_id"), F.col("__sources")) & in_pattern_set(F.col("kind"), F.col("__kinds"))
+    found = events.join(table, "token_name", "left").withColumn("allowed", F.coalesce(scope, F.lit(False)))
+    return found.select(*events.columns, "allowed")
 
 
 def batch_verdicts(
@@ -53,9 +58,11 @@ def batch_verdicts(
     the event columns.  Events over the soft cap count only up to the first
     failing one, where checking stops.
     """
-    checked = events.select(
-        "batch_id", "ord", "token_name", "at_ms", "source_id",
-        token_allows(tokens).alias("allowed"),
+    scoped = with_allowed(
+        events.select("batch_id", "ord", "token_name", "at_ms", "source_id", "kind", "semantic"), tokens
+    )
+    checked = scoped.select(
+        "batch_id", "ord", "token_name", "at_ms", "source_id", "allowed",
         semantic_size(F.col("semantic")).alias("size"),
     ).select(
         "*",

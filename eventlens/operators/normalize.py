@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from eventlens.functions.scalars import generated_id, kind_name, kind_version
 from eventlens.functions.schemas import valid_variant
 from eventlens.model import EVENT, EVENT_COLUMNS
+from eventlens.operators.lookup import config_table
 from eventlens.operators.ordered import ROWS_PER_RANGE, running_totals
 
 
@@ -49,8 +50,8 @@ def latest_versions(kinds: DataFrame) -> DataFrame:
 def validate_semantic(events: DataFrame, book: SchemaBook) -> DataFrame:
     """Add ``schema_invalid``: true where a schema applies and fails, else null.
 
-    Two lookup joins with tables made of the configuration at hand, which are
-    therefore broadcast, pick a schema number; each distinct schema is compiled
+    Two lookup joins with tables made of the configuration, which Spark broadcasts by
+    their size, pick a schema number; each distinct schema is compiled
     once and chosen by that number.
     """
     spark = events.sparkSession
@@ -70,22 +71,28 @@ def validate_semantic(events: DataFrame, book: SchemaBook) -> DataFrame:
     by_kind = [(n, v, i) for (n, v), i in declared.items()]
     by_kind += [(n, "", declared[n, v]) for n, v in newest.items() if (n, v) in declared]
 
-    source_table = spark.createDataFrame(by_source, "source_id string, __by_source int")
-    kind_table = spark.createDataFrame(by_kind, "__name string, __version string, __by_kind int")
+    source_table = config_table(
+        spark, [{"source_id": s, "__by_source": i} for s, i in by_source], "source_id string, __by_source int"
+    )
+    kind_table = config_table(
+        spark,
+        [{"__name": n, "__version": v, "__by_kind": i} for n, v, i in by_kind],
+        "__name string, __version string, __by_kind int",
+    )
     picked = (
         events.withColumn("__name", kind_name(F.col("kind")))
         .withColumn("__version", F.coalesce(kind_version(F.col("kind")), F.lit("")))
-        .join(F.broadcast(source_table), "source_id", "left")
-        .join(F.broadcast(kind_table), ["__name", "__version"], "left")
+        .join(source_table, "source_id", "left")
+        .join(kind_table, ["__name", "__version"], "left")
         .withColumn("__schema", F.coalesce("__by_source", "__by_kind"))
         # a column of its own, parsed once and only where a schema applies
         .withColumn("__node", F.when(F.col("__schema").isNotNull(), F.try_parse_json("semantic")))
     )
-    invalid: Column = F.lit(None).cast("boolean")
+    invalid: Column = F.when(F.lit(False), F.lit(None).cast("boolean"))
     node = F.col("__node")
     for text, i in texts.items():
         bad = F.when(~valid_variant(node, json.loads(text)), True)
-        invalid = F.when(F.col("__schema") == i, bad).otherwise(invalid)
+        invalid = invalid.when(F.col("__schema") == i, bad)
     kept = [c for c in events.columns if c != "schema_invalid"]
     return picked.select(*kept, invalid.alias("schema_invalid"))
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.scalars import bare_kind
 from eventlens.model import COSTLY_SWEEP_ROWS, RetentionPolicy
+from eventlens.operators.lookup import config_table
 from eventlens.operators.ordered import (
     RANGE,
     ROWS_PER_RANGE,
@@ -28,33 +30,47 @@ def _tier(policy: RetentionPolicy) -> int:
     return 1 if policy.match_kind is not None else 2
 
 
-def _applies(policy: RetentionPolicy) -> Column:
-    cond = F.lit(True)
-    if policy.match_source_id is not None:
-        cond = F.col("source_id") == policy.match_source_id
-    if policy.match_kind is not None:
-        wanted = F.lit(policy.match_kind)
-        cond &= (F.col("kind") == wanted) | (bare_kind(F.col("kind")) == wanted)
-    return cond
-
-
 def resolve_retention(rows: DataFrame, policies: Sequence[RetentionPolicy]) -> DataFrame:
     """Add the four limits that apply to each row's (source, kind).
 
     Every limit comes from the first matching policy that sets it, going by
-    tier and then by configured order.  Policies are configuration, so they
-    become plain expressions: no join, no shuffle, and usable on pairs,
-    descriptors or events alike.
+    tier and then by configured order.  Policies become small tables, one for each way
+    of naming what they match, with the first policy of each name; a row looks
+    up its source and its kind, as sent and without version, and takes the
+    first of what it finds.
     """
     ranked = sorted(policies, key=_tier)  # stable: configured order within a tier
-    for limit in LIMITS:
-        value = F.lit(None).cast("long")
-        for policy in reversed(ranked):
-            setting = getattr(policy, limit)
-            if setting is not None:
-                value = F.when(_applies(policy), F.lit(setting).cast("long")).otherwise(value)
-        rows = rows.withColumn(limit, value)
-    return rows
+    tables: dict[tuple[bool, bool], dict[tuple, dict]] = {}
+    for rank, policy in enumerate(ranked):
+        name = (policy.match_source_id, policy.match_kind)
+        entry = tables.setdefault((name[0] is not None, name[1] is not None), {}).setdefault(name, {})
+        for limit in LIMITS:
+            if (value := getattr(policy, limit)) is not None:
+                entry.setdefault(limit, {"rank": rank, "value": value})
+
+    columns, found = rows.columns, []
+    rows = rows.withColumn("__bare", bare_kind(F.col("kind")))
+    fields = ", ".join(f"{limit} struct<rank: int, value: bigint>" for limit in LIMITS)
+    for (by_source, by_kind), entries in sorted(tables.items()):
+        if not by_source and not by_kind:
+            only = entries[None, None]
+            kept = {k: F.struct(F.lit(v["rank"]).alias("rank"), F.lit(v["value"]).cast("long").alias("value")) for k, v in only.items()}
+            found.append(kept)
+            continue
+        listed = [{"s": s, "k": k, "limits": {**dict.fromkeys(LIMITS), **e}} for (s, k), e in entries.items()]
+        table = config_table(rows.sparkSession, listed, f"s string, k string, limits struct<{fields}>")
+        for kind in ("kind", "__bare") if by_kind else (None,):
+            at = f"__found{len(found)}"
+            same = [F.col("source_id") == F.col("__s")] if by_source else []
+            same += [F.col(kind) == F.col("__k")] if kind else []
+            named = table.select(F.col("s").alias("__s"), F.col("k").alias("__k"), F.col("limits").alias(at))
+            rows = rows.join(named, reduce(Column.__and__, same), "left").drop("__s", "__k")
+            found.append({limit: F.col(at)[limit] for limit in LIMITS})
+
+    none = F.lit(None).cast("struct<rank: int, value: bigint>")
+    firsts = {limit: [f[limit] for f in found if limit in f] for limit in LIMITS}
+    limits = [F.least(none, none, *firsts[limit])["value"].alias(limit) for limit in LIMITS]
+    return rows.select(*columns, *limits)
 
 
 def effective_retention(pairs: DataFrame, policies: Sequence[RetentionPolicy]) -> DataFrame:
