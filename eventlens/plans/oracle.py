@@ -443,6 +443,53 @@ SELECT message_no, CASE WHEN et = 'view' THEN {_CSV}
     "decode_json": f"""WITH {_MSG}
 SELECT message_no, CASE WHEN et <> 'view' THEN replace(body, ' ', '') END AS semantic
 FROM msg""",
+    "effective_retention_many": f"""WITH {_EV}, pairs AS (
+  SELECT DISTINCT source_id, kind, split_part(kind, '@', 1) AS bare, split_part(source_id, '.', 2)::INT AS u FROM ev)
+SELECT source_id, kind,
+       (CASE WHEN u % 2 = 0 AND bare = 'view' THEN u + 1 END)::BIGINT AS max_age_ms,
+       (u % 7 + 1)::BIGINT AS max_count,
+       CASE WHEN bare = 'click' THEN 9 END::BIGINT AS max_bytes,
+       NULL::BIGINT AS vector_max_age_ms FROM pairs""",
+    "admit_many_tokens": f"""WITH {_EV}
+SELECT event_id, source_id, kind FROM ev
+WHERE split_part(source_id, '.', 2)::INT % 3 <> 0 AND kind LIKE 'v%'""",
+    "rate_limit_turns": f"""WITH RECURSIVE passed AS (
+  SELECT conv_id * 1000 + turn AS batch_id, 'edge' || conv_id % 3 AS token_name,
+         {NOW_MS} + conv_id * 400 + turn // 2 * 50 AS at_ms FROM conversations),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY token_name ORDER BY at_ms, batch_id) AS n,
+         CASE token_name WHEN 'edge0' THEN 1 WHEN 'edge2' THEN 2 END AS burst,
+         CASE token_name WHEN 'edge0' THEN 1000000000 WHEN 'edge2' THEN 30000000000 END AS step
+  FROM passed),
+walk AS (
+  SELECT token_name, n, batch_id, at_ms, true AS allowed, at_ms * 1000000 + step AS due
+  FROM numbered WHERE n = 1 AND step IS NOT NULL
+  UNION ALL
+  SELECT x.token_name, x.n, x.batch_id, x.at_ms,
+         greatest(w.due, x.at_ms * 1000000) + x.step - x.at_ms * 1000000 <= x.burst * x.step,
+         CASE WHEN greatest(w.due, x.at_ms * 1000000) + x.step - x.at_ms * 1000000 <= x.burst * x.step
+              THEN greatest(w.due, x.at_ms * 1000000) + x.step ELSE w.due END
+  FROM walk w JOIN numbered x ON x.token_name = w.token_name AND x.n = w.n + 1)
+SELECT batch_id, token_name, at_ms, allowed FROM walk
+UNION ALL SELECT batch_id, token_name, at_ms, true FROM numbered WHERE step IS NULL""",
+    "rate_limit": f"""WITH RECURSIVE {_ADMIT},
+numbered AS (
+  SELECT batch_id, token_name, at_ms,
+         row_number() OVER (PARTITION BY token_name ORDER BY at_ms, batch_id) AS n,
+         CASE token_name WHEN 'edge0' THEN 1 WHEN 'edge2' THEN 2 END AS burst,
+         CASE token_name WHEN 'edge0' THEN 1000000000 WHEN 'edge2' THEN 30000000000 END AS step
+  FROM audit WHERE reason IS NULL),
+walk AS (
+  SELECT token_name, n, batch_id, at_ms, true AS allowed, at_ms * 1000000 + step AS due
+  FROM numbered WHERE n = 1 AND step IS NOT NULL
+  UNION ALL
+  SELECT x.token_name, x.n, x.batch_id, x.at_ms,
+         greatest(w.due, x.at_ms * 1000000) + x.step - x.at_ms * 1000000 <= x.burst * x.step,
+         CASE WHEN greatest(w.due, x.at_ms * 1000000) + x.step - x.at_ms * 1000000 <= x.burst * x.step
+              THEN greatest(w.due, x.at_ms * 1000000) + x.step ELSE w.due END
+  FROM walk w JOIN numbered x ON x.token_name = w.token_name AND x.n = w.n + 1)
+SELECT batch_id, token_name, at_ms, allowed FROM walk
+UNION ALL SELECT batch_id, token_name, at_ms, true FROM numbered WHERE step IS NULL""",
     "effective_retention": f"""WITH {_EV_LIMITS}
 SELECT DISTINCT source_id, kind, max_age_ms::BIGINT AS max_age_ms,
        max_count::BIGINT AS max_count, max_bytes::BIGINT AS max_bytes,
@@ -495,13 +542,13 @@ SELECT doc_id, {_utf8_prefix("text", 2048)} AS text, strlen(text) > 2048 AS trun
 FROM documents""",
     "hash_embed": f"""WITH {_embedded("e", "SELECT doc_id AS id, text FROM documents")}
 SELECT id AS doc_id, idx, round(value::DOUBLE, 5) AS value FROM e""",
-    "embed_events": f"""WITH {_CHAT}, cut AS (
-  SELECT event_id AS id, strlen(semantic) > 2048 AS truncated,
-         {_utf8_prefix("semantic", 2048)} AS text FROM chat),
-{_embedded("e", "SELECT id, text FROM cut")}
-SELECT id AS event_id, truncated, 'hash-sha256-64' AS model_id, idx,
-       round(value::DOUBLE, 5) AS value FROM e JOIN cut USING (id)""",
+    "embed_events": f"""WITH {_CHAT},
+{_embedded("e", "SELECT event_id AS id, semantic AS text FROM chat")}
+SELECT id AS event_id, false AS truncated, 'hash-sha256-64' AS model_id, idx,
+       round(value::DOUBLE, 5) AS value FROM e""",
     "search_topk": f"""WITH {_EV}, {_VEC}, {_search("true", 20)}
+SELECT * EXCLUDE (raw), round(raw, 5) AS score FROM hits""",
+    "search_top200": f"""WITH {_EV}, {_VEC}, {_search("true", 200)}
 SELECT * EXCLUDE (raw), round(raw, 5) AS score FROM hits""",
     "search_filtered": f"""WITH {_EV}, {_VEC}, {_search(
         f"ts_ms_utc >= {S.NEARBY.start_ms} AND ts_ms_utc < {S.NEARBY.end_ms} "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventlens.functions.embedding import hash_embedder
 from eventlens.functions.scalars import day_of, kind_name, kind_version, utf8_cut, was_cut
 from eventlens.functions.topics import decode_payload
-from eventlens.model import Anchor
+from eventlens.model import Anchor, RetentionPolicy, TokenScope
 from eventlens.operators import (
     admission,
     descriptors,
@@ -270,6 +270,29 @@ def ingest_counters(spark, d):
     return health.ingest_counters(accepted, admitted.audit, routed)
 
 
+@query
+def admit_many_tokens(spark, d):
+    """A token of its own for each of 5000 users, of which every third may write nothing."""
+    tokens = [
+        TokenScope(f"user.{u}", (f"user.{u}",) if u % 2 else (f"user.{u}*", "[x]?"), ("v*", "{nothing}") if u % 3 else ())
+        for u in range(5000)
+    ]
+    rows = tables.events(spark, d).withColumn("token_name", F.col("source_id"))
+    allowed = admission.with_allowed(rows, tokens).where("allowed")
+    return allowed.select("event_id", "source_id", "kind")
+
+
+@query
+def rate_limit_turns(spark, d):
+    """Every turn of a conversation is a batch; two turns share a millisecond."""
+    turns = tables.table(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("batch_id"),
+        F.concat(F.lit("edge"), (F.col("conv_id") % 3).cast("string")).alias("token_name"),
+        (F.lit(tables.NOW_MS) + F.col("conv_id") * 400 + F.floor(F.col("turn") / 2) * 50).cast("long").alias("at_ms"),
+    )
+    return admission.rate_limit(turns, S.TOKENS)
+
+
 @query
 def rate_limit(spark, d):
     audit = _admitted(spark, d).audit
@@ -385,6 +408,17 @@ def decode_json(spark, d):
 # --- retention ---------------------------------------------------------------
 
 
+@query
+def effective_retention_many(spark, d):
+    """One policy or two for each of 5000 users; most name users that never wrote."""
+    policies = [RetentionPolicy(match_source_id=f"user.{u}", max_count=u % 7 + 1) for u in range(5000)]
+    policies += [
+        RetentionPolicy(match_source_id=f"user.{u}", match_kind="view", max_age_ms=u + 1) for u in range(0, 5000, 2)
+    ]
+    policies.append(RetentionPolicy(match_kind="click", max_bytes=9))
+    return retention.effective_retention(tables.events(spark, d), policies)
+
+
 @query
 def effective_retention(spark, d):
     return retention.effective_retention(tables.events(spark, d), S.POLICIES)
@@ -509,6 +543,11 @@ def search_topk(spark, d):
     return _rounded(search.search(tables.vectors(spark, d, MODEL), S.QUERY_TEXT, 20))
 
 
+@query
+def search_top200(spark, d):
+    return _rounded(search.search(tables.vectors(spark, d, MODEL), S.QUERY_TEXT, 200))
+
+
 @query
 def search_filtered(spark, d):
     return _rounded(search.search(tables.vectors(spark, d, MODEL), S.QUERY_TEXT, 50, S.NEARBY))
