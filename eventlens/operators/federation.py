@@ -13,6 +13,9 @@ from eventlens.functions.globs import glob_filter
 from eventlens.model import Peer
 
 
+_TOLERANT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+
+
 @dataclass(frozen=True)
 class Federated:
     rows: DataFrame
@@ -45,16 +48,18 @@ def federate(
 
     Local rows carry a null ``peer_id``; a peer's rows carry its id, which
     replaces any id they came with.  Nothing is deduplicated.  A peer whose
-    table cannot be opened contributes a status and no rows.  Waiting for slow
-    peers is a matter of the storage client, so no status is called a timeout
-    here.
+    table cannot be opened contributes a status and no rows; a file of a peer that
+    turns out damaged or gone while rows are read costs its own rows, never the
+    query.  Waiting for slow peers is a matter of the storage client, so no
+    status is called a timeout here.
     """
     spark = local.sparkSession
     rows = local.withColumn("peer_id", F.lit(None).cast("string"))
     status: list[tuple[str, str, str | None]] = []
     for peer in peers:
         try:
-            remote = spark.read.format(peer.fmt).options(**peer.options).load(peer.path)
+            options = {**_TOLERANT, **peer.options}
+            remote = spark.read.format(peer.fmt).options(**options).load(peer.path)
             rows = merge_peer(rows, remote, peer.peer_id, sources, kinds)
             status.append((peer.peer_id, "ok", None))
         except (AnalysisException, PySparkException) as error:

@@ -46,11 +46,15 @@ def select_for_embedding(
 
 
 def embed_events(
-    events: DataFrame, embedder: Embedder | None = None, max_bytes: int | None = None
+    events: DataFrame,
+    embedder: Embedder | None = None,
+    max_bytes: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Vector rows of events: compact JSON, embedded whole.
 
-    ``max_bytes`` cuts longer texts between characters, which ``truncated`` then says.
+    ``max_bytes`` cuts longer texts between characters, which ``truncated`` then says;
+    ``keep`` names further columns of the events to take along.
     """
     embedder = embedder or hash_embedder()
     text = F.col("semantic")
@@ -63,6 +67,7 @@ def embed_events(
         (was_cut(text, max_bytes) if cut else F.lit(False)).alias("truncated"),
         F.lit(embedder.model_id).alias("model_id"),
         embedder.embed(utf8_cut(text, max_bytes) if cut else text).alias("vector"),
+        *keep,
     )
 
 

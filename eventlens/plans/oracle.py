@@ -594,6 +594,13 @@ SELECT source_id, kind, event_id, ts_ms_utc, NULL::VARCHAR AS peer_id FROM lates
 UNION ALL
 SELECT 'site.' || source_id, kind, event_id, ts_ms_utc, 'hub' FROM latest
 WHERE source_id GLOB 'user.1*'""",
+    "federated_paths": f"""WITH {_EV}, {_LATEST}
+SELECT source_id, kind, event_id, ts_ms_utc, NULL::VARCHAR AS peer_id FROM latest
+UNION ALL
+SELECT 'site.' || source_id, kind, event_id, ts_ms_utc, 'hub' FROM latest
+WHERE source_id GLOB 'user.1*'""",
+    "federated_status": """SELECT peer_id, status
+FROM (VALUES ('hub', 'ok'), ('gone', 'error'), ('torn', 'error')) s(peer_id, status)""",
     "forward_projection": f"""WITH {_EV}
 SELECT event_id, 'kitchen.' || source_id AS source_id, kind, ts_ms_utc, semantic FROM ev""",
 }

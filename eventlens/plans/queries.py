@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventlens.functions.embedding import hash_embedder
 from eventlens.functions.scalars import day_of, kind_name, kind_version, utf8_cut, was_cut
 from eventlens.functions.topics import decode_payload
-from eventlens.model import Anchor, RetentionPolicy, TokenScope
+from eventlens.model import Anchor, Peer, RetentionPolicy, TokenScope
 from eventlens.operators import (
     admission,
     descriptors,
@@ -743,6 +743,27 @@ def federated_state(spark, d):
     )
 
 
+def _federated(spark, d) -> federation.Federated:
+    """Peers as stored tables: a hub, one that is not there and one whose files are no tables."""
+    folder = run_folder(spark, "peers")
+    here = state.latest_by_event_time(tables.events(spark, d)).select(*PAIR, "event_id", "ts_ms_utc")
+    hub = here.withColumn("source_id", F.concat(F.lit("site."), "source_id"))
+    hub.write.parquet(f"{folder}/hub")
+    here.select("event_id").write.text(f"{folder}/torn")
+    peers = [Peer(name, f"{folder}/{name}") for name in ("hub", "gone", "torn")]
+    return federation.federate(here, peers, ("site.user.1*",))
+
+
+@query
+def federated_paths(spark, d):
+    return _federated(spark, d).rows
+
+
+@query
+def federated_status(spark, d):
+    return _federated(spark, d).status.select("peer_id", "status")
+
+
 @query
 def forward_projection(spark, d):
     rows = normalize.normalize(tables.events(spark, d), ARRIVAL)

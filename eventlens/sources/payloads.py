@@ -130,7 +130,8 @@ def parse_payloads(payloads: DataFrame) -> Parsed:
     items = F.col("__list")
     verdict = parsed.withColumn(
         "reason",
-        F.when(node.isNull() | items.isNull(), "invalid JSON")
+        F.when(node.isNull(), "invalid JSON")
+        .when(items.isNull(), "not an event or a list of events")
         .when(F.size(items) == 0, "no events in payload")
         .when(~F.forall(items, _event_ok), "invalid event"),
     )

@@ -65,10 +65,11 @@ def upsert(stored: DataFrame, added: DataFrame, arrival: Sequence[str]) -> DataF
 def append_vectors(
     vectors: DataFrame, path: str, model_id: str, dim: int, arrival: Sequence[str]
 ) -> None:
-    """Upsert by event_id, rewriting only the days that hold a replaced vector.
+    """Upsert by event_id.
 
-    New ids are plainly appended to their day.  The list of rewritten days is
-    what reaches the driver.
+    If all ids are new they are plainly appended to their days; as soon as one is
+    replaced, the days of all added and all replaced vectors are rewritten.  The
+    list of those days is what reaches the driver.
     """
     spark = vectors.sparkSession
     check_vectors(vectors, model_id, dim)

@@ -116,7 +116,7 @@ def embed_sink(
     embedder: Embedder | None = None,
     max_bytes: int | None = None,
 ) -> Callable[[DataFrame, int], dict]:
-    """Embed the selected events of each micro-batch, last write per id.
+    """Embed the selected events of each micro-batch; of an id the last to arrive stays.
 
     The batch is embedded once: into a table of its own for this batch, from
     which the index is then updated.
@@ -126,9 +126,10 @@ def embed_sink(
     def write(batch: DataFrame, batch_id: int) -> dict:
         chosen = select_for_embedding(batch, sources, kinds)
         staged = f"{path}-staged/batch={batch_id}"
-        embed_events(chosen, model, max_bytes).write.mode("overwrite").parquet(staged)
+        rows = embed_events(chosen, model, max_bytes, keep=["ingest_ts_ms_utc"])
+        rows.write.mode("overwrite").parquet(staged)
         embedded = batch.sparkSession.read.parquet(staged)
-        append_vectors(embedded, path, model.model_id, model.dim, ["ts_ms_utc"])
+        append_vectors(embedded, path, model.model_id, model.dim, ["ingest_ts_ms_utc", "ts_ms_utc"])
         seen = embedded.agg(F.count("*"), F.count_if("truncated")).first()
         return {"rows": seen[0], "truncated": seen[1]}
 
@@ -153,12 +154,19 @@ def forward_sink(path: str, peer_id: str) -> Callable[[DataFrame, int], dict]:
 # --- normalisation -----------------------------------------------------------
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _counters(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """Counters before a batch; only the first batch may find none.
+
+    Taking lost counters for empty ones would number every source from one again.
+    """
+    schema = "source_id string, last_seq long"
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(f"{folder}/batch={batch_id - 1}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        if batch_id > 0:
+            raise RuntimeError(f"the counters before batch {batch_id} are gone from {folder}") from error
         return spark.createDataFrame([], schema)
 
 
@@ -180,9 +188,7 @@ def normalize_sink(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _read_or_empty(
-            spark, f"{counters_path}/batch={batch_id - 1}", "source_id string, last_seq long"
-        )
+        before = _counters(spark, counters_path, batch_id)
         numbered = normalize(
             batch, arrival, now_ms() if now_ms else None, book, **options
         ).join(before, "source_id", "left")

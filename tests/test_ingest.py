@@ -31,7 +31,7 @@ PAYLOADS = {
     "bad link": ({**EVENT, "links": [{"rel": "r"}]}, "invalid event"),
     "empty list": ([], "no events in payload"),
     "empty wrapper": ({"events": []}, "no events in payload"),
-    "scalar": (3, "invalid JSON"),
+    "scalar": (3, "not an event or a list of events"),
 }
 
 

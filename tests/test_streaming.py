@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from eventlens.functions.embedding import hash_embedder
 from eventlens.model import EVENT, KIND, SOURCE
 from eventlens.operators import health, normalize, state
 from eventlens.sources import events_log, vectors
@@ -140,3 +141,21 @@ def test_near_duplicates(spark, make_events, tmp_path):
     out = str(tmp_path / "out")
     jobs.start(jobs.dedupe_stream(stream), jobs.changes_sink(out), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_lost_counters_stop_the_stream(make_events, tmp_path):
+    sink = jobs.normalize_sink(str(tmp_path / "log"), str(tmp_path / "counters"))
+    rows = make_events([("a", "s", "k", 1)])
+    sink(rows, 0)
+    with pytest.raises(RuntimeError, match="counters before batch 2"):
+        sink(rows, 2)
+
+
+def test_last_arrival_wins_whatever_its_event_time(spark, make_events, tmp_path):
+    sources = spark.createDataFrame([("s", True)], "source_id string, embed boolean")
+    kinds = spark.createDataFrame([], "name string, embed boolean, ord int")
+    model = hash_embedder()
+    sink = jobs.embed_sink(str(tmp_path / "vectors"), sources, kinds, model)
+    sink(make_events([("a", "s", "k", 9, '{"t":"early"}', 100), ("a", "s", "k", 5, '{"t":"late"}', 200)]), 0)
+    stored = vectors.load_vectors(spark, str(tmp_path / "vectors"), model.model_id, model.dim).first()
+    assert stored["ts_ms_utc"] == 5
