@@ -2,16 +2,17 @@
 
 Method: rare-first prefix filtering. Documents with equal sets form a class, which takes part once.
 Of each class only the prefix, its rarest n-grams, is joined; two classes that reach the threshold
-share an n-gram of their prefixes, whatever the order of rarity is, so that order may rest on
-estimates (`frequent_grams`) without losing a link. Candidates pass length and positional filters, and each pair is
-verified once, after a suffix filter, on the whole sets.
+share an n-gram of their prefixes, whatever the order of rarity is, so it may rest on the first bits
+of n-grams' hashes (`survey`) without losing a link. N-grams of one document only, known from a bit map,
+are not joined at all. Candidates pass length and positional filters, and each pair is verified once,
+after a suffix filter, on the whole sets.
 
 Large groups of near copies would give the square of their size in pairs. Links only have to connect, so
-rounds of stars come first: in each n-gram's posting list every class is
-compared with one centre, and components are formed. What is left are pairs of different components,
-all of which are compared (`open_pairs`). No pair within a component is made or compared.
+rounds of stars come first: in each n-gram's posting list every class is compared with one centre, and
+components are formed. What is left are pairs of different components, all of which are compared
+(`open_pairs`). No pair within a component is made or compared.
 
-Hot n-grams (by the estimates) are dealt by class as well, in their stars; joins on them are split by adaptive execution.
+Hot n-grams are dealt by class as well, in their stars; joins on them are split by adaptive execution.
 Intermediate tables go to the shared folder, so a lost executor costs no more than a stage.
 
 Hashes have 64 bits: an n-gram stands for its hash, a class for the hash of its set.
@@ -23,10 +24,13 @@ give equal results; other columns are ignored; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +38,17 @@ from eventlens.llm.common import WORD, stored, table
 
 GRAM = 5
 PERCENT = 80
-#: Frequent n-grams whose estimates are broadcast, at most (16 bytes each).
+#: Frequent n-grams whose counts are broadcast, at most (16 bytes each).
 FREQUENT = 1 << 19
-#: N-grams that are counted together in a task.
-BLOCK = 1 << 22
-#: Estimated documents of an n-gram's posting list that one task is to hold.
+#: N-grams that a task packs at once, bits of their hashes by which they are counted, and bits packed as they are.
+BLOCK, KEY_BITS, LOW_BITS = 1 << 21, 48, 24
+#: Documents of an n-gram's posting list that one task is to hold.
 HOT = 20_000
 STARS = 2
+#: Bits of the hash that make the suffix filter's parts.
+PART_BITS = 4
+#: Size of the bit maps of n-grams and of classes that are broadcast (16 MB each).
+FILTER_BITS = 27
 MAX_STEPS = 60
 
 _U = np.uint64
@@ -93,124 +101,193 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), word_hashes(F.col("text")).alias("words"))
 
 
-def _batch(columns: dict[str, tuple[pa.DataType, object]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in columns.values()], list(columns))
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Sorted numbers of `width` bits in about 4 bytes each (Elias-Fano): low bits as they are, high ones in unary."""
+    lows = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : LOW_BITS // 8]
+    marks = np.zeros(len(values) + (1 << (width - LOW_BITS)), bool)
+    marks[(values >> LOW_BITS) + np.arange(len(values))] = True
+    return len(values).to_bytes(4, "little") + lows.tobytes() + np.packbits(marks).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    count, step = int.from_bytes(data[:4], "little"), LOW_BITS // 8
+    lows = np.zeros((count, 4), np.uint8)
+    lows[:, :step] = np.frombuffer(data, np.uint8, count * step, 4).reshape(count, step)
+    marks = np.unpackbits(np.frombuffer(data, np.uint8, offset=4 + count * step))
+    highs = np.flatnonzero(marks)[:count] - np.arange(count)
+    return (highs << LOW_BITS) + lows.view("<u4").ravel()
 
 
 def survey(docs: DataFrame, gram: int) -> DataFrame:
-    """One pass: a row for each document (`size` is its set's, `class` names its set), and rows
-    with `size` null for n-grams (in `class`) that several documents of a block hold (`count`)."""
+    """One pass and one shuffle: a row for each document (`size` is its set's, `class` names its set), and rows
+    with `size` null for n-grams (their first KEY_BITS bits, in `class`) that occur in `count` > 1 documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    N-grams travel packed by ranges, in blocks; a range is counted in one task and holds a few million of them.
+    A class counts once per task.
+    """
+    bits = min(KEY_BITS - LOW_BITS, max(8, math.ceil(math.log2(max(1, docs.count()) / 4096))))
+    width = KEY_BITS - bits
+    names = ["bucket", "grams", "doc_id", "row", "size", "class"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        seen: set[int] = set()
         n = 0
 
-        def repeated() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            grams, counts = grams[counts > 1], counts[counts > 1]
-            none = pa.nulls(len(grams), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(grams.view(np.int64)), pa.array(counts)], ["doc_id", "row", "size", "class", "count"]
-            )
+        def ranges() -> pa.RecordBatch:
+            keys = np.sort(np.concatenate(held) >> _U(64 - KEY_BITS)).astype(np.int64)
+            buckets, starts = np.unique(keys >> width, return_index=True)
+            keys &= (1 << width) - 1
+            parts = [packed(keys[a:b], width) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
+            none = pa.nulls(len(parts), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(parts, pa.binary()), none, none, none, none], names)
 
         for batch in batches:
             sizes, classes = [], []
             for grams in gram_sets(batch.column("words"), gram):
+                own = class_of(grams) if len(grams) else None
                 sizes.append(len(grams))
-                classes.append(class_of(grams) if len(grams) else None)
-                held.append(grams)
-                n += len(grams)
+                classes.append(own)
+                if own is not None and own not in seen:
+                    seen.add(own)
+                    held.append(grams)
+                    n += len(grams)
                 if n >= BLOCK:
-                    yield repeated()
+                    yield ranges()
                     held, n = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("row"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(classes, pa.int64()),
-                    pa.nulls(len(sizes), pa.int64()),
-                ],
-                ["doc_id", "row", "size", "class", "count"],
-            )
+            rows = batch.column("row")
+            spread = -1 - (rows.to_numpy() & 1023)
+            columns = [pa.array(spread), pa.nulls(len(rows), pa.binary()), batch.column("doc_id"), rows]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names)
+        if n:
+            yield ranges()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = -1
+
+        def repeated() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            grams, counts = grams[counts > 1] + (at << width), counts[counts > 1]
+            none = pa.nulls(len(grams), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(grams), pa.array(counts)], [*names[2:], "count"])
+
+        for batch in batches:
+            own = batch.filter(pc.less(batch.column("bucket"), 0))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names[2:]), pa.nulls(len(own), pa.int64())], [*names[2:], "count"])
+            for bucket, grams in zip(batch.column("bucket").to_pylist(), batch.column("grams"), strict=True):
+                if bucket < 0:
+                    continue
+                if bucket != at and held:
+                    yield repeated()
+                    held = []
+                at = bucket
+                held.append(unpacked(grams.as_py()))
         if held:
             yield repeated()
 
-    return hashed(docs).mapInArrow(run, "doc_id long, row long, size long, class long, count long")
+    gathered = hashed(docs).mapInArrow(gather, "bucket long, grams binary, doc_id long, row long, size long, class long")
+    dealt = gathered.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "doc_id long, row long, size long, class long, count long")
+
+
+def bit_map(frame: DataFrame, place: Column) -> np.ndarray:
+    """A bit map of the places, numbers of FILTER_BITS bits, that occur; packed by tasks, so its size bounds what is collected."""
+    chunks = frame.groupBy(F.shiftright(place, 15).alias("chunk")).agg(
+        F.collect_set(place.bitwiseAND((1 << 15) - 1).cast("int")).alias("bits")
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for bits in batch.column("bits"):
+                flags = np.zeros(1 << 15, bool)
+                flags[bits.values.to_numpy()] = True
+                parts.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(parts, pa.binary())], ["chunk", "bits"])
+
+    whole = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in chunks.mapInArrow(pack, "chunk long, bits binary").collect():
+        at = row["chunk"] << 12
+        whole[at : at + (1 << 12)] = np.frombuffer(row["bits"], np.uint8)
+    return whole
+
 
+def in_bit_map(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8) & 1).astype(bool)
 
-def frequent_grams(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams by estimate, sorted, and their counts; at most `most`.
 
-    The estimate sums the counts of blocks in which an n-gram repeats. It bounds what is
-    brought to the driver: a histogram of 8 steps per power of two says from which count on to take n-grams.
+def repeated_grams(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bit map of all n-grams that several documents hold, and keys and counts of the most frequent, at most `most`.
+
+    The bit map may have others too, once there are very many; those then count as repeated. A histogram of 8 steps per power
+    of two says from which count on n-grams are taken by name.
     """
-    counts = stored(
-        surveyed.filter(F.col("size").isNull()).groupBy("class").agg(F.sum("count").alias("count")), "gram-counts"
-    )
-    step = F.floor(F.log2(F.col("count")) * 8).cast("int").alias("step")
+    counts = surveyed.filter(F.col("size").isNull()).select("class", "count")
+    bits = bit_map(counts, F.shiftright("class", KEY_BITS - FILTER_BITS))
+    step = F.floor(F.log2(F.col("count")) * 8).cast("int")
     least, total = None, 0
-    for row in sorted(counts.groupBy(step).count().collect(), key=lambda r: -r["step"]):
+    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
         total += row["count"]
         if total > most:
             break
         least = row["step"]
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    top = counts.filter(F.floor(F.log2(F.col("count")) * 8) >= least).toArrow()
-    grams, count = top.column("class").to_numpy().view(np.uint64), top.column("count").to_numpy()
-    order = np.argsort(grams)
-    return grams[order], count[order]
-
+        return bits, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = counts.filter(step >= least).toArrow()
+    keys, count = top.column("class").to_numpy(), top.column("count").to_numpy()
+    order = np.argsort(keys)
+    return bits, keys[order], count[order]
 
-def needed(a: int, b: int, percent: int) -> int:
-    """The least intersection with which sets of these sizes reach the threshold."""
-    return -(-percent * (a + b) // (100 + percent))
 
+def prefixes(docs: DataFrame, repeated: tuple[np.ndarray, np.ndarray, np.ndarray], gram: int, percent: int) -> DataFrame:
+    """(token, salt, class, place, size, rare) for the prefix of each class; a class once per task.
 
-def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], gram: int, percent: int) -> DataFrame:
-    """(token, salt, class, place, size) for the prefix of each class; a class once per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    N-grams of one document only come first and meet no other; they take their places but are
+    not given out. `rare` is their number.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(repeated)
+    names = ["token", "salt", "class", "place", "size", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
+        bits, known, counts = shared.value
         seen: set[int] = set()
         for batch in batches:
-            tokens, salts, classes, places, sizes = [], [], [], [], []
+            found: list[tuple] = []
             for grams in gram_sets(batch.column("words"), gram):
                 size = len(grams)
                 if not size or (own := class_of(grams)) in seen:
                     continue
                 seen.add(own)
-                often = np.zeros(size, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    often = np.where(known[at] == grams, counts[at], 0)
+                keys = (grams >> _U(64 - KEY_BITS)).astype(np.int64)
+                several = np.flatnonzero(in_bit_map(bits, keys >> (KEY_BITS - FILTER_BITS)))
+                rare = size - len(several)
                 length = size + percent * size // -100 + 1
-                order = np.argsort(often, kind="stable")[:length]  # rare first, then by hash
-                tokens.append(grams[order])
-                salts.append(own % (often[order] // HOT + 1))
-                classes.append(np.full(length, own, np.int64))
-                places.append(np.arange(length, dtype=np.int64))
-                sizes.append(np.full(length, size, np.int64))
-            if tokens:
-                columns = [np.concatenate(x) for x in (tokens, salts, classes, places, sizes)]
-                columns[0] = columns[0].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], ["token", "salt", "class", "place", "size"]
-                )
-
-    schema = "token long, salt long, class long, place long, size long"
-    return hashed(docs).mapInArrow(run, schema)
+                if rare >= length:
+                    continue
+                grams, keys, often = grams[several], keys[several], np.ones(len(several), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    often = np.where(known[at] == keys, counts[at], 1)
+                order = np.argsort(often, kind="stable")[: length - rare]  # rare first, then by hash
+                same = [np.full(len(order), x, np.int64) for x in (own, size, rare)]
+                places = np.arange(rare, rare + len(order))
+                found.append((grams[order].view(np.int64), own % (often[order] // HOT + 1), same[0], places, same[1], same[2]))
+            if found:
+                columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return hashed(docs).mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
 
 def postings(prefix: DataFrame) -> DataFrame:
     """Prefix rows of tokens that several classes hold, each class once per token."""
-    dealt = prefix.select("token", "salt", "class", F.col("place").cast("int"), F.col("size").cast("int"))
+    ints = [F.col(c).cast("int") for c in ("place", "size", "rare")]
     rows = (
-        dealt.repartition("token", "salt")
+        prefix.select("token", "salt", "class", *ints)
+        .repartition("token", "salt")
         .groupBy("token", "salt", "class")
-        .agg(F.min("place").alias("place"), F.min("size").alias("size"))
+        .agg(*(F.min(c).alias(c) for c in ("place", "size", "rare")))
     )
     group = Window.partitionBy("token", "salt")
     rows = rows.withColumn("many", F.min("class").over(group) != F.max("class").over(group))
@@ -224,7 +301,8 @@ def close_sizes(a: Column, b: Column, percent: int) -> Column:
 def star_pairs(posts: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """Each class with the centre of each of its tokens; centres change with `turn`."""
     rows = labelled(posts, labels)
-    order = F.xxhash64("class", F.lit(turn))
+    # first the class with least of its own, which is what near copies were copied from, then any
+    order = F.struct(F.col("rare") if turn == 0 else F.lit(0), F.xxhash64("class", F.lit(turn)))
     centre = F.min(F.struct(order.alias("o"), F.col("class").alias("hub"), F.col("size").alias("hub_size"), F.col("label").alias("hub_label")))
     dealt = rows.groupBy("token", "salt").agg(centre.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     dealt = dealt.select("token", "salt", "c.*", "lo", "hi")
@@ -261,7 +339,7 @@ def open_pairs(posts: DataFrame, labels: DataFrame | None, percent: int) -> Data
     by_label = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
     largest = by_label.groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
     largest = largest.filter("labels > 1").drop("labels")
-    rows = stored(rows.join(largest, "token").drop("salt"), "open-rows")
+    rows = stored(rows.join(largest, "token").drop("salt", "rare"), "open-rows")
     minor = rows.filter(F.col("label") != F.col("main"))
     a, b = minor.alias("a"), rows.alias("b")
     once = (F.col("b.label") == F.col("b.main")) | (F.col("a.class") < F.col("b.class"))
@@ -302,61 +380,56 @@ def open_pairs(posts: DataFrame, labels: DataFrame | None, percent: int) -> Data
     return pairs.filter(enough).select("hub", "other", "hub_size", "other_size")
 
 
-def whole_sets(docs: DataFrame, surveyed: DataFrame, posts: DataFrame, gram: int) -> DataFrame:
-    """(class, grams): the packed sorted set of each class that has a posting, from one of its rows."""
-    wanted = posts.select("class").distinct()
-    rows = surveyed.filter(F.col("size") > 0).groupBy("class").agg(F.min("row").alias("row"))
-    rows = stored(rows.join(wanted, "class").select("row", "class"), "set-rows")
-    texts = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(rows.select("row"), "row", "left_semi")
+def whole_sets(docs: DataFrame, posts: DataFrame, gram: int) -> str:
+    """The name of a table (class, grams, parts) of the sets of the classes that have postings.
+
+    `parts` counts a set's n-grams in 2**PART_BITS ranges of hashes. The table is bucketed by class, so that joins with it
+    do not shuffle it. The bit map keeps most other classes from being written; any that come through are not joined.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bit_map(posts, F.shiftrightunsigned("class", 64 - FILTER_BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value, set()
         for batch in batches:
-            classes, packed = [], []
+            classes, sets, parts = [], [], []
             for grams in gram_sets(batch.column("words"), gram):
-                if len(grams):
-                    classes.append(class_of(grams))
-                    packed.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(classes, pa.int64()), pa.array(packed, pa.binary())], ["class", "grams"]
-            )
-
-    sets = hashed(texts).mapInArrow(run, "class long, grams binary")
-    return sets.groupBy("class").agg(F.first("grams").alias("grams"))
-
-
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach the threshold; the suffix filter comes first.
-
-    It cuts both sets at some of y's values. What their parts differ in number is a lower bound
-    of what the sets differ in.
-    """
-    least = needed(len(x), len(y), percent)
-    most_apart = len(x) + len(y) - 2 * least
-    pivots = y[:: max(1, len(y) // 16)]
-    cut_x = np.diff(np.searchsorted(x, pivots), prepend=0, append=len(x))
-    cut_y = np.diff(np.searchsorted(y, pivots), prepend=0, append=len(y))
-    if np.abs(cut_x - cut_y).sum() > most_apart:
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= least
+                if not len(grams) or (own := class_of(grams)) in seen:
+                    continue
+                if in_bit_map(bits, np.array([(own & (1 << 64) - 1) >> (64 - FILTER_BITS)]))[0]:
+                    seen.add(own)
+                    classes.append(own)
+                    sets.append(grams.view(np.int64))
+                    parts.append(np.bincount((grams >> _U(64 - PART_BITS)).astype(np.int64), minlength=1 << PART_BITS))
+            if classes:
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                even = np.arange(len(classes) + 1, dtype=np.int32) << PART_BITS
+                listed = [pa.ListArray.from_arrays(ends, np.concatenate(sets)), pa.ListArray.from_arrays(even, np.concatenate(parts))]
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), *listed], ["class", "grams", "parts"])
+
+    sets = hashed(docs).mapInArrow(run, "class long, grams array<long>, parts array<long>")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"gram_sets_{uuid.uuid4().hex}"
+    once = sets.repartition(buckets, "class").dropDuplicates(["class"])
+    once.write.bucketBy(buckets, "class").saveAsTable(name)
+    return name
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`hub`, `other`, `linked` for each pair, decided on the whole sets."""
-    one = sets.select(F.col("class").alias("hub"), F.col("grams").alias("x"))
-    two = sets.select(F.col("class").alias("other"), F.col("grams").alias("y"))
-    rows = pairs.select("hub", "other").join(one, "hub").join(two, "other").select("hub", "other", "x", "y")
+    """`hub`, `other`, `linked` for each pair, decided on the whole sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = [
-                similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-                for x, y in zip(batch.column("x"), batch.column("y"), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("hub"), batch.column("other"), pa.array(linked, pa.bool_())], ["hub", "other", "linked"]
-            )
-
-    return rows.mapInArrow(run, "hub long, other long, linked boolean")
+    The suffix filter comes first: what the sets' parts differ in number is a lower bound of
+    what the sets differ in, and pairs too far apart are not compared.
+    """
+    one = sets.select(F.col("class").alias("hub"), F.col("grams").alias("x"), F.col("parts").alias("px"))
+    two = sets.select(F.col("class").alias("other"), F.col("grams").alias("y"), F.col("parts").alias("py"))
+    rows = pairs.select("hub", "other").join(one, "hub").join(two, "other")
+    both = F.size("x") + F.size("y")
+    apart = F.aggregate(F.zip_with("px", "py", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, n: s + n)
+    # of both sets' n-grams, at most (both - apart) / 2 can be in common
+    near = (100 + percent) * (both - apart) >= 2 * percent * both
+    enough = (100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * both
+    return rows.select("hub", "other", F.when(near, enough).otherwise(F.lit(False)).alias("linked"))
 
 
 def components(edges: DataFrame) -> DataFrame | None:
@@ -386,8 +459,8 @@ def join_classes(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> t
     """The survey of `docs` (`doc_id`, `text`) and the components of its classes."""
     docs = docs.select("doc_id", "text")
     surveyed = stored(survey(docs, gram), "survey")
-    posts = stored(postings(prefixes(docs, frequent_grams(surveyed), gram, percent)), "postings")
-    sets = stored(whole_sets(docs, surveyed, posts, gram), "sets")
+    posts = stored(postings(prefixes(docs, repeated_grams(surveyed), gram, percent)), "postings")
+    sets = whole_sets(docs, posts, gram)
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     for turn in range(STARS + 1):
@@ -396,9 +469,10 @@ def join_classes(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> t
             low, high = F.least("hub", "other"), F.greatest("hub", "other")
             past = tested.select(low.alias("low"), high.alias("high"))
             pairs = pairs.join(past, (low == F.col("low")) & (high == F.col("high")), "left_anti")
-        found = stored(verified(pairs, sets, percent), "pairs")
+        found = stored(verified(pairs, docs.sparkSession.table(sets), percent), "pairs")
         tested = found if tested is None else tested.unionByName(found)
         labels = components(tested.filter("linked"))
+    docs.sparkSession.sql(f"DROP TABLE {sets}")
     return surveyed, labels
 
 
