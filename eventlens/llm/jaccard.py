@@ -240,14 +240,16 @@ def repeated_grams(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarra
     return bits, keys[order], count[order]
 
 
-def prefixes(docs: DataFrame, repeated: tuple[np.ndarray, np.ndarray, np.ndarray], gram: int, percent: int) -> DataFrame:
-    """(token, salt, class, place, size, rare) for the prefix of each class; a class once per task.
+def prefixes(
+    docs: DataFrame, repeated: tuple[np.ndarray, np.ndarray, np.ndarray], gram: int, percent: int, hot: int = HOT
+) -> DataFrame:
+    """(token, salt, salts, class, place, size, rare) for the prefix of each class; a class once per task.
 
     N-grams of one document only come first and meet no other; they take their places but are
-    not given out. `rare` is their number.
+    not given out. `rare` is their number. A token is dealt to `salts` shares of about `hot` documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(repeated)
-    names = ["token", "salt", "class", "place", "size", "rare"]
+    names = ["token", "salt", "salts", "class", "place", "size", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known, counts = shared.value
@@ -272,7 +274,8 @@ def prefixes(docs: DataFrame, repeated: tuple[np.ndarray, np.ndarray, np.ndarray
                 order = np.argsort(often, kind="stable")[: length - rare]  # rare first, then by hash
                 same = [np.full(len(order), x, np.int64) for x in (own, size, rare)]
                 places = np.arange(rare, rare + len(order))
-                found.append((grams[order].view(np.int64), own % (often[order] // HOT + 1), same[0], places, same[1], same[2]))
+                salts = often[order] // hot + 1
+                found.append((grams[order].view(np.int64), own % salts, salts, same[0], places, same[1], same[2]))
             if found:
                 columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -281,17 +284,20 @@ def prefixes(docs: DataFrame, repeated: tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def postings(prefix: DataFrame) -> DataFrame:
-    """Prefix rows of tokens that several classes hold, each class once per token."""
-    ints = [F.col(c).cast("int") for c in ("place", "size", "rare")]
+    """Prefix rows of tokens that several classes hold, each class once per token.
+
+    A class alone in its share may have partners in the token's other shares, so tokens of several shares stay whole.
+    """
+    ints = [F.col(c).cast("int") for c in ("salts", "place", "size", "rare")]
     rows = (
         prefix.select("token", "salt", "class", *ints)
         .repartition("token", "salt")
         .groupBy("token", "salt", "class")
-        .agg(*(F.min(c).alias(c) for c in ("place", "size", "rare")))
+        .agg(*(F.min(c).alias(c) for c in ("salts", "place", "size", "rare")))
     )
     group = Window.partitionBy("token", "salt")
     rows = rows.withColumn("many", F.min("class").over(group) != F.max("class").over(group))
-    return rows.filter(F.col("many") | (F.col("salt") > 0)).drop("many")
+    return rows.filter(F.col("many") | (F.col("salts") > 1)).drop("many", "salts")
 
 
 def close_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -455,11 +461,13 @@ def components(edges: DataFrame) -> DataFrame | None:
     raise RuntimeError(f"components are not settled after {MAX_STEPS} steps")
 
 
-def join_classes(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None]:
+def join_classes(
+    docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, hot: int = HOT
+) -> tuple[DataFrame, DataFrame | None]:
     """The survey of `docs` (`doc_id`, `text`) and the components of its classes."""
     docs = docs.select("doc_id", "text")
     surveyed = stored(survey(docs, gram), "survey")
-    posts = stored(postings(prefixes(docs, repeated_grams(surveyed), gram, percent)), "postings")
+    posts = stored(postings(prefixes(docs, repeated_grams(surveyed), gram, percent, hot)), "postings")
     sets = whole_sets(docs, posts, gram)
     labels: DataFrame | None = None
     tested: DataFrame | None = None
@@ -476,9 +484,9 @@ def join_classes(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> t
     return surveyed, labels
 
 
-def link(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+def link(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """`doc_id`, `row`, `n_shingles`, `component_id` for each row of `docs`."""
-    surveyed, labels = join_classes(docs, gram, percent)
+    surveyed, labels = join_classes(docs, gram, percent, hot)
     rows = surveyed.filter(F.col("size").isNotNull())
     classes = rows.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     if labels is None:

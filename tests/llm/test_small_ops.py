@@ -236,6 +236,20 @@ def test_long_chain_is_one_component(spark, make_docs):
     assert got == components_by_hand(texts)
 
 
+def test_classes_alone_in_a_share_of_a_hot_token_are_linked(spark, make_docs):
+    texts = {}
+    for p in range(12):  # which share a class is in depends on its hash
+        passage = [f"h{p}x{k}" for k in range(60)]
+        texts[100 * p] = " ".join(passage)
+        texts[100 * p + 1] = " ".join([*passage, *(f"m{p}x{k}" for k in range(3))])
+        for i in range(6):  # these hold the passage, but not in their prefixes
+            texts[100 * p + 2 + i] = " ".join([*passage, *(f"l{p}x{i}x{k}" for k in range(400))])
+    want = components_by_hand(texts)
+    assert all(want[100 * p + 1][1] == 100 * p for p in range(12))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(make_docs(list(texts.items())), hot=2).collect()}
+    assert got == want
+
+
 # --- BPE
 
 
