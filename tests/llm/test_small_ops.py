@@ -323,3 +323,16 @@ def test_shards_are_even_and_groups_stay_together(spark, make_docs, tmp_path, ho
             shards[rows[r["doc_id"]][1]].add(r["shard"])
     cut = sum(len(s) > 1 for s in shards.values())
     assert cut <= (2 if not hot else 20)
+
+
+@pytest.mark.parametrize("sizes, most", [([2] * 320, 0), ([24] * 15 + [2] * 140, 0), ([3] * 200 + [40] + [100], 17)])
+def test_groups_stay_whole_where_nearly_all_rows_are_linked(spark, make_docs, sizes, most):
+    rows = [(1000 * g + i, f"text {g}", "s") for g, n in enumerate(sizes) for i in range(n)]
+    got = sharding.shard(make_docs(rows)).collect()
+    slots, shards = defaultdict(list), defaultdict(set)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        shards[r["doc_id"] // 1000].add(r["shard"])
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sum(len(s) > 1 for s in shards.values()) <= most
