@@ -486,19 +486,24 @@ def join_classes(
 
 def link(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """`doc_id`, `row`, `n_shingles`, `component_id` for each row of `docs`."""
+    return rooted(docs, gram, percent, hot).drop("root")
+
+
+def rooted(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """`link` with `root`, which names the component even where doc_ids repeat or lack; null for empty sets."""
     surveyed, labels = join_classes(docs, gram, percent, hot)
     rows = surveyed.filter(F.col("size").isNotNull())
     classes = rows.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     if labels is None:
-        ids = classes.select("class", F.col("least").alias("component_id"))
+        ids = classes.select("class", F.col("least").alias("component_id"), F.col("class").alias("root"))
     else:
         root = classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
         root = root.withColumn("label", F.coalesce("label", "class"))
         least = root.groupBy("label").agg(F.min("least").alias("component_id"))
-        ids = root.select("class", "label").join(least, "label").select("class", "component_id")
+        ids = root.select("class", "label").join(least, "label").select("class", "component_id", F.col("label").alias("root"))
     found = rows.join(ids, "class", "left")
     own = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "row", F.col("size").alias("n_shingles"), own.alias("component_id"))
+    return found.select("doc_id", "row", F.col("size").alias("n_shingles"), own.alias("component_id"), "root")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,11 +511,18 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id, of equal ids one row."""
-    found = link(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row").distinct()
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(keep, "row", "left_semi")
-    return rows.select("doc_id", "text", "lang", "source", "n_chars")
+    """Of each component one row: the smallest doc_id, of equal ones a text by its hash, of equal rows one.
+
+    Rows with neither doc_id nor words are components of their own and all stay.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    found = rooted(docs.filter(~bare)).withColumn("alone", F.when(F.col("root").isNull(), F.col("doc_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    keep = found.groupBy("root", "alone").agg(first["row"].alias("row")).select("row")
+    rows = docs.filter(~bare).select(*columns).withColumn("row", F.xxhash64("doc_id", "text")).join(keep, "row", "left_semi")
+    once = rows.groupBy("row").agg(F.min(F.struct(*columns)).alias("d")).select("d.*")
+    return once.unionByName(docs.filter(bare).select(*columns))
 
 
 ORACLE = r"""

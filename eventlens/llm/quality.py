@@ -87,14 +87,15 @@ def frequent_lines(
 ) -> DataFrame:
     """Per document and line above the limit (not in the line's first document): its hash and words.
 
-    Columns: `_id`, `_host`, `_text` (hash of the whole text), `hash`, `words`.
+    Columns: `_id`, `_host`, `_text` (hash of the whole text), `row` (tells repeated rows apart), `hash`, `words`.
     """
-    lines = docs.select(
+    lines = docs.withColumn("row", F.monotonically_increasing_id()).select(
         F.col(id_col).alias("_id"),
         F.col(host).cast("string").alias("_host"),
         F.xxhash64("text").alias("_text"),
+        "row",
         F.explode(lines_with_words(F.col("text"))).alias("line"),
-    ).select(*_KEY, F.xxhash64(normalised(F.col("line"))).alias("hash"), word_count(F.col("line")).alias("words"))
+    ).select(*_KEY, "row", F.xxhash64(normalised(F.col("line"))).alias("hash"), word_count(F.col("line")).alias("words"))
     limits = (
         lines.groupBy("_host", "hash", "_text")
         .agg(F.min("_id").alias("first"))
@@ -105,7 +106,7 @@ def frequent_lines(
     )
     same = F.col("_host").eqNullSafe(F.col("h")) & (F.col("hash") == F.col("l"))
     other = F.coalesce(F.col("_id") != F.col("first"), F.lit(True))
-    return lines.join(limits, same & other).select(*_KEY, "hash", "words")
+    return lines.join(limits, same & other).select(*_KEY, "row", "hash", "words")
 
 
 def apply_rules(
@@ -119,8 +120,10 @@ def apply_rules(
     text = F.coalesce(F.col("text"), F.lit(""))
     lost = (
         frequent_lines(docs.select(id_col, host, "text"), host, id_col, max_docs)
-        .groupBy(*_KEY)
+        .groupBy(*_KEY, "row")
         .agg(F.sum("words").alias("removed_words"), F.collect_set("hash").alias("removed"))
+        .groupBy(*_KEY)  # repeated rows lose the same words
+        .agg(F.max("removed_words").alias("removed_words"), F.max("removed").alias("removed"))
         .select(*(F.col(c).alias(f"{c}2") for c in _KEY), "removed_words", "removed")
     )
     same = F.lit(True)

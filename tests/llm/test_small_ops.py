@@ -79,6 +79,18 @@ def test_copies_of_a_text_count_once(spark, make_docs):
     assert all(r["kept"] for r in got)
 
 
+def test_repeated_rows_lose_what_one_row_loses(spark, make_docs):
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, f"{shared}\n" + " ".join(f"v{i}x{k}" for k in range(100)), "h") for i in range(12)]
+    rows += [(50, f"{shared}\n" + " ".join(f"w{k}" for k in range(50)) + f"\n{shared.upper()}", "h")]
+    rows += [(60, f"{shared}\n" + " ".join(f"u{k}" for k in range(60)), "h")] * 3
+    got = quality.apply_rules(make_docs(rows)).collect()
+    assert [(r["removed_words"], r["kept"]) for r in got if r["doc_id"] == 60] == [(30, True)] * 3
+    assert [(r["removed_words"], r["kept"]) for r in got if r["doc_id"] == 50] == [(60, False)]
+    kept = [r["text"] for r in quality.quality_stage(spark, make_docs(rows), "").collect() if r["doc_id"] == 60]
+    assert len(kept) == 3 and not any("s1 " in t for t in kept)
+
+
 # --- chat
 
 
@@ -236,6 +248,19 @@ def test_long_chain_is_one_component(spark, make_docs):
     assert got == components_by_hand(texts)
 
 
+def test_one_row_of_each_component_stays(spark, make_docs):
+    def text(name, *more):
+        return " ".join([*(f"{name}{k}" for k in range(60)), *more])
+
+    rows = [(1, text("a"), "s", "en"), (1, text("a"), "s", "en"), (1, text("a"), "t", "de"), (2, text("a", "x"), "s", "en")]
+    rows += [(3, text("b")), (3, text("b", "x")), (3, text("c")), (None, text("a", "y"))]
+    rows += [(None, text("d")), (None, text("d")), (None, text("d", "x")), (None, text("e"))]
+    rows += [(4, ""), (4, ""), (5, None), (None, None), (None, " ")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.near_duplicates_stage(spark, make_docs(rows), "").collect()]
+    parts = sorted((-1 if i is None else i, t.split()[0][0] if t and t.split() else "") for i, t in kept)
+    assert parts == [(-1, ""), (-1, ""), (-1, "d"), (-1, "e"), (1, "a"), (3, "b"), (3, "c"), (4, ""), (5, "")]
+
+
 def test_classes_alone_in_a_share_of_a_hot_token_are_linked(spark, make_docs):
     texts = {}
     for p in range(12):  # which share a class is in depends on its hash
