@@ -37,8 +37,6 @@ from eventlens.llm.common import shared_path, stored, table
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
 PIECE = 1 << 20
-#: The longest header block that the reader takes for one.
-MAX_HEADER = 1 << 16
 _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _ID = "urn:page:"
 DATE = "2024-01-01T00:00:00Z"
@@ -152,9 +150,11 @@ def parsed(data: bytes) -> tuple[dict, bytes, int]:
     """Headers, block and length of the record that `data` starts with; raises Broken or, if short, EOFError."""
     if not data.startswith(_VERSION):
         raise Broken("no version line")
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
+    end = data.find(b"\r\n\r\n")
+    if data.find(b"\n" + _VERSION, 0, end if end >= 0 else len(data)) >= 0:  # of any length, but not into the next record
+        raise Broken("no header end")
     if end < 0:
-        raise Broken("no header end") if len(data) >= MAX_HEADER else EOFError
+        raise EOFError
     lines = data[:end].decode("utf-8", "replace").split("\r\n")
     if not re.fullmatch(r"WARC/1\.[01]", lines[0]):
         raise Broken("bad version")

@@ -84,3 +84,17 @@ def test_edge_rows_round_trip(spark):
     }
     empty = warc.write_archives(table.drop("refers_to").limit(0), folder)
     assert warc.read_archives(empty, folder).count() == 0
+
+
+def test_headers_of_any_length(spark):
+    urls = ["http://h/" + "a" * 70_000, "http://h/" + "é" * 400_000, "http://h/short"]
+    records = [warc.record(i, url, b"page", None) for i, url in enumerate(urls)]
+    for data in (b"".join(records), b"".join(gzip.compress(r) for r in records)):
+        assert pages(read(data)) == [0, 1, 2]
+    hurt = records[0].replace(b"\r\n\r\n", b"\r\n", 1)
+    assert pages(read(hurt + records[1] + records[2])) == [1, 2]
+    table = spark.createDataFrame([(i, url, "page") for i, url in enumerate(urls)], "page_id long, url string, html string")
+    folder = shared_path(spark, "warc-test")
+    manifest = warc.write_archives(table, folder)
+    found = warc.read_archives(manifest, folder).collect()
+    assert [r.kind for r in found] == ["record"] * manifest.agg({"records": "sum"}).first()[0] == ["record"] * 3
