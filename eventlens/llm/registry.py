@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import bpe, chat, fingerprints, jaccard, language, lexical, mixing, quality, secrets, sharding, warc
+from eventlens.llm import bpe, chat, fingerprints, jaccard, language, lexical, mixing, prefix_trie, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.op8_language_id,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_sharding": sharding.op10_sharding,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
 ORACLE: dict[str, str] = {
@@ -27,5 +28,6 @@ ORACLE: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
     "op13_lexical_search": lexical.ORACLE,
 }
