@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import bpe, chat, fingerprints, jaccard, language, lexical, mixing, prefix_trie, quality, secrets, sharding, warc
+from eventlens.llm import (
+    bpe,
+    chat,
+    fingerprints,
+    jaccard,
+    language,
+    lexical,
+    mixing,
+    packing,
+    prefix_trie,
+    quality,
+    secrets,
+    sharding,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -19,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language.op8_language_id,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_sharding": sharding.op10_sharding,
+    "op11_packing": packing.op11_packing,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
