@@ -53,6 +53,13 @@ def generated_id(ts_ms: Column, *parts: Column) -> Column:
     return F.translate(plain, _CONV_DIGITS, ID_ALPHABET)
 
 
+def id_time_ms(event_id: Column) -> Column:
+    """Milliseconds that the first ten digits of a time-sortable id name; null for any other id."""
+    digits = F.translate(F.substring(event_id, 1, 10), ID_ALPHABET, _CONV_DIGITS)
+    told = F.conv(digits, 32, 10).cast("long")
+    return F.when(event_id.rlike(f"^[0-7][{ID_ALPHABET}]{{25}}$"), told)
+
+
 _END = "\\u0000end"  # as written in JSON; marks where a text must stop
 
 

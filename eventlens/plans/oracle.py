@@ -418,6 +418,23 @@ SELECT event_id, source_id,
        CASE WHEN right(event_id, 1) IN ('0', '5') THEN 'rewritten' ELSE kind END AS kind,
        right(event_id, 1) IN ('0', '5') AS truncated, len(embedding)::INT AS width
 FROM vec""",
+    "append_bucketed": f"WITH {_EV} SELECT *, strftime(make_timestamp(ts_ms_utc * 1000), '%Y-%m-%d') AS day FROM ev",
+    "lookup_stored": f"WITH {_EV} SELECT * FROM ev WHERE event_id IN "
+    "(SELECT lpad((vec_id * 7919 % (SELECT count(*) FROM events))::VARCHAR, 26, '0') "
+    "FROM embeddings)",
+    "sweep_execute": f"""WITH {_SWEEP}
+SELECT event_id, source_id, kind, strftime(make_timestamp(ts_ms_utc * 1000), '%Y-%m-%d') AS day FROM kept""",
+    "sweep_execute_counts": f"""WITH {_SWEEP}
+SELECT strftime(make_timestamp(ts_ms_utc * 1000), '%Y-%m-%d') AS day, count(*) AS events, count(drops.event_id) AS dropped
+FROM ev LEFT JOIN drops USING (event_id) GROUP BY day HAVING count(drops.event_id) > 0""",
+    "upsert_repeated": f"""WITH {_EV}, {_VEC}
+SELECT event_id, source_id, CASE WHEN right(event_id, 1) IN ('0', '5') THEN 'rewritten' ELSE kind END AS kind,
+       right(event_id, 1) IN ('0', '5') AS truncated, len(embedding)::INT AS width FROM vec""",
+    "sweep_vectors_execute": f"""WITH {_EV}, rewritten AS (
+  SELECT event_id, source_id, CASE WHEN right(event_id, 1) IN ('0', '5') THEN 'rewritten' ELSE kind END AS kind, ts_ms_utc, embedding
+  FROM (SELECT ev.event_id, source_id, kind, ts_ms_utc, embedding FROM embeddings JOIN ev ON ev.event_id =
+    lpad((vec_id * 7919 % (SELECT count(*) FROM events))::VARCHAR, 26, '0'))), {_LIMITS.format(rows="rewritten")}
+SELECT event_id, source_id, kind FROM lim WHERE ts_ms_utc >= {NOW_MS} - vector_max_age_ms""",
     "route_messages": f"""WITH {_MSG}
 SELECT CASE et WHEN 'click' THEN 'click.' || u
          WHEN 'view' THEN 'view/user/' || u || CASE WHEN extra THEN '/extra' ELSE '' END

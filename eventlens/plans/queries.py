@@ -366,6 +366,81 @@ def upsert_last(spark, d):
     return after.select("event_id", *PAIR, "truncated", F.size("vector").alias("width"))
 
 
+# --- stored tables -----------------------------------------------------------
+
+
+def _stored_log(spark, d) -> str:
+    """The sample events as a stored log, written in three batches that repeat ids."""
+    path = f"{run_folder(spark, 'log')}/log"
+    rows = tables.with_copies(tables.events(spark, d))
+    arrived = F.col("ingest_ts_ms_utc")
+    cuts = [tables.NOW_MS - days * tables.DAY_MS for days in (20, 10)]
+    for batch in (arrived < cuts[0], arrived < cuts[1], arrived >= cuts[0]):
+        events_log.append_events(normalize.as_events(rows.where(batch)), path)
+    return path
+
+
+@query
+def append_bucketed(spark, d):
+    """What is stored after three batches, of which two bring ids again, some with other content."""
+    log = events_log.read_log(spark, _stored_log(spark, d))
+    return log.select("event_id", *PAIR, "ts_ms_utc", "semantic", "ingest_ts_ms_utc", F.col("day").cast("string").alias("day"))
+
+
+@query
+def lookup_stored(spark, d):
+    """The events of the stored vectors, looked up by the ids' slots and days."""
+    found = events_log.lookup(spark, _stored_log(spark, d), tables.vectors(spark, d, MODEL))
+    return found.select("event_id", *PAIR, "ts_ms_utc", "semantic", "ingest_ts_ms_utc")
+
+
+@query
+def sweep_execute(spark, d):
+    """What a sweep leaves of the stored log."""
+    path = _stored_log(spark, d)
+    events_log.sweep_log(spark, path, S.POLICIES, tables.NOW_MS)
+    return events_log.read_log(spark, path).select("event_id", *PAIR, F.col("day").cast("string").alias("day"))
+
+
+@query
+def sweep_execute_counts(spark, d):
+    """Per day, how many events there were and how many a sweep removed."""
+    counts = events_log.sweep_log(spark, _stored_log(spark, d), S.POLICIES, tables.NOW_MS)
+    return counts.withColumn("day", F.col("day").cast("string"))
+
+
+def _stored_vectors(spark, d) -> str:
+    """The sample vectors stored, some of them then written again twice."""
+    path = f"{run_folder(spark, 'vectors')}/vectors"
+    stored = tables.vectors(spark, d, MODEL)
+    width = stored.select(F.size("vector")).first()[0]
+    changed = stored.where(F.right("event_id", F.lit(1)).isin("0", "5"))
+    for turn, rows in enumerate([
+        stored,
+        changed.withColumn("truncated", F.lit(True)),
+        changed.withColumns({"truncated": F.lit(True), "kind": F.lit("rewritten")}),
+    ]):
+        vector_store.append_vectors(rows.withColumn("turn", F.lit(turn)), path, MODEL, width, ["turn"])
+    return path
+
+
+@query
+def upsert_repeated(spark, d):
+    """Stored vectors after two later writes of some ids."""
+    width = tables.vectors(spark, d, MODEL).select(F.size("vector")).first()[0]
+    after = vector_store.load_vectors(spark, _stored_vectors(spark, d), MODEL, width)
+    return after.select("event_id", *PAIR, "truncated", F.size("vector").alias("width"))
+
+
+@query
+def sweep_vectors_execute(spark, d):
+    """What a sweep leaves of the stored vectors."""
+    path = _stored_vectors(spark, d)
+    vector_store.sweep_vectors(spark, path, S.POLICIES, tables.NOW_MS)
+    width = tables.vectors(spark, d, MODEL).select(F.size("vector")).first()[0]
+    return vector_store.load_vectors(spark, path, MODEL, width).select("event_id", *PAIR)
+
+
 # --- routing -----------------------------------------------------------------
 
 
