@@ -118,13 +118,12 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows come largest first, gaps (`weight` times on the stack) before documents of equal size. Left documents
     get their places from 0 on; left gaps their first place, counted from the top of the stack.
     """
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
+    part = 0
     stack: list[list[int]] = []
     taken: list[tuple[int, int, int]] = []
     alone: list[tuple[int, int]] = []
     for batch in batches:
+        part = batch.column("part")[0].as_py() if batch.num_rows else part
         for is_doc, at, size, weight in zip(*(batch.column(n).to_pylist() for n in ("doc", "id", "size", "weight")), strict=True):
             if not is_doc:
                 stack.append([at, weight])
@@ -240,17 +239,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         left, longest, least, tokens = docs.agg(F.count("*"), F.max("length"), F.min("length"), F.sum("length")).first()
         while left:
             rounds += 1
-            widest = gaps.agg(F.max("free")).first()[0] or 0
-            if widest < least:
+            widest, count = gaps.agg(F.max("free"), F.count("*")).first()
+            if (widest or 0) < least:
                 holds = capacity // longest
                 new = -(-left // holds) if holds < MANY else max(1, -(-tokens // capacity))
                 fresh = spark.range(opened, opened + new).select((F.col("id") * 2 + 1).alias("sequence_id"), F.lit(capacity).cast("long").alias("free"))
-                gaps, opened = gaps.unionByName(fresh), opened + new
+                gaps, opened, count = gaps.unionByName(fresh), opened + new, count + new
             matched, docs = _round(gaps, docs, int(longest), int(least))
             placed.append(matched.withColumn("round", F.lit(rounds)))
             used = matched.select("sequence_id", (-F.col("length")).alias("free"))
             update = gaps.unionByName(used).groupBy("sequence_id").agg(F.sum("free").alias("free"))
-            gaps = stored(update.filter(F.col("free") >= shortest), "packing-gaps")
+            gaps = stored(update.filter(F.col("free") >= shortest).coalesce(_parts(count)), "packing-gaps")
             left, longest, least, tokens = docs.agg(F.count("*"), F.max("length"), F.min("length"), F.sum("length")).first()
     whole = placed[0]
     for frame in placed[1:]:
@@ -270,8 +269,9 @@ def _round(gaps: DataFrame, docs: DataFrame, longest: int, least: int) -> tuple[
         F.greatest(F.lit(1).cast("long"), F.floor(F.col("free") / longest)).alias("weight"),
     ).unionByName(docs.select(F.lit(True).alias("doc"), "id", F.col("length").alias("size"), F.lit(0).cast("long").alias("weight")))
     order = [F.desc("size"), F.asc("doc"), F.xxhash64("id"), F.asc("id")]
-    ranges = line.repartitionByRange(_parts(line.count()), *order).sortWithinPartitions(*order)
-    swept = stored(ranges.mapInArrow(_sweep, SWEPT), "packing-sweep")
+    parts = _parts(line.count())
+    ranges = line.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+    swept = stored(ranges.mapInArrow(_sweep, SWEPT).coalesce(parts), "packing-sweep")
     matched = swept.filter("kind = 'match'").select("id", F.col("gap").alias("sequence_id"), "length")
     alone = swept.filter("kind = 'doc'")
     totals = swept.filter("kind <> 'match'").groupBy("part").agg(
@@ -287,11 +287,11 @@ def _round(gaps: DataFrame, docs: DataFrame, longest: int, least: int) -> tuple[
         gap_spans.setdefault(gap_part, []).append((gap_at, number, n))
         number += n
     schema = "match long, id long, length long"
-    takers = stored(alone.select("part", "id", "length", "weight", "place").mapInArrow(_numbered("doc", doc_spans), schema), "packing-left")
+    takers = stored(alone.select("part", "id", "length", "weight", "place").mapInArrow(_numbered("doc", doc_spans), schema).coalesce(parts), "packing-left")
     places = swept.filter("kind = 'gap'").select("part", "id", "length", "weight", "place").mapInArrow(_numbered("gap", gap_spans), schema)
     found = takers.filter("match IS NOT NULL").join(places.select("match", F.col("id").alias("sequence_id")), "match")
     matched = matched.unionByName(found.select("id", "sequence_id", "length"))
-    return stored(matched, "packing-matched"), takers.filter("match IS NULL").select("id", "length")
+    return stored(matched.coalesce(parts), "packing-matched"), takers.filter("match IS NULL").select("id", "length")
 
 
 def pieces_of(tokens: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -142,7 +142,7 @@ def distinct_sequences(rows: DataFrame) -> DataFrame:
     pieces = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(
         _pieces, "a long, b long, conv_id long, n long, ids array<long>, words array<long>, said string"
     )
-    return pieces.repartition(ranges, "a", "b").sortWithinPartitions(*order).mapInArrow(_digests, SEQUENCES)
+    return pieces.repartition(ranges, "a", "b").sortWithinPartitions(*order).mapInArrow(_digests, SEQUENCES).coalesce(ranges)
 
 
 class Tree:
