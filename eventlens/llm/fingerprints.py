@@ -10,8 +10,9 @@ Terms are lower-case words and stand for their 64-bit hashes. The lexicon is bro
 at least `MIN_SHARE` of the documents takes that share of all (document, term) pairs, so it has at most
 (mean distinct terms of a document) / MIN_SHARE rows, however many documents there are.
 
-A text without lexicon terms has one hash of all its terms in every part; one without terms has empty parts, and two such are
-alike. Nulls: a null text is empty; a row without doc_id has no neighbours, its edited text
+A text with fewer than `FEW` lexicon terms takes all its terms through the same subsets: short texts, and members of
+a group of near copies so large that the group's own terms are too common for the band. Texts without terms have empty parts,
+and two such are alike. Nulls: a null text is empty; a row without doc_id has no neighbours, its edited text
 is its first half and `near_next` is null. Rows of equal doc_id follow each other by their text's digest. Other columns are
 ignored; an empty table gives an empty result; texts are read whole.
 """
@@ -31,6 +32,8 @@ DENSE = [0, 2, 2, 4, 4]
 SPARSE = [bits for bits in range(6, 13) for _ in range(8)]
 RATES = DENSE + SPARSE
 MASK = (1 << 32) - 1
+#: A text with fewer lexicon terms is signed by all its terms.
+FEW = 16
 #: Neighbouring documents are dealt in groups of 2**GROUP_BITS ids.
 GROUP_BITS = 6
 _STEPS = [4, 8, 16, 16, 14]
@@ -45,15 +48,21 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
     total = docs.agg(F.count("*")).scalar()
     counts = docs.select(F.explode(terms(F.col("text"))).alias("word")).groupBy(F.xxhash64("word").alias("term")).count()
     share = F.col("count") / total
+    band = counts.filter((share >= min_share) & (share <= max_share))
+    return band.select("term", subsets(F.col("term")).alias("parts"))
+
+
+def subsets(term: Column) -> Column:
+    """As bits, the subsets that a term is in."""
     bits = F.lit(0).cast("long")
     for part, rate in enumerate(RATES):
-        stays = F.xxhash64("term", F.lit(part)).bitwiseAND((1 << rate) - 1) == 0
+        stays = F.xxhash64(term, F.lit(part)).bitwiseAND((1 << rate) - 1) == 0
         bits = bits + F.when(stays, F.lit(1 << part)).otherwise(0)
-    return counts.filter((share >= min_share) & (share <= max_share)).select("term", bits.alias("parts"))
+    return bits
 
 
 def parts_of(found: Column, rest: Column) -> Column:
-    """The parts of a text from its lexicon terms (array of (term, parts)) and a hash of all its terms."""
+    """The parts of a text from its lexicon terms (array of (term, parts)) and its other terms."""
 
     def some(ordered: Column, first: int, count: int) -> Column:
         def part(i: Column) -> Column:
@@ -69,8 +78,8 @@ def parts_of(found: Column, rest: Column) -> Column:
         sparse = let(few, lambda rest_: some(rest_, len(DENSE), len(SPARSE)))
         return F.concat(some(ordered, 0, len(DENSE)), sparse)
 
-    alone = F.array_repeat(F.coalesce(rest, F.lit(0)).bitwiseAND(MASK), len(RATES))
-    return F.when(F.size(found) > 0, let(F.sort_array(found), signed)).otherwise(alone)
+    whole = F.concat(found, F.transform(rest, lambda t: F.struct(t.alias("term"), subsets(t).alias("parts"))))
+    return F.when(F.size(found) >= FEW, let(F.sort_array(found), signed)).otherwise(let(F.sort_array(whole), signed))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -105,7 +114,8 @@ def fingerprints(rows: DataFrame, words: DataFrame, key: list[str], texts: dict[
     for i in range(len(texts)):
         mine = F.col("i") == i
         entry = F.when(mine & F.col("parts").isNotNull(), F.struct("term", "parts"))
-        sums += [F.collect_list(entry).alias(f"_found{i}"), F.bit_xor(F.when(mine, F.col("term"))).alias(f"_rest{i}")]
+        other = F.when(mine & F.col("parts").isNull(), F.col("term"))
+        sums += [F.collect_list(entry).alias(f"_found{i}"), F.collect_list(other).alias(f"_rest{i}")]
     done = found.groupBy(*key).agg(*sums)
     made = [parts_of(F.col(f"_found{i}"), F.col(f"_rest{i}")).alias(name) for i, name in enumerate(texts.values())]
     return done.select(*key, *keep, *made)
@@ -138,7 +148,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     Adds `grp` (rows are dealt by it), `place` in it, `next`, and `tail`, which is `next` for the first of a group. Texts are
     shuffled once; only the last text of each group goes to the group above as well.
     """
-    dealt = docs.withColumn("grp", F.shiftright("doc_id", GROUP_BITS)).withColumn("digest", F.md5("text")).repartition("grp")
+    dealt = docs.withColumn("grp", F.shiftright("doc_id", GROUP_BITS)).withColumn("digest", F.md5("text"))
+    # the filter is what the join below asks of `last`; with it on both sides there is one exchange of texts
+    dealt = dealt.filter(F.col("grp").isNotNull()).repartition("grp")
     order = Window.partitionBy("grp").orderBy("doc_id", "digest")
     rows = dealt.withColumns(
         {"place": F.row_number().over(order).cast("long"), "next": F.lag("text").over(order), "after": F.lead("doc_id").over(order)}
