@@ -361,3 +361,25 @@ def test_groups_stay_whole_where_nearly_all_rows_are_linked(spark, make_docs, si
     assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert sum(len(s) > 1 for s in shards.values()) <= most
+
+
+def test_bpe_memo_is_bounded_and_keeps_what_is_asked_for():
+    memo = bpe.Memo(2000)
+    for i in range(100):
+        memo.put(f"w{i}", b"12345678")
+        assert memo.get("w0") or memo.revive("w0")
+        assert len(memo) + len(memo.old) < 40
+    assert memo.revive("w1") is None
+
+
+def test_bpe_with_a_small_memo_and_odd_blanks():
+    tight = bpe.Codec(bpe.tokenizer_path(), (4000, 4000))
+    text = " ".join(f"Wort{i},x a\u00a0b \u00a0 {i}\u2003c d\x1ce" for i in range(300))
+    assert tight.packed(text) == tight.packed(text) == bpe.codec(bpe.tokenizer_path()).packed(text)
+    assert tight.encode(text) == tight.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_many_added_tokens_in_one_text():
+    own = bpe.codec(bpe.tokenizer_path())
+    text = "<|endoftext|>" * 20_000
+    assert own.encode(text) == [own.added["<|endoftext|>"]] * 20_000
