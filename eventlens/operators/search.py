@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from eventlens.functions.embedding import Embedder, dot, hash_embedder
+from eventlens.functions.embedding import Embedder, hash_embedder
 from eventlens.functions.globs import glob_filter, time_between
 from eventlens.functions.scalars import bare_kind, utf8_cut, was_cut
 from eventlens.model import DEFAULT_SEARCH_LIMIT, VECTOR, VectorFilter
+from eventlens.session import run_folder
 
+#: Vectors of a block, and spread numbers by which blocks of vectors and of queries are joined.
+BLOCK, SPREAD = 2048, 64
 HIT_COLUMNS = ["event_id", "source_id", "kind", "ts_ms_utc", "truncated"]
+_HITS = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in VECTOR if f.name in HIT_COLUMNS)
 
 
 def select_for_embedding(
@@ -98,12 +101,17 @@ def search_vector(
     flt: VectorFilter | None = None,
 ) -> DataFrame:
     """Best hits by dot product, filtered before scoring; ties by event_id."""
-    return (
-        filter_vectors(vectors, flt)
-        .select(*HIT_COLUMNS, dot(F.col("vector"), query).alias("score"))
-        .orderBy(F.col("score").desc(), "event_id")
-        .limit(top_k(limit))
-    )
+    wanted = filter_vectors(vectors, flt).select(*HIT_COLUMNS, "vector")
+    k = top_k(limit)
+    matrix = np.array([query], dtype=np.float64)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Best(matrix, k)
+        for batch in batches:
+            found.offer(_rows(batch), _matrix(batch))
+        yield from found.batches(None)
+
+    return wanted.mapInArrow(best, f"{_HITS}, score double").orderBy(F.col("score").desc(), "event_id").limit(k)
 
 
 def search(
@@ -146,56 +154,117 @@ def search_many(
 ) -> DataFrame:
     """Best hits for every row of ``queries(query_id, query)``; exact.
 
-    Queries are taken in blocks of about ``block_size``.  A task multiplies its
-    batches of vectors with the block and passes on only each batch's best k per
-    query, so pairs are scored but never materialised; a last ranking per query
-    runs over those candidates.
+    Vectors are packed into blocks where they are read, queries into blocks of about ``block_size``, both are
+    rows, and an equi-join by block and spread number brings them together: the vectors are scanned once,
+    whatever the number of queries, and no query is on the driver.  A task multiplies block with block and keeps
+    its best k per query; a last ranking per query runs over those.
     """
     k = top_k(limit)
+    spark = vectors.sparkSession
     wanted = filter_vectors(vectors, flt).select(*HIT_COLUMNS, "vector")
     blocks = max(1, math.ceil(queries.count() / block_size))
     id_type = queries.schema["query_id"].dataType
-    hit_schema = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in VECTOR if f.name in HIT_COLUMNS
+    folder = run_folder(spark, "queries")
+    (
+        queries.where("query_id is not null")
+        .groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+        .agg(F.collect_list(F.struct("query_id", F.col("query").cast("array<double>").alias("query"))).alias("asked"))
+        .write.parquet(folder)
     )
-    schema = f"query_id {id_type.simpleString()}, {hit_schema}, score double"
-    parts = []
-    for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        if rows:
-            ids = [row["query_id"] for row in rows]
-            matrix = np.array([row["query"] for row in rows], dtype=np.float64)
-            parts.append(wanted.mapInArrow(_best_per_batch(ids, to_arrow_type(id_type), matrix, k), schema))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    asked = spark.read.schema(
+        f"block long, asked array<struct<query_id: {id_type.simpleString()}, query: array<double>>>"
+    ).parquet(folder)
+    numbers = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+    packed = wanted.mapInArrow(_pack, f"spread int, hits array<struct<{_HITS}>>, dim int, matrix binary")
+    pairs = packed.join(numbers, "spread").join(asked, "block").select("block", "asked", "hits", "dim", "matrix")
+    arrow_id = to_arrow_type(id_type)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[pa.Array, _Best]] = {}
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                if block not in found:
+                    own = batch.column("asked")[i].values
+                    vectors_ = own.field("query")
+                    matrix = vectors_.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors_), -1)
+                    found[block] = pa.array(own.field("query_id").to_pylist(), arrow_id), _Best(matrix, k)
+                raw = np.frombuffer(batch.column("matrix")[i].as_buffer(), "<f4")
+                stored = raw.reshape(-1, batch.column("dim")[i].as_py()).astype(np.float64)
+                found[block][1].offer(batch.column("hits")[i].values, stored)
+        for ids, kept in found.values():
+            yield from kept.batches(ids)
+
+    hits = pairs.mapInArrow(best, f"query_id {id_type.simpleString()}, {_HITS}, score double")
     rank = F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.col("score").desc(), "event_id")
     )
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _best_per_batch(ids: list, id_type: pa.DataType, matrix: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            stored = flat.reshape(batch.num_rows, -1).astype(np.float64)
-            names = np.array(batch.column("event_id").to_pylist())
-            by_name = np.argsort(names, kind="stable")
-            scores = matrix @ stored[by_name].T
-            # rows are in event_id order, so a stable sort breaks ties by id
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            chosen = pa.array(by_name[best].ravel())
-            hits = batch.select(HIT_COLUMNS).take(chosen)
-            per_query = best.shape[1]
+def _rows(batch: pa.RecordBatch) -> pa.StructArray:
+    return pa.StructArray.from_arrays([batch.column(c) for c in HIT_COLUMNS], HIT_COLUMNS)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, -1).astype(np.float64)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as blocks: their descriptions, and all values of the block as one piece."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId()
+    for whole in batches:
+        for begin in range(0, whole.num_rows, BLOCK):
+            batch = whole.slice(begin, BLOCK)
+            rows = _rows(batch)
+            values = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            if len(values) % batch.num_rows:
+                raise ValueError("vectors of different widths")
+            number += 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([i for i in ids for _ in range(per_query)], id_type),
-                    *hits.columns,
-                    pa.array(np.take_along_axis(scores, best, axis=1).ravel()),
+                    pa.array([number % SPREAD], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+                    pa.array([len(values) // batch.num_rows], pa.int32()),
+                    pa.array([values.tobytes()], pa.binary()),
                 ],
-                names=["query_id", *HIT_COLUMNS, "score"],
+                names=["spread", "hits", "dim", "matrix"],
             )
 
-    return run
+
+class _Best:
+    """The best k rows for each query of a block, among those that were offered."""
+
+    def __init__(self, matrix: np.ndarray, k: int):
+        self.matrix, self.k = matrix, k
+        self.query = np.zeros(0, np.int64)
+        self.score = np.zeros(0)
+        self.rows: pa.StructArray | None = None
+
+    def offer(self, rows: pa.StructArray, stored: np.ndarray) -> None:
+        if not len(rows):
+            return
+        scores = self.matrix @ stored.T
+        if len(rows) > self.k:
+            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+        else:
+            least = np.full(len(scores), -np.inf)
+        query, at = np.nonzero(scores >= least[:, None])  # ties of the last place included
+        found, score = rows.take(pa.array(at)), scores[query, at]
+        if self.rows is not None:
+            query, score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+            found = pa.concat_arrays([self.rows, found])
+        names = np.array(found.field("event_id").to_pylist())
+        order = np.lexsort((names, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        kept = order[place < self.k]
+        self.query, self.score, self.rows = query[place < self.k], score[kept], found.take(pa.array(kept))
+
+    def batches(self, ids: pa.Array | None) -> Iterator[pa.RecordBatch]:
+        if self.rows is not None:
+            named = [] if ids is None else [ids.take(pa.array(self.query))]
+            names = [] if ids is None else ["query_id"]
+            yield pa.RecordBatch.from_arrays([*named, *self.rows.flatten(), pa.array(self.score)], names=[*names, *HIT_COLUMNS, "score"])

@@ -621,3 +621,4 @@ FROM (VALUES ('hub', 'ok'), ('gone', 'error'), ('torn', 'error')) s(peer_id, sta
     "forward_projection": f"""WITH {_EV}
 SELECT event_id, 'kitchen.' || source_id AS source_id, kind, ts_ms_utc, semantic FROM ev""",
 }
+ORACLE["stream_rate_limit"] = ORACLE["rate_limit_turns"]  # the same rule, whatever the micro-batches are

@@ -282,15 +282,18 @@ def admit_many_tokens(spark, d):
     return allowed.select("event_id", "source_id", "kind")
 
 
-@query
-def rate_limit_turns(spark, d):
+def _turns(spark, d):
     """Every turn of a conversation is a batch; two turns share a millisecond."""
-    turns = tables.table(spark, d, "conversations").select(
+    return tables.table(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("batch_id"),
         F.concat(F.lit("edge"), (F.col("conv_id") % 3).cast("string")).alias("token_name"),
         (F.lit(tables.NOW_MS) + F.col("conv_id") * 400 + F.floor(F.col("turn") / 2) * 50).cast("long").alias("at_ms"),
     )
-    return admission.rate_limit(turns, S.TOKENS)
+
+
+@query
+def rate_limit_turns(spark, d):
+    return admission.rate_limit(_turns(spark, d), S.TOKENS)
 
 
 @query
@@ -693,6 +696,20 @@ def stream_seq(spark, d):
     )
 
 
+@query
+def stream_rate_limit(spark, d):
+    """Rates that go on from where each token stood before a restart."""
+
+    def attach(stream, folder):
+        judged = jobs.rate_limit_stream(stream, S.TOKENS)
+        return [jobs.start(judged, jobs.changes_sink(f"{folder}/out"), f"{folder}/ck", "update")]
+
+    turns = _turns(spark, d)
+    middle = turns.agg(F.percentile_approx("at_ms", 0.5)).first()[0]
+    folder = _in_two_runs(spark, turns, F.col("at_ms") < middle, attach)
+    return spark.read.parquet(f"{folder}/out").select("batch_id", "token_name", "at_ms", "allowed")
+
+
 @query
 def stream_normalize(spark, d):
     """Request bodies parsed on the stream, normalised and stored."""

@@ -136,12 +136,12 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
     return [name for name in _names(spark, f"{path}/_versions") if name.endswith(".json")]
 
 
-def snapshot(spark: SparkSession, path: str) -> Snapshot:
-    """The table as its newest version lists it; version 0 where nothing has been written."""
-    names = _versions(spark, path)
-    if not names:
+def snapshot(spark: SparkSession, path: str, at: int | None = None) -> Snapshot:
+    """The table as its newest version lists it, or the version ``at``; version 0 where nothing has been written."""
+    names = _versions(spark, path) if at is None else []
+    newest = int(names[-1].removesuffix(".json")) if names else at or 0
+    if not newest:
         return Snapshot()
-    newest = int(names[-1].removesuffix(".json"))
     whole = newest - newest % WHOLE_EVERY
     files: dict[str, DataFile] = {}
     facts: dict = {}
@@ -204,7 +204,7 @@ def read_ids(spark: SparkSession, path: str, files: Sequence[DataFile]) -> DataF
     return spark.read.schema(IDS).option("basePath", f"{path}/_ids").parquet(*[f"{path}/{f.path}" for f in files])
 
 
-def _stage(frame: DataFrame, path: str, below: str, by: Sequence[str]) -> list[str]:
+def stage(frame: DataFrame, path: str, below: str, by: Sequence[str]) -> list[str]:
     """Write files that no version names yet; their places below ``path``."""
     spark, token = frame.sparkSession, uuid.uuid4().hex
     staged = f"{path}/_staged/{token}"
@@ -249,7 +249,7 @@ def by_file(files: Sequence[DataFile], counted: DataFrame) -> dict[str, int]:
 def stage_rows(frame: DataFrame, path: str, schema: T.StructType) -> list[DataFile]:
     """Files of rows by ``day``, not yet live."""
     spark = frame.sparkSession
-    names = _stage(frame, path, "", ["day"])
+    names = stage(frame, path, "", ["day"])
     if not names:
         return []
     draft = [DataFile(n, 0, "", "") for n in names]
@@ -268,7 +268,7 @@ def stage_ids(rows: DataFrame, path: str) -> list[DataFile]:
     day, bucket = id_slot(F.col("event_id"))
     keyed = rows.select("event_id", "day", day.alias("id_day"), bucket.alias("bucket"))
     sorted_rows = keyed.repartition("id_day", "bucket").sortWithinPartitions("id_day", "bucket", "event_id")
-    names = _stage(sorted_rows, path, "_ids/", ["id_day", "bucket"])
+    names = stage(sorted_rows, path, "_ids/", ["id_day", "bucket"])
     if not names:
         return []
     draft = [DataFile(n, 0, "", "", "") for n in names]
@@ -281,13 +281,13 @@ def stage_ids(rows: DataFrame, path: str) -> list[DataFile]:
     return files
 
 
-def discard(spark: SparkSession, path: str, files: Sequence[DataFile]) -> None:
+def discard(spark: SparkSession, path: str, files: Iterable[DataFile | str]) -> None:
     """Delete files that are in no version any more, and folders that are empty then."""
     folders = set()
-    for f in files:
-        target, fs = _place(spark, f"{path}/{f.path}")
+    for name in (f if isinstance(f, str) else f.path for f in files):
+        target, fs = _place(spark, f"{path}/{name}")
         fs.delete(target, False)
-        folders.add(f.path.rpartition("/")[0])
+        folders.add(name.rpartition("/")[0])
     for folder in folders:
         target, fs = _place(spark, f"{path}/{folder}")
         if fs.exists(target) and not fs.listStatus(target):

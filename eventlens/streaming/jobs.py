@@ -9,23 +9,29 @@ Late events are accepted like any others.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import partial
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from eventlens.functions.embedding import Embedder, hash_embedder
-from eventlens.model import RING_MAX_AGE_MS, RING_MAX_EVENTS
+from eventlens.model import RING_MAX_AGE_MS, RING_MAX_EVENTS, TokenScope
+from eventlens.operators.admission import parse_rate
 from eventlens.operators.federation import forward_events
 from eventlens.operators.normalize import SchemaBook, normalize
 from eventlens.operators.search import embed_events, select_for_embedding
 from eventlens.session import ROCKSDB_PROVIDER
+from eventlens.sources import versions
 from eventlens.sources.events_log import append_events
 from eventlens.sources.vectors import append_vectors
-from eventlens.streaming.processors import RingProcessor
+from eventlens.streaming.processors import RateProcessor, RingProcessor
 
 PAIR = ["source_id", "kind"]
 ARRIVAL = ("ingest_ts_ms_utc", "event_id")
@@ -99,12 +105,19 @@ def read_commits(spark: SparkSession, log_path: str) -> DataFrame:
 # --- log, vectors, hub -------------------------------------------------------
 
 
+def _counted(batch: DataFrame) -> tuple[DataFrame, Observation]:
+    """The batch, and its number of rows as measured by the first job that reads it."""
+    seen = Observation()
+    return batch.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def log_sink(path: str) -> Callable[[DataFrame, int], dict]:
     """Append each micro-batch to the event log, first write per id."""
 
     def write(batch: DataFrame, batch_id: int) -> dict:
-        append_events(batch, path)
-        return {"rows": batch.count()}
+        rows, seen = _counted(batch)
+        append_events(rows, path)
+        return {"rows": seen.get["rows"]}
 
     return write
 
@@ -143,10 +156,11 @@ def forward_sink(path: str, peer_id: str) -> Callable[[DataFrame, int], dict]:
     """
 
     def write(batch: DataFrame, batch_id: int) -> dict:
-        forward_events(batch, peer_id).write.mode("overwrite").parquet(
+        rows, seen = _counted(batch)
+        forward_events(rows, peer_id).write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}"
         )
-        return {"rows": batch.count()}
+        return {"rows": seen.get["rows"]}
 
     return write
 
@@ -154,20 +168,61 @@ def forward_sink(path: str, peer_id: str) -> Callable[[DataFrame, int], dict]:
 # --- normalisation -----------------------------------------------------------
 
 
-def _counters(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    """Counters before a batch; only the first batch may find none.
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("source_id"), F.lit(versions.BUCKETS * 4)).cast("int")
 
-    Taking lost counters for empty ones would number every source from one again.
-    """
-    schema = "source_id string, last_seq long"
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/batch={batch_id - 1}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        if batch_id > 0:
-            raise RuntimeError(f"the counters before batch {batch_id} are gone from {folder}") from error
-        return spark.createDataFrame([], schema)
+
+_COUNTERS = T.StructType(
+    [
+        T.StructField("source_id", T.StringType()),
+        T.StructField("last_seq", T.LongType()),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)
+#: Files of a bucket of counters that are read together before one takes their place.
+_MERGE_AT = 16
+
+
+@dataclass(frozen=True)
+class _Counters:
+    """Last numbers by source, as they were before a micro-batch, for the buckets that it touches."""
+
+    base: versions.Snapshot
+    files: list[versions.DataFile]
+    last: DataFrame
+
+
+def _counters(spark: SparkSession, folder: str, batch_id: int, batch: DataFrame) -> _Counters:
+    """Taking lost counters for empty ones would number every source from one again, so only the first batch
+    may find none. A replayed batch finds what it found the first time."""
+    base = versions.snapshot(spark, folder)
+    if base.facts.get("batch", -1) >= batch_id:
+        base = versions.snapshot(spark, folder, base.facts["before"])
+    if base.facts.get("batch", -1) != batch_id - 1:
+        raise RuntimeError(f"the counters before batch {batch_id} are gone from {folder}")
+    touched = {str(r[0]) for r in batch.select(_bucket()).distinct().collect()}
+    files = [f for f in base.files.values() if f.slot in touched]
+    rows = versions.read_files(spark, folder, files, _COUNTERS)
+    return _Counters(base, files, rows.groupBy("source_id").agg(F.max("last_seq").alias("last_seq")))
+
+
+def _advance(spark: SparkSession, folder: str, batch_id: int, before: _Counters, added: DataFrame) -> None:
+    """Note the last numbers of the batch's own sources; a bucket of many files is merged on the way."""
+    newest = versions.snapshot(spark, folder)
+    if newest.facts.get("batch", -1) >= batch_id:
+        return  # a replay: the numbers are there
+    slots = [f.slot for f in before.files]
+    full = [f for f in before.files if slots.count(f.slot) >= _MERGE_AT]
+    rows = added.select("source_id", "last_seq", _bucket().alias("bucket"))
+    if full:
+        old = versions.read_files(spark, folder, full, _COUNTERS)
+        rows = rows.unionByName(old).groupBy("source_id", "bucket").agg(F.max("last_seq").alias("last_seq"))
+    names = versions.stage(rows.select(*_COUNTERS.fieldNames()).repartition("bucket"), folder, "", ["bucket"])
+    files = [versions.DataFile(n, 0, "", "", n.split("/")[0].removeprefix("bucket=")) for n in names]
+    # files that were merged stay until the next batch, for a replay of this one
+    facts = {"batch": batch_id, "before": newest.version, "merged": [f.path for f in full]}
+    versions.commit(spark, folder, newest, files, full, facts)
+    versions.discard(spark, folder, newest.facts.get("merged", []))
 
 
 def normalize_sink(
@@ -180,29 +235,35 @@ def normalize_sink(
 ) -> Callable[[DataFrame, int], None]:
     """Normalise each micro-batch and append it to the log.
 
-    Sequence numbers continue from a counter table with one row per source,
-    written anew for every batch under its number: a replay reads the same
-    predecessor and gives the same numbers.  Within the batch, numbering is the
-    range-wise one of `normalize`, so one busy source is shared by many tasks.
+    Sequence numbers continue from the sources' counters, of which a batch reads the buckets of its own
+    sources and writes its own sources only.  A replay finds the counters as they were before the batch and gives
+    the same numbers.  Within the batch, numbering is the range-wise one of `normalize`, so one busy source is
+    shared by many tasks.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _counters(spark, counters_path, batch_id)
+        batch = batch.persist()
+        try:
+            _normalized(spark, batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _normalized(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
+        before = _counters(spark, counters_path, batch_id, batch)
         numbered = normalize(
             batch, arrival, now_ms() if now_ms else None, book, **options
-        ).join(before, "source_id", "left")
+        ).join(before.last, "source_id", "left")
         ready = numbered.withColumn(
             "seq", F.col("seq") + F.coalesce("last_seq", F.lit(0))
         ).drop("last_seq")
-        added = batch.groupBy("source_id").agg(F.count("*").alias("last_seq"))
-        (
-            before.unionByName(added)
-            .groupBy("source_id")
-            .agg(F.sum("last_seq").alias("last_seq"))
-            .write.mode("overwrite")
-            .parquet(f"{counters_path}/batch={batch_id}")
+        added = (
+            batch.groupBy("source_id")
+            .agg(F.count("*").alias("n"))
+            .join(before.last, "source_id", "left")
+            .select("source_id", (F.col("n") + F.coalesce("last_seq", F.lit(0))).alias("last_seq"))
         )
+        _advance(spark, counters_path, batch_id, before, added)
         append_events(ready, log_path, arrival)
 
     return write
@@ -245,11 +306,80 @@ def ring_stream(
     max_age_ms: int = RING_MAX_AGE_MS,
     arrival: Sequence[str] = ARRIVAL,
 ) -> DataFrame:
-    """Continuous `hot_window`: the whole ring of each pair that changed."""
+    """Continuous `hot_window`: the whole ring of each pair that changed.
+
+    Of a micro-batch only the newest ``max_events`` of a pair in each input partition reach the state, however busy the pair is.
+    """
     use_rocksdb(events.sparkSession)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
     processor = RingProcessor(events.columns, schema, arrival, max_events, max_age_ms)
-    return events.groupBy(*PAIR).transformWithState(processor, schema, "update", "none")
+    return newest_rows(events, max_events, arrival).groupBy(*PAIR).transformWithState(processor, schema, "update", "none")
+
+
+def newest_rows(
+    events: DataFrame, max_events: int, arrival: Sequence[str] = ARRIVAL, held: int = 100_000
+) -> DataFrame:
+    """The newest events of each pair in each input partition, by arrival.
+
+    Older ones can be in no ring. A task holds about ``held`` rows and passes on what it has when
+    more than that are still wanted, as with very many pairs.
+    """
+    columns = [*PAIR, *arrival]
+
+    def cut(rows: pa.Table) -> pa.Table:
+        codes = np.zeros(rows.num_rows, np.int64)
+        for name in PAIR:
+            column = rows.column(name).combine_chunks().dictionary_encode()
+            codes = codes * (len(column.dictionary) + 1) + column.indices.to_numpy(zero_copy_only=False)
+        keys = pa.table([pa.array(codes), *(rows.column(c) for c in arrival)], names=["__pair", *arrival])
+        order = pc.sort_indices(keys, [("__pair", "ascending"), *((c, "descending") for c in arrival)], null_placement="at_end")
+        pairs = codes[order.to_numpy()]
+        place = np.arange(len(pairs)) - np.searchsorted(pairs, pairs, "left")
+        return rows.take(pa.array(np.sort(order.to_numpy()[place < max_events])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            kept = rows if kept is None else pa.concat_tables([kept, rows])
+            if kept.num_rows > held:
+                kept = cut(kept)
+                if kept.num_rows > held // 2:
+                    yield from kept.to_batches()
+                    kept = None
+        if kept is not None:
+            yield from cut(kept).combine_chunks().to_batches()
+
+    assert set(columns) <= set(events.columns)
+    return events.mapInArrow(run, events.schema)
+
+
+def rate_limit_stream(batches: DataFrame, tokens: Sequence[TokenScope]) -> DataFrame:
+    """Continuous `rate_limit`: (batch_id, token_name, at_ms, allowed) of each batch once.
+
+    Each task first brings the batches of one token and millisecond together, so that distinct milliseconds
+    enter the state, which is one number per token; tokens without a rate do not enter it at all. Time goes on
+    from where the token's state is; what arrives late is judged when it arrives.
+    """
+    use_rocksdb(batches.sparkSession)
+    rates = {t.name: parse_rate(t.rate_limit) for t in tokens if t.rate_limit}
+    rows = batches.select("batch_id", "token_name", "at_ms")
+    id_type = rows.schema["batch_id"].dataType.simpleString()
+
+    def together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            grouped = pa.Table.from_batches([part]).group_by(["token_name", "at_ms"]).aggregate([("batch_id", "list")])
+            yield from grouped.rename_columns(["token_name", "at_ms", "batch_ids"]).to_batches()
+
+    limited = F.col("token_name").isin(list(rates))
+    judged = (
+        rows.where(limited)
+        .mapInArrow(together, f"token_name string, at_ms long, batch_ids array<{id_type}>")
+        .groupBy("token_name")
+        .transformWithState(RateProcessor(rates), f"batch_id {id_type}, token_name string, at_ms long, allowed boolean", "update", "none")
+    )
+    free = rows.where(~limited | F.col("token_name").isNull()).withColumn("allowed", F.lit(True))
+    return judged.unionByName(free)
 
 
 def changes_sink(path: str) -> Callable[[DataFrame, int], None]:

@@ -146,3 +146,21 @@ def test_embedder_is_pluggable(stored):
     rows = search.embed_events(stored, model).collect()
     assert {r["model_id"] for r in rows} == {"length"}
     assert all(len(r["vector"]) == 1 for r in rows)
+
+
+def test_search_many_scans_the_vectors_once(spark, tmp_path):
+    rows = [(f"{i:03d}", "s", "k", i, False, "m", [1.0, float(i)]) for i in range(50)]
+    spark.createDataFrame(rows, VECTOR).write.parquet(str(tmp_path / "v"))
+    queries = spark.createDataFrame([(i, [1.0, -float(i)]) for i in range(40)], "query_id long, query array<double>")
+    hits = search.search_many(spark.read.parquet(str(tmp_path / "v")), queries, 2, block_size=4)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [event_id") == 1 and plan.count("MapInArrow _pack") == 1
+    assert hits.count() == 80
+
+
+def test_ties_beyond_the_limit_go_by_id(spark):
+    rows = [(f"{i:04d}", "s", "k", 1, False, "m", [1.0, 0.0]) for i in reversed(range(3000))]
+    vectors = spark.createDataFrame(rows, VECTOR).repartition(2)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, query array<double>")
+    got = search.search_many(vectors, queries, 3).orderBy("query_id", "rank").collect()
+    assert [r["event_id"] for r in got] == ["0000", "0001", "0002"] * 2

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlens.functions.embedding import hash_embedder
-from eventlens.model import EVENT, KIND, SOURCE
-from eventlens.operators import health, normalize, state
-from eventlens.sources import events_log, vectors
+from eventlens.model import EVENT, KIND, SOURCE, TokenScope
+from eventlens.operators import admission, health, normalize, state
+from eventlens.sources import events_log, vectors, versions
 from eventlens.streaming import jobs
 
 
@@ -159,3 +159,67 @@ def test_last_arrival_wins_whatever_its_event_time(spark, make_events, tmp_path)
     sink(make_events([("a", "s", "k", 9, '{"t":"early"}', 100), ("a", "s", "k", 5, '{"t":"late"}', 200)]), 0)
     stored = vectors.load_vectors(spark, str(tmp_path / "vectors"), model.model_id, model.dim).first()
     assert stored["ts_ms_utc"] == 5
+
+
+def test_rates_go_on_after_restarts(spark, tmp_path):
+    """Slices in time order, with several batches of one millisecond and a token without a rate."""
+    rng = random.Random(3)
+    tokens = [TokenScope("a", (), (), "2/s"), TokenScope("b", (), (), "30/m"), TokenScope("free")]
+    rows, at = [], 1000
+    for i in range(300):
+        at += rng.choice([0, 0, 20, 400])
+        rows.append((i, rng.choice(["a", "a", "b", "free", None]), at))
+    schema = "batch_id long, token_name string, at_ms long"
+    cuts = sorted({rows[100][2], rows[210][2]})
+    parts = [[r for r in rows if sum(r[2] >= c for c in cuts) == n] for n in range(3)]
+    for part in parts:
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        judged = jobs.rate_limit_stream(source, tokens)
+        jobs.start(judged, jobs.changes_sink(f"{tmp_path}/out"), f"{tmp_path}/ck", "update").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    same(got, admission.rate_limit(spark.createDataFrame(rows, schema), tokens), ["batch_id", "token_name", "at_ms", "allowed"])
+
+
+def test_a_busy_pair_sends_its_newest_rows_only(spark):
+    """100 000 events of one pair in a batch: at most ring size times partitions reach the state."""
+    number = F.col("id").cast("string")
+    rows = spark.range(100_000, numPartitions=4).select(
+        F.lpad(number, 8, "0").alias("event_id"), F.lit("s").alias("source_id"), F.lit("k").alias("kind"),
+        (F.col("id") * 7919 % 100_000).alias("ingest_ts_ms_utc"), F.col("id").alias("ts_ms_utc"),
+    )
+    kept = jobs.newest_rows(rows, 6)
+    assert kept.count() <= 6 * 4
+    newest = [r["event_id"] for r in kept.orderBy(F.desc("ingest_ts_ms_utc")).limit(6).collect()]
+    assert newest == [r["event_id"] for r in rows.orderBy(F.desc("ingest_ts_ms_utc")).limit(6).collect()]
+
+
+def test_many_pairs_pass_in_bounded_memory(spark):
+    rows = spark.range(5000, numPartitions=2).select(
+        F.col("id").cast("string").alias("event_id"), (F.col("id") % 1000).cast("string").alias("source_id"),
+        F.lit("k").alias("kind"), F.col("id").alias("ingest_ts_ms_utc"),
+    )
+    kept = jobs.newest_rows(rows, 2, held=300)
+    assert {r["event_id"] for r in kept.collect()} >= {str(i) for i in range(3000, 5000) if i >= 4000 or i < 2500}
+
+
+def test_counters_write_what_a_batch_brings(spark, make_events, tmp_path, monkeypatch):
+    """A batch's counters are those of its own sources; buckets of many files are merged, a replay sees the old ones."""
+    monkeypatch.setattr(jobs, "_MERGE_AT", 3)
+    log, counters = str(tmp_path / "log"), str(tmp_path / "seq")
+    sink = jobs.normalize_sink(log, counters)
+    rows, batches = [], 8
+    for n in range(batches):
+        part = [(f"{n}-{s}-{i}", f"s{s}", "k", i, "{}", n * 100 + i) for s in (range(40) if n == 0 else sorted({1, n})) for i in range(2)]
+        rows += part
+        sink(make_events(part), n)
+        sink(make_events(part), n)
+        base = versions.snapshot(spark, counters)
+        if n == 1:
+            added = [f for f in base.files.values() if f.path not in first.files]
+            assert len(added) == 1
+        first = base if n == 0 else first
+    slots = [f.slot for f in versions.snapshot(spark, counters).files.values()]
+    assert max(map(slots.count, slots)) <= 4
+    expected = normalize.normalize(make_events(rows), jobs.ARRIVAL)
+    same(events_log.read_log(spark, log), expected, ["event_id", "source_id", "seq"])
