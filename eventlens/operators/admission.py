@@ -111,39 +111,59 @@ def permits(due_ns: int, now_ns: int, wanted: int, burst: int, step_ns: int) ->
     return granted, base + granted * step_ns if granted else due_ns
 
 
-def rate_limit(
-    batches: DataFrame, tokens: Sequence[TokenScope], rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
-    """Add ``allowed``: does the batch get a permit of its token?
+def grants(batches: DataFrame, tokens: Sequence[TokenScope], due: DataFrame | None = None) -> DataFrame:
+    """(token_name, at_ms, granted, due_ns): permits of each token and millisecond, and when the next one is due then.
 
-    ``batches`` has batch_id, token_name and at_ms.  The rule is sequential per
-    token, so a task walks a token in time order, but only over its distinct
-    milliseconds with their counts (a partial aggregate, however many batches
-    share them) and with one number of state; no group is held in memory.
-    Which batches of a millisecond win goes by batch_id.
+    ``due`` (token_name, due_ns) is where tokens stand from an earlier run.
     """
     rates = {t.name: parse_rate(t.rate_limit) for t in tokens if t.rate_limit}
-    limited = F.col("token_name").isin(list(rates))
     per_ms = (
-        batches.where(limited).groupBy("token_name", "at_ms").agg(F.count("*").alias("wanted"))
+        batches.where(F.col("token_name").isin(list(rates)))
+        .groupBy("token_name", "at_ms")
+        .agg(F.count("*").alias("wanted"))
     )
+    if due is None:
+        started = per_ms.withColumn("since", F.lit(""))
+    else:
+        # as text, for a null among numbers would turn them into floats in pandas
+        since = F.coalesce(F.col("due_ns").cast("string"), F.lit("")).alias("since")
+        started = per_ms.join(due.select("token_name", "due_ns"), "token_name", "left").select(*per_ms.columns, since)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token, due = None, 0
         for frame in frames:
-            granted = []
-            for name, at_ms, wanted in zip(frame.token_name, frame.at_ms, frame.wanted):
+            granted, dues = [], []
+            for name, at_ms, wanted, since in zip(frame.token_name, frame.at_ms, frame.wanted, frame.since):
                 if name != token:
-                    token, due = name, at_ms * 1_000_000
+                    token, due = name, int(since) if since else at_ms * 1_000_000
                 got, due = permits(due, at_ms * 1_000_000, wanted, *rates[name])
                 granted.append(got)
-            yield frame[["token_name", "at_ms"]].assign(granted=granted)
+                dues.append(due)
+            yield frame[["token_name", "at_ms"]].assign(granted=granted, due_ns=dues)
 
-    granted = (
-        per_ms.repartition("token_name")
+    return (
+        started.repartition("token_name")
         .sortWithinPartitions("token_name", "at_ms")
-        .mapInPandas(walk, "token_name string, at_ms long, granted long")
+        .mapInPandas(walk, "token_name string, at_ms long, granted long, due_ns long")
     )
+
+
+def rate_limit(
+    batches: DataFrame,
+    tokens: Sequence[TokenScope],
+    rows_per_range: int = ROWS_PER_RANGE,
+    due: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``allowed``: does the batch get a permit of its token?
+
+    ``batches`` has batch_id, token_name and at_ms.  The rule is sequential per
+    token, so a task walks a token in time order, but only over its distinct
+    milliseconds with their counts (a partial aggregate, however many batches
+    share them) and with one number of state; no group is held in memory.
+    Which batches of a millisecond win goes by batch_id.
+    """
+    limited = F.col("token_name").isin([t.name for t in tokens if t.rate_limit])
+    granted = grants(batches, tokens, due).select("token_name", "at_ms", "granted")
     ranked = running_totals(
         batches.where(limited),
         ["token_name", "at_ms"],
@@ -164,16 +184,18 @@ def admit_batches(
     hard_cap: int = HARD_CAP_BYTES,
     soft_cap: int = SOFT_CAP_BYTES,
     limit_rates: bool = False,
+    due: DataFrame | None = None,
 ) -> Admission:
     """Split events by their whole batch's verdict.
 
+    ``due`` says where tokens' rates stand from an earlier run (`grants`).
     Only refused batches travel to the events, as an anti and an inner join on
     batch_id, which adaptive execution splits when one batch is very large.
     """
     verdicts = batch_verdicts(events, tokens, hard_cap, soft_cap)
     if limit_rates:
         passed = rate_limit(
-            verdicts.where("reason is null").select("batch_id", "token_name", "at_ms"), tokens
+            verdicts.where("reason is null").select("batch_id", "token_name", "at_ms"), tokens, due=due
         )
         slowed = passed.where("not allowed").select("batch_id", F.lit(True).alias("slowed"))
         verdicts = (

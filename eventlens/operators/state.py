@@ -8,6 +8,7 @@ Two meanings of "latest" exist and both are kept: the last event to *arrive*
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,12 +64,28 @@ def hot_window(
     )
 
 
+def _fetched(events: DataFrame, winners: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Rows of ``events`` that agree with a pair's winner in ``fields``, one per pair, with the winners' other columns.
+
+    Only the pairs' narrow keys are aggregated; whole rows are read for the winners alone.
+    """
+    named = winners.select(
+        *[F.col(c).alias(f"__won_{c}") for c in (*PAIR, *fields)],
+        *[c for c in winners.columns if c not in (*PAIR, *fields)],
+    )
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__won_{c}")) for c in (*PAIR, *fields)])
+    found = events.join(named, same).drop(*[f"__won_{c}" for c in (*PAIR, *fields)])
+    # rows repeated in full are one event
+    order = Window.partitionBy(*PAIR).orderBy(*fields)
+    return found.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
 def hot_latest(
     events: DataFrame, arrival: Sequence[str] = ("ingest_ts_ms_utc", "event_id")
 ) -> DataFrame:
     """The last event to arrive, per (source, kind)."""
-    newest = F.max_by(F.struct(*events.columns), F.struct(*arrival))
-    return events.groupBy(*PAIR).agg(newest.alias("__e")).select("__e.*")
+    last = events.groupBy(*PAIR).agg(F.max(F.struct(*arrival)).alias("k")).select(*PAIR, "k.*")
+    return _fetched(events, last, arrival)
 
 
 def hot_snapshot(window: DataFrame, arrival: Sequence[str] = ("ingest_ts_ms_utc", "event_id")):
@@ -92,20 +109,26 @@ def latest_by_event_time(
 ) -> DataFrame:
     """The event with the greatest event time per (source, kind).
 
-    Among equal times the first to arrive stays.  One partial aggregation per
-    input partition, so that hot pairs shrink before the shuffle.
+    Among equal times the first to arrive stays.  Keys are reduced on every task
+    before the shuffle, so that hot pairs shrink.
     """
-    order = F.struct((-F.col("ts_ms_utc")).alias("t"), *arrival)
-    best = F.min_by(F.struct(*events.columns), order)
-    return events.groupBy(*PAIR).agg(best.alias("__e")).select("__e.*")
+    fields = ["ts_ms_utc", *[c for c in arrival if c != "ts_ms_utc"]]
+    first = events.groupBy(*PAIR).agg(F.min(_time_key(arrival)).alias("k"))
+    winners = first.select(*PAIR, (-F.col("k.t")).alias("ts_ms_utc"), *[f"k.{c}" for c in fields[1:]])
+    return _fetched(events, winners, fields)
+
 
+def _time_key(arrival: Sequence[str]) -> Column:
+    return F.struct((-F.col("ts_ms_utc")).alias("t"), *arrival)
 
-def staleness(now_ms: int) -> list[Column]:
+
+def staleness(now_ms: int, ttl: Column | None = None) -> list[Column]:
     """Columns ``age_ms`` (negative for future times) and ``stale``."""
     age = F.lit(now_ms) - F.col("ts_ms_utc")
+    ttl = F.col("freshness_ttl_ms") if ttl is None else ttl
     return [
         age.alias("age_ms"),
-        F.coalesce(age > F.col("freshness_ttl_ms"), F.lit(False)).alias("stale"),
+        F.coalesce(age > ttl, F.lit(False)).alias("stale"),
     ]
 
 
@@ -143,3 +166,35 @@ def current_state(
         F.struct(*PAIR, *descriptor_columns).alias("descriptor"),
         F.lit(None).cast("string").alias("peer_id"),
     )
+
+
+def current_state_of(
+    descriptors: DataFrame,
+    events: DataFrame,
+    since_ms: int,
+    now_ms: int,
+    sources: Sequence[str] | None = None,
+    kinds: Sequence[str] | None = None,
+    arrival: Sequence[str] = ("ingest_ts_ms_utc", "event_id"),
+) -> DataFrame:
+    """`current_state` straight from a log: what arrived from ``since_ms`` on counts as hot.
+
+    One conditional aggregate over narrow keys finds both winners of each pair, and whole rows are read for
+    the winners of declared pairs alone: two scans.
+    """
+    recent = F.col("ingest_ts_ms_utc") >= since_ms
+    keys = events.groupBy(*PAIR).agg(
+        F.max(F.when(recent, F.struct(*arrival))).alias("hot"), F.min(_time_key(arrival)).alias("cold")
+    )
+    from_cold = F.col("hot").isNull()
+    chosen = [F.when(from_cold, F.col(f"cold.{c}")).otherwise(F.col(f"hot.{c}")).alias(c) for c in arrival]
+    wanted = descriptors.where(
+        glob_filter(F.col("source_id"), sources) & glob_filter(F.col("kind"), kinds)
+    )
+    described = wanted.select(*PAIR, F.struct(*wanted.columns).alias("descriptor"))
+    winners = keys.select(*PAIR, *chosen, from_cold.alias("from_cold")).join(described, list(PAIR))
+    event_columns = [c for c in events.columns if c not in PAIR]
+    ages = staleness(now_ms, F.col("descriptor.freshness_ttl_ms"))
+    return _fetched(events, winners, arrival).select(
+        *PAIR, *event_columns, *ages, "from_cold", "descriptor", F.lit(None).cast("string").alias("peer_id")
+    )

@@ -622,3 +622,54 @@ FROM (VALUES ('hub', 'ok'), ('gone', 'error'), ('torn', 'error')) s(peer_id, sta
 SELECT event_id, 'kitchen.' || source_id AS source_id, kind, ts_ms_utc, semantic FROM ev""",
 }
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit_turns"]  # the same rule, whatever the micro-batches are
+
+
+_INGEST = f"""
+events_in AS (
+  SELECT p.conv_id * 1000 + p.turn AS batch_id, p.ord, 'edge' || p.conv_id % 3 AS token_name,
+         {NOW_MS} + p.conv_id * 400 + p.turn // 2 * 50 AS at_ms, p.source_id, p.kind, p.ts_ms_utc, p.semantic,
+         c.text, strlen(c.text) + 12 AS size
+  FROM ({_PARSED}) p JOIN conversations c USING (conv_id, turn)),
+judged AS (
+  SELECT *, CASE
+      WHEN NOT CASE token_name WHEN 'edge0' THEN true
+                 WHEN 'edge1' THEN source_id IN ('chat.user', 'chat.assistant')
+                 ELSE source_id = 'chat.user' END THEN 'unauthorized'
+      WHEN size > {S.HARD_CAP} THEN 'payload_too_large' END AS bad
+  FROM events_in),
+verdict AS (
+  SELECT batch_id, any_value(token_name) AS token_name, any_value(at_ms) AS at_ms,
+         arg_min(bad, ord) FILTER (bad IS NOT NULL) AS reason, arg_min(source_id, ord) FILTER (bad IS NOT NULL) AS source_id
+  FROM judged GROUP BY batch_id),
+turned AS (
+  SELECT *, row_number() OVER (PARTITION BY token_name ORDER BY at_ms, batch_id) AS n,
+         CASE token_name WHEN 'edge0' THEN 1 WHEN 'edge2' THEN 2 END AS burst,
+         CASE token_name WHEN 'edge0' THEN 1000000000 WHEN 'edge2' THEN 30000000000 END AS step
+  FROM verdict WHERE reason IS NULL),
+walk AS (
+  SELECT token_name, n, batch_id, true AS allowed, at_ms * 1000000 + step AS due FROM turned WHERE n = 1 AND step IS NOT NULL
+  UNION ALL
+  SELECT x.token_name, x.n, x.batch_id,
+         greatest(w.due, x.at_ms * 1000000) + x.step - x.at_ms * 1000000 <= x.burst * x.step,
+         CASE WHEN greatest(w.due, x.at_ms * 1000000) + x.step - x.at_ms * 1000000 <= x.burst * x.step
+              THEN greatest(w.due, x.at_ms * 1000000) + x.step ELSE w.due END
+  FROM walk w JOIN turned x ON x.token_name = w.token_name AND x.n = w.n + 1),
+let_in AS (SELECT batch_id FROM walk WHERE allowed UNION ALL SELECT batch_id FROM turned WHERE step IS NULL),
+done AS (
+  SELECT e.*, at_ms AS ingest_ts_ms_utc, row_number() OVER (PARTITION BY source_id ORDER BY at_ms, batch_id, ord) AS seq,
+         CASE WHEN length(text) > CASE source_id WHEN 'chat.user' THEN 100 ELSE 150 END THEN true END AS schema_invalid
+  FROM events_in e WHERE batch_id IN (SELECT batch_id FROM let_in)),
+errors_in AS (
+  SELECT source_id, reason, at_ms FROM verdict WHERE reason IS NOT NULL
+  UNION ALL SELECT source_id, 'rate_limit', at_ms FROM events_in WHERE batch_id IN (SELECT batch_id FROM walk WHERE NOT allowed)
+  UNION ALL SELECT source_id, 'schema_invalid', at_ms FROM done WHERE schema_invalid)"""
+_IN = "source_id, kind, ts_ms_utc, semantic, ingest_ts_ms_utc, seq, schema_invalid"
+
+ORACLE |= {
+    "ingest_chain": f"WITH RECURSIVE {_INGEST} SELECT batch_id, ord, {_IN} FROM done",
+    "stream_ingest_chain": f"WITH RECURSIVE {_INGEST} SELECT {_IN} FROM done",
+    "describe_errors": f"""WITH RECURSIVE {_INGEST}
+SELECT source_id, reason, count(*) AS n, max(max(at_ms)) OVER (PARTITION BY source_id) AS last_error_ts_ms_utc
+FROM errors_in GROUP BY source_id, reason""",
+    "read_payload_files": f"SELECT source_id, kind, ts_ms_utc, semantic FROM ({_PARSED})",
+}

@@ -16,6 +16,7 @@ from eventlens.operators import (
     descriptors,
     federation,
     health,
+    ingest,
     normalize,
     retention,
     routing,
@@ -154,9 +155,7 @@ def _current(spark, d):
     declared = descriptors.resolve_descriptors(
         tables.sources(spark, d), tables.kinds(spark, d)
     )
-    hot = state.hot_latest(rows.where(F.col("ingest_ts_ms_utc") >= S.RECENT_MS))
-    cold = state.latest_by_event_time(rows)
-    return state.current_state(declared, hot, cold, tables.NOW_MS)
+    return state.current_state_of(declared, rows, S.RECENT_MS, tables.NOW_MS)
 
 
 @query
@@ -303,6 +302,44 @@ def rate_limit(spark, d):
     return admission.rate_limit(passed, S.TOKENS)
 
 
+def _bodies(spark, d):
+    """Request bodies with their tokens and times; one body is one batch."""
+    return tables.chat_payloads(spark, d).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("batch_id"),
+        F.concat(F.lit("edge"), (F.col("conv_id") % 3).cast("string")).alias("token_name"),
+        (F.lit(tables.NOW_MS) + F.col("conv_id") * 400 + F.floor(F.col("turn") / 2) * 50).cast("long").alias("at_ms"),
+        "body",
+    )
+
+
+INGESTED = ["batch_id", "ord", "source_id", "kind", "ts_ms_utc", "semantic", "ingest_ts_ms_utc", "seq", "schema_invalid"]
+
+
+@query
+def ingest_chain(spark, d):
+    """Bodies parsed, admitted by scope, size and rate, numbered and checked."""
+    found = ingest.ingest(_bodies(spark, d), S.TOKENS, S.MESSAGES, S.HARD_CAP, S.SOFT_CAP)
+    return found.events.withColumn("ord", F.col("ord").cast("long")).select(*INGESTED)
+
+
+@query
+def describe_errors(spark, d):
+    """Each source's errors of all four reasons and the time of the last one."""
+    found = ingest.ingest(_bodies(spark, d), S.TOKENS, S.MESSAGES, S.HARD_CAP, S.SOFT_CAP)
+    return health.recent_errors(found.errors).select(
+        "source_id", F.explode("counters").alias("reason", "n"), "last_error_ts_ms_utc"
+    )
+
+
+@query
+def read_payload_files(spark, d):
+    """Bodies written as files, one to a line, and read back by the payload source."""
+    folder = run_folder(spark, "payloads")
+    tables.chat_payloads(spark, d).select(F.col("body").alias("value")).write.text(folder)
+    parsed = payloads.parse_payloads(payloads.read_payloads(spark, "text", folder)).events
+    return parsed.select("source_id", "kind", "ts_ms_utc", "semantic")
+
+
 @query
 def size_audit(spark, d):
     return admission.size_audit(tables.chat_events(spark, d), S.HARD_CAP, S.SOFT_CAP)
@@ -710,6 +747,22 @@ def stream_rate_limit(spark, d):
     return spark.read.parquet(f"{folder}/out").select("batch_id", "token_name", "at_ms", "allowed")
 
 
+@query
+def stream_ingest_chain(spark, d):
+    """The whole way in on a stream: rates and numbers go on after a restart."""
+
+    def attach(stream, folder):
+        sink = jobs.ingest_sink(
+            f"{folder}/log", f"{folder}/state", f"{folder}/errors", S.TOKENS, S.MESSAGES, S.HARD_CAP, S.SOFT_CAP
+        )
+        return [jobs.start(stream, sink, f"{folder}/ck")]
+
+    bodies = _bodies(spark, d)
+    middle = bodies.agg(F.percentile_approx("at_ms", 0.5)).first()[0]
+    folder = _in_two_runs(spark, bodies, F.col("at_ms") < middle, attach)
+    return events_log.read_log(spark, f"{folder}/log").select(*INGESTED[2:])
+
+
 @query
 def stream_normalize(spark, d):
     """Request bodies parsed on the stream, normalised and stored."""

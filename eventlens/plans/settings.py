@@ -48,6 +48,10 @@ SCHEMAS = SchemaBook(
         KindSchema("error", "v1", {**_COUNTED, "required": ["k", "code"]}),
     ],
 )
+MESSAGES = SchemaBook(
+    sources={"chat.user": {"type": "object", "properties": {"text": {"maxLength": 100}}}},
+    kinds=[KindSchema("message", "v1", {"type": "object", "properties": {"text": {"type": "string", "maxLength": 150}}})],
+)
 QUERY_TEXT = "front door opened while nobody was home"
 NEARBY = VectorFilter(
     NOW_MS - 25 * DAY_MS, NOW_MS - 5 * DAY_MS, ("user.*",), ("click", "view", "view@v2")

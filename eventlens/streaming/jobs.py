@@ -22,10 +22,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from eventlens.functions.embedding import Embedder, hash_embedder
-from eventlens.model import RING_MAX_AGE_MS, RING_MAX_EVENTS, TokenScope
-from eventlens.operators.admission import parse_rate
+from eventlens.model import EVENT_COLUMNS, HARD_CAP_BYTES, RING_MAX_AGE_MS, RING_MAX_EVENTS, SOFT_CAP_BYTES, TokenScope
+from eventlens.operators.admission import grants, parse_rate
 from eventlens.operators.federation import forward_events
-from eventlens.operators.normalize import SchemaBook, normalize
+from eventlens.operators.ingest import ARRIVAL as INGEST_ARRIVAL
+from eventlens.operators.ingest import ingest_events, parsed_events
+from eventlens.operators.normalize import SchemaBook, as_events, normalize
 from eventlens.operators.search import embed_events, select_for_embedding
 from eventlens.session import ROCKSDB_PROVIDER
 from eventlens.sources import versions
@@ -169,13 +171,14 @@ def forward_sink(path: str, peer_id: str) -> Callable[[DataFrame, int], dict]:
 
 
 def _bucket() -> Column:
-    return F.pmod(F.xxhash64("source_id"), F.lit(versions.BUCKETS * 4)).cast("int")
+    return F.pmod(F.xxhash64("key"), F.lit(versions.BUCKETS * 4)).cast("int")
 
 
+#: Numbers by key that only grow: a source's last sequence number, when a token's next permit is due.
 _COUNTERS = T.StructType(
     [
-        T.StructField("source_id", T.StringType()),
-        T.StructField("last_seq", T.LongType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("value", T.LongType()),
         T.StructField("bucket", T.IntegerType()),
     ]
 )
@@ -185,38 +188,40 @@ _MERGE_AT = 16
 
 @dataclass(frozen=True)
 class _Counters:
-    """Last numbers by source, as they were before a micro-batch, for the buckets that it touches."""
+    """Numbers by key, as they were before a micro-batch, for the buckets that it touches."""
 
     base: versions.Snapshot
     files: list[versions.DataFile]
     last: DataFrame
 
 
-def _counters(spark: SparkSession, folder: str, batch_id: int, batch: DataFrame) -> _Counters:
-    """Taking lost counters for empty ones would number every source from one again, so only the first batch
+def _counters(spark: SparkSession, folder: str, batch_id: int, keys: DataFrame) -> _Counters:
+    """The numbers of ``keys`` (key) and their bucket-mates.
+
+    Taking lost counters for empty ones would number every source from one again, so only the first batch
     may find none. A replayed batch finds what it found the first time."""
     base = versions.snapshot(spark, folder)
     if base.facts.get("batch", -1) >= batch_id:
         base = versions.snapshot(spark, folder, base.facts["before"])
     if base.facts.get("batch", -1) != batch_id - 1:
         raise RuntimeError(f"the counters before batch {batch_id} are gone from {folder}")
-    touched = {str(r[0]) for r in batch.select(_bucket()).distinct().collect()}
+    touched = {str(r[0]) for r in keys.select(_bucket()).distinct().collect()}
     files = [f for f in base.files.values() if f.slot in touched]
     rows = versions.read_files(spark, folder, files, _COUNTERS)
-    return _Counters(base, files, rows.groupBy("source_id").agg(F.max("last_seq").alias("last_seq")))
+    return _Counters(base, files, rows.groupBy("key").agg(F.max("value").alias("value")))
 
 
 def _advance(spark: SparkSession, folder: str, batch_id: int, before: _Counters, added: DataFrame) -> None:
-    """Note the last numbers of the batch's own sources; a bucket of many files is merged on the way."""
+    """Note the new numbers (key, value) of the batch's own keys; a bucket of many files is merged on the way."""
     newest = versions.snapshot(spark, folder)
     if newest.facts.get("batch", -1) >= batch_id:
         return  # a replay: the numbers are there
     slots = [f.slot for f in before.files]
     full = [f for f in before.files if slots.count(f.slot) >= _MERGE_AT]
-    rows = added.select("source_id", "last_seq", _bucket().alias("bucket"))
+    rows = added.select("key", "value", _bucket().alias("bucket"))
     if full:
         old = versions.read_files(spark, folder, full, _COUNTERS)
-        rows = rows.unionByName(old).groupBy("source_id", "bucket").agg(F.max("last_seq").alias("last_seq"))
+        rows = rows.unionByName(old).groupBy("key", "bucket").agg(F.max("value").alias("value"))
     names = versions.stage(rows.select(*_COUNTERS.fieldNames()).repartition("bucket"), folder, "", ["bucket"])
     files = [versions.DataFile(n, 0, "", "", n.split("/")[0].removeprefix("bucket=")) for n in names]
     # files that were merged stay until the next batch, for a replay of this one
@@ -250,25 +255,70 @@ def normalize_sink(
             batch.unpersist()
 
     def _normalized(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
-        before = _counters(spark, counters_path, batch_id, batch)
-        numbered = normalize(
+        ready = _numbered(spark, counters_path, batch_id, batch, lambda: normalize(
             batch, arrival, now_ms() if now_ms else None, book, **options
-        ).join(before.last, "source_id", "left")
-        ready = numbered.withColumn(
-            "seq", F.col("seq") + F.coalesce("last_seq", F.lit(0))
-        ).drop("last_seq")
-        added = (
-            batch.groupBy("source_id")
-            .agg(F.count("*").alias("n"))
-            .join(before.last, "source_id", "left")
-            .select("source_id", (F.col("n") + F.coalesce("last_seq", F.lit(0))).alias("last_seq"))
-        )
-        _advance(spark, counters_path, batch_id, before, added)
+        ))
         append_events(ready, log_path, arrival)
 
     return write
 
 
+def _numbered(
+    spark: SparkSession, folder: str, batch_id: int, batch: DataFrame, numbered: Callable[[], DataFrame]
+) -> DataFrame:
+    """Events of a batch numbered from one per source, with numbers that go on from the batches before."""
+    before = _counters(spark, folder, batch_id, batch.select(F.col("source_id").alias("key")))
+    last = before.last.select(F.col("key").alias("source_id"), F.col("value").alias("last_seq"))
+    counts = batch.groupBy("source_id").agg(F.count("*").alias("n")).join(last, "source_id", "left")
+    added = counts.select(F.col("source_id").alias("key"), (F.col("n") + F.coalesce("last_seq", F.lit(0))).alias("value"))
+    _advance(spark, folder, batch_id, before, added)
+    rows = numbered().join(last, "source_id", "left")
+    return rows.withColumn("seq", F.col("seq") + F.coalesce("last_seq", F.lit(0))).drop("last_seq")
+
+
+def ingest_sink(
+    log_path: str,
+    state_path: str,
+    errors_path: str,
+    tokens: Sequence[TokenScope],
+    book: SchemaBook | None = None,
+    hard_cap: int = HARD_CAP_BYTES,
+    soft_cap: int = SOFT_CAP_BYTES,
+) -> Callable[[DataFrame, int], None]:
+    """The whole way in for each micro-batch of request bodies (batch_id, token_name, at_ms, body).
+
+    Bodies are parsed once, into a table of the micro-batch's own. Rates and sequence numbers go on from the
+    batches before; errors are written under the batch's number. A replay gives the same rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        staged = f"{state_path}/parsed/batch={batch_id}"
+        bodies = batch.persist()
+        try:
+            events, refused = parsed_events(bodies)
+            events.write.mode("overwrite").parquet(f"{staged}/events")
+            refused.write.mode("overwrite").parquet(f"{staged}/refused")
+        finally:
+            bodies.unpersist()
+        events = spark.read.parquet(f"{staged}/events")
+        refused = spark.read.parquet(f"{staged}/refused")
+        before = _counters(spark, f"{state_path}/rates", batch_id, events.select(F.col("token_name").alias("key")))
+        due = before.last.select(F.col("key").alias("token_name"), F.col("value").alias("due_ns"))
+        found = ingest_events(events, refused, tokens, book, hard_cap, soft_cap, due)
+        # what was let in is decided once; the audit and the events then agree whatever is read again
+        found.admission.audit.write.mode("overwrite").parquet(f"{staged}/audit")
+        passed = spark.read.parquet(f"{staged}/audit").where("reason is null or reason = 'rate_limit'")
+        dues = grants(passed.select("batch_id", "token_name", "at_ms"), tokens, due)
+        moved = dues.groupBy(F.col("token_name").alias("key")).agg(F.max("due_ns").alias("value"))
+        _advance(spark, f"{state_path}/rates", batch_id, before, moved)
+        found.errors.write.mode("overwrite").parquet(f"{errors_path}/batch={batch_id}")
+        ready = _numbered(spark, f"{state_path}/seq", batch_id, found.admission.accepted, lambda: found.events)
+        append_events(as_events(ready).select(*EVENT_COLUMNS, "at_ms", "batch_id", "ord"), log_path, INGEST_ARRIVAL)
+
+    return write
+
+
 def dedupe_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drop repeated ids that arrive within ``delay`` of each other.
 

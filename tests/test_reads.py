@@ -251,3 +251,31 @@ def test_describe_sources(spark, declared):
     assert cam["effective_retention"]["max_age_ms"] == 7
     assert got["cam", "unheard"]["effective_retention"] is None
     assert got["door", "open"]["recent_errors"] is None
+
+
+def test_current_state_of_a_log(declared, make_events):
+    """As from separate hot and cold rows, with two scans and no aggregate over whole rows."""
+    rows = make_events([("h", "cam", "motion", 10, "{}", 900), ("c", "cam", "motion", 50, "{}", 100), ("d", "door", "open", 7, "{}", 8),
+                        ("d2", "door", "open", 7, "{}", 9), ("e", "attic", "motion", 3, "{}", 950), ("x", "zz", "motion", 3)])
+    hot = state.hot_latest(rows.where("ingest_ts_ms_utc >= 500"))
+    expected = state.current_state(declared, hot, state.latest_by_event_time(rows), 1000)
+    got = state.current_state_of(declared, rows, 500, 1000)
+    columns = ["source_id", "kind", "event_id", "ts_ms_utc", "age_ms", "stale", "from_cold"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, expected.select(*columns).collect()))
+    assert {(r["event_id"], r["from_cold"]) for r in got.collect()} == {("h", False), ("d", True), ("e", False)}
+    assert got.columns == expected.columns
+
+
+def test_repeated_rows_are_one_latest_row(make_events):
+    rows = make_events([("a", "s", "k", 5), ("a", "s", "k", 5)])
+    assert state.latest_by_event_time(rows).count() == state.hot_latest(rows).count() == 1
+
+
+def test_latest_rows_aggregate_narrow_keys(spark, make_events, tmp_path):
+    make_events([("a", "s", "k", 5), ("b", "s", "k", 6)]).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    for frame in (state.latest_by_event_time(log), state.hot_latest(log)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        aggregates = [line for line in plan.splitlines() if "Aggregate(" in line]
+        assert aggregates and not any("semantic" in line for line in aggregates)
+        assert plan.count("FileScan") == 2
