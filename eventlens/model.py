@@ -156,9 +156,10 @@ class Subscription:
 
 @dataclass(frozen=True)
 class Peer:
-    """Another site's published result table."""
+    """Another site's published result table; ``wait_ms`` is how long to wait for it, if not as long as for others."""
 
     peer_id: str
     path: str
     fmt: str = "parquet"
     options: dict = field(default_factory=dict)
+    wait_ms: int | None = None

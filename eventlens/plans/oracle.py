@@ -673,3 +673,11 @@ SELECT source_id, reason, count(*) AS n, max(max(at_ms)) OVER (PARTITION BY sour
 FROM errors_in GROUP BY source_id, reason""",
     "read_payload_files": f"SELECT source_id, kind, ts_ms_utc, semantic FROM ({_PARSED})",
 }
+
+_DESCRIBED = "kind, kind_version, description, freshness_ttl_ms"
+ORACLE |= {
+    "federated_describe": f"""WITH {_SRC}
+SELECT source_id, {_DESCRIBED}, NULL::VARCHAR AS peer_id FROM dsc WHERE source_id GLOB 'user.1*'
+UNION ALL SELECT 'site.' || source_id, {_DESCRIBED}, 'hub' FROM dsc WHERE source_id GLOB 'user.2*'""",
+    "federated_describe_status": "SELECT * FROM (VALUES ('hub', 'ok'), ('gone', 'error'), ('late', 'timeout')) v(peer_id, status)",
+}

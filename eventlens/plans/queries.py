@@ -909,6 +909,28 @@ def federated_status(spark, d):
     return _federated(spark, d).status.select("peer_id", "status")
 
 
+def _described_everywhere(spark, d) -> federation.Federated:
+    """Descriptions here and at a hub; one peer is not there and one is given no time."""
+    folder = run_folder(spark, "peers")
+    declared = descriptors.resolve_descriptors(tables.sources(spark, d), tables.kinds(spark, d))
+    columns = [*PAIR, "kind_version", "description", "freshness_ttl_ms"]
+    here = declared.where(F.col("source_id").startswith("user.1")).select(*columns)
+    there = declared.withColumn("source_id", F.concat(F.lit("site."), "source_id")).select(*columns)
+    there.write.parquet(f"{folder}/hub")
+    peers = [Peer("hub", f"{folder}/hub"), Peer("gone", f"{folder}/gone"), Peer("late", f"{folder}/hub", wait_ms=0)]
+    return federation.federate_within(here, peers, 600_000, ("site.user.2*",))
+
+
+@query
+def federated_describe(spark, d):
+    return _described_everywhere(spark, d).rows
+
+
+@query
+def federated_describe_status(spark, d):
+    return _described_everywhere(spark, d).status.select("peer_id", "status")
+
+
 @query
 def forward_projection(spark, d):
     rows = normalize.normalize(tables.events(spark, d), ARRIVAL)

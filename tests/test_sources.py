@@ -144,6 +144,29 @@ def test_federation(spark, make_events, tmp_path):
     assert federation.federate(local, []).status.count() == 0
 
 
+def test_slow_peers_are_not_waited_for(spark, make_events, tmp_path):
+    """One answers, one is not there, one takes too long and its job is cancelled."""
+    import time
+
+    columns = ["source_id", "kind", "event_id"]
+    make_events([("p", "cam", "k", 1), ("q", "hidden", "k", 1)]).select(*columns).write.parquet(str(tmp_path / "quick"))
+
+    def reader(session, peer):
+        rows = federation.open_peer(session, peer)
+        if peer.peer_id == "slow":
+            nap = F.udf(lambda s: time.sleep(60) or s, "string")
+            rows = rows.withColumn("source_id", nap("source_id"))
+        return rows
+
+    local = make_events([("l", "cam", "k", 1)]).select(*columns)
+    peers = [Peer("slow", str(tmp_path / "quick"), wait_ms=3000), Peer("quick", str(tmp_path / "quick")), Peer("gone", str(tmp_path / "gone"))]
+    begun = time.monotonic()
+    merged = federation.federate_within(local, peers, 50_000, ["*cam"], reader=reader)
+    assert time.monotonic() - begun < 45
+    assert {r["peer_id"]: r["status"] for r in merged.status.collect()} == {"slow": "timeout", "quick": "ok", "gone": "error"}
+    assert sorted((r["event_id"], r["peer_id"] or "") for r in merged.rows.collect()) == [("l", ""), ("p", "quick")]
+
+
 def test_forwarding(make_events):
     rows = make_events([("e", "temp.fridge", "k", 5)]).withColumn("trace_id", F.lit("t"))
     sent = federation.forward_events(rows, "kitchen").first().asDict()
