@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from eventlens.llm.common import shared_path, stored, table
 
 MIN_REVISIT = 1000
+MOST_TASKS = 10_000
 ARCHIVE_BYTES = 64 << 20
 PIECE = 1 << 20
 _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -267,7 +268,7 @@ def _row(path: str, kind: str, start: int, end: int, headers: dict, block: bytes
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """Rows of kind `record` and `gap` of all archives in `manifest` (column `path`)."""
+    """Rows of kind `record` and `gap` of all archives in the stored `manifest` (column `path`), about an archive to a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = pa.fs.FileSystem.from_uri(folder)
@@ -283,7 +284,18 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, READ)
+    # a number of partitions that is given is not made smaller, however few bytes the manifest has
+    tasks = min(MOST_TASKS, max(1, manifest.count()))
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(run, READ)
+
+
+def all_records(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The records among the stored rows `found`; an error if they are not as many as the manifest says were written."""
+    records = found.filter(F.col("kind") == "record")
+    written, read = manifest.agg(F.sum("records")).first()[0] or 0, records.count()
+    if written != read:
+        raise ValueError(f"{written} records were written, {read} could be read back")
+    return records
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
@@ -295,8 +307,8 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
-    found = read_archives(manifest, folder).filter(F.col("kind") == "record")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = stored(read_archives(manifest, folder), "warc-rows")
+    return all_records(found, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = r"""
