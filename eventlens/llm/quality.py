@@ -109,6 +109,9 @@ def frequent_lines(
     return lines.join(limits, same & other).select(*_KEY, "row", "hash", "words")
 
 
+_MADE = ["figures", "n_symbols", "n_dup_lines", "base_failed", "removed_words", "removed", "kept"]
+
+
 def apply_rules(
     docs: DataFrame,
     host: str = "source",
@@ -116,7 +119,11 @@ def apply_rules(
     max_docs: int = MAX_DOCS,
     max_removed: float = MAX_REMOVED,
 ) -> DataFrame:
-    """`docs` with `figures` (struct), `base_failed`, `removed_words`, `removed` (line hashes), `kept`."""
+    """`docs` with `figures` (struct), `base_failed`, `removed_words`, `removed` (line hashes), `kept`.
+
+    Columns of `docs` that have one of these names are replaced.
+    """
+    docs = docs.drop(*(c for c in _MADE if c not in (host, id_col)))
     text = F.coalesce(F.col("text"), F.lit(""))
     lost = (
         frequent_lines(docs.select(id_col, host, "text"), host, id_col, max_docs)
@@ -171,7 +178,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("removed"), F.xxhash64(normalised(x)))), "\n"
     )
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(bare)
-    rows = apply_rules(docs).filter("kept").withColumn("text", text)
+    rows = apply_rules(docs.select("doc_id", "text", "lang", "source", "n_chars")).filter("kept").withColumn("text", text)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
 
 
