@@ -338,23 +338,29 @@ def labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
 def open_pairs(posts: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """All pairs of classes of different components that pass the length and positional filters.
 
-    Of a token's components the one with most classes meets the others, which meet each other; tokens
+    N-grams of one document only come first in its order and are common to no pair, so a common n-gram at places i and j has at
+    most min(i - rare, j - rare') common ones before it and as many after it as the shorter rest has. A joined row that
+    leaves too few rules its pair out, whatever the pair's other rows say. Of a token's components the one with most classes meets the others, which meet each other; tokens
     within one component give nothing.
     """
     rows = labelled(posts, labels)
     by_label = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
     largest = by_label.groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
     largest = largest.filter("labels > 1").drop("labels")
-    rows = stored(rows.join(largest, "token").drop("salt", "rare"), "open-rows")
+    rows = stored(rows.join(largest, "token").drop("salt"), "open-rows")
     minor = rows.filter(F.col("label") != F.col("main"))
     a, b = minor.alias("a"), rows.alias("b")
     once = (F.col("b.label") == F.col("b.main")) | (F.col("a.class") < F.col("b.class"))
+    before = F.least(F.col("a.place") - F.col("a.rare"), F.col("b.place") - F.col("b.rare"))
+    after = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    possible = (100 + percent) * (before + after) >= percent * (F.col("a.size") + F.col("b.size"))
     met = a.join(
         b,
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.label") != F.col("b.label"))
         & once
-        & close_sizes(F.col("a.size"), F.col("b.size"), percent),
+        & close_sizes(F.col("a.size"), F.col("b.size"), percent)
+        & possible,
     )
     low, high = F.least("a.class", "b.class"), F.greatest("a.class", "b.class")
 
