@@ -20,7 +20,7 @@ from eventlens.functions.variants import is_type, keys, member
 
 _NOTES = {"title", "description", "$schema", "$id", "default", "examples", "$comment"}
 _NUMERIC = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum")
-_KNOWN = _NOTES | set(_NUMERIC) | {
+KNOWN = _NOTES | set(_NUMERIC) | {
     "type", "enum", "const", "required", "properties", "additionalProperties",
     "minLength", "maxLength", "pattern", "items", "minItems", "maxItems",
     "allOf", "anyOf", "not",
@@ -39,7 +39,7 @@ def _number(node: Column) -> Column:
     return F.try_variant_get(node, "$", "double")
 
 
-def _type_check(node: Column, name: str) -> Column:
+def type_check(node: Column, name: str) -> Column:
     if name == "integer":
         whole = _holds(_number(node) == F.floor(_number(node)))
         return is_type(node, "integer") | (is_type(node, "number") & whole)
@@ -48,17 +48,17 @@ def _type_check(node: Column, name: str) -> Column:
 
 def _equals(node: Column, value: object) -> Column:
     if isinstance(value, bool):
-        return _type_check(node, "boolean") & _holds(
+        return type_check(node, "boolean") & _holds(
             F.try_variant_get(node, "$", "boolean") == F.lit(value)
         )
     if isinstance(value, (int, float)):
         return is_type(node, "number") & _holds(_number(node) == F.lit(float(value)))
     if isinstance(value, str):
-        return _type_check(node, "string") & _holds(
+        return type_check(node, "string") & _holds(
             F.try_variant_get(node, "$", "string") == F.lit(value)
         )
     if value is None:
-        return _type_check(node, "null")
+        return type_check(node, "null")
     text = json.dumps(value, sort_keys=True)
     return _holds(F.to_json(node) == F.to_json(F.parse_json(F.lit(text))))
 
@@ -67,13 +67,13 @@ def valid_variant(node: Column, schema: dict | bool) -> Column:
     """Never-null boolean: does ``node`` satisfy ``schema``?"""
     if isinstance(schema, bool):
         return F.lit(schema)
-    unknown = set(schema) - _KNOWN
+    unknown = set(schema) - KNOWN
     if unknown:
         raise ValueError(f"unsupported schema constraints: {sorted(unknown)}")
     parts: list[Column] = []
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        parts.append(reduce(lambda a, b: a | b, [_type_check(node, n) for n in names]))
+        parts.append(reduce(lambda a, b: a | b, [type_check(node, n) for n in names]))
     if "enum" in schema:
         parts.append(
             reduce(lambda a, b: a | b, [_equals(node, v) for v in schema["enum"]], F.lit(False))
@@ -103,7 +103,7 @@ def valid_variant(node: Column, schema: dict | bool) -> Column:
     if "pattern" in schema:
         textual.append(text.rlike(schema["pattern"]))
     if textual:
-        parts.append(~_type_check(node, "string") | _holds(_all(textual)))
+        parts.append(~type_check(node, "string") | _holds(_all(textual)))
 
     items = F.try_variant_get(node, "$", "array<variant>")
     listed = []
@@ -114,7 +114,7 @@ def valid_variant(node: Column, schema: dict | bool) -> Column:
     if "items" in schema:
         listed.append(F.forall(items, lambda x: valid_variant(x, schema["items"])))
     if listed:
-        parts.append(~_type_check(node, "array") | _holds(_all(listed)))
+        parts.append(~type_check(node, "array") | _holds(_all(listed)))
 
     keyed = []
     for name in schema.get("required", []):
@@ -128,7 +128,7 @@ def valid_variant(node: Column, schema: dict | bool) -> Column:
     elif extra is not True:
         raise ValueError("additionalProperties must be true or false")
     if keyed:
-        parts.append(~_type_check(node, "object") | _holds(_all(keyed)))
+        parts.append(~type_check(node, "object") | _holds(_all(keyed)))
 
     for sub in schema.get("allOf", []):
         parts.append(valid_variant(node, sub))

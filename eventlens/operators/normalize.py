@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.functions.rules import RULES, NotRules, holds, rules_of
 from eventlens.functions.scalars import generated_id, kind_name, kind_version
 from eventlens.functions.schemas import valid_variant
 from eventlens.model import EVENT, EVENT_COLUMNS
@@ -36,6 +37,19 @@ class SchemaBook:
     kinds: Sequence[KindSchema]
 
 
+def declared_schemas(sources: DataFrame, kinds: DataFrame) -> SchemaBook:
+    """The schemas that descriptors declare in ``semantic_schema``; descriptors are configuration, a row each."""
+    own = sources.where("semantic_schema is not null").select("source_id", "semantic_schema").collect()
+    listed = kinds.select("name", F.coalesce("version", F.lit("v1")).alias("version"), "semantic_schema").collect()
+    return SchemaBook(
+        sources={r["source_id"]: json.loads(r["semantic_schema"]) for r in own},
+        kinds=[
+            KindSchema(r["name"], r["version"], json.loads(r["semantic_schema"]) if r["semantic_schema"] else None)
+            for r in listed
+        ],
+    )
+
+
 def latest_versions(kinds: DataFrame) -> DataFrame:
     """Greatest version per kind by text order (``v10`` is below ``v2``).
 
@@ -50,9 +64,9 @@ def latest_versions(kinds: DataFrame) -> DataFrame:
 def validate_semantic(events: DataFrame, book: SchemaBook) -> DataFrame:
     """Add ``schema_invalid``: true where a schema applies and fails, else null.
 
-    Two lookup joins with tables made of the configuration, which Spark broadcasts by
-    their size, pick a schema number; each distinct schema is compiled
-    once and chosen by that number.
+    Lookup joins with tables made of the configuration, which Spark broadcasts by their size, pick a schema
+    number and the schema's rules, so plans do not grow with the number of schemas. Only schemas that
+    rules cannot express (`functions.rules`) are compiled, each distinct one once.
     """
     spark = events.sparkSession
     texts: dict[str, int] = {}
@@ -79,18 +93,28 @@ def validate_semantic(events: DataFrame, book: SchemaBook) -> DataFrame:
         [{"__name": n, "__version": v, "__by_kind": i} for n, v, i in by_kind],
         "__name string, __version string, __by_kind int",
     )
+    rules, compiled = [], {}
+    for text, i in texts.items():
+        try:
+            rules.append({"__schema": i, "__rules": rules_of(json.loads(text))})
+        except NotRules:
+            compiled[text] = i
+    rule_table = config_table(spark, rules, f"__schema int, __rules {RULES}")
     picked = (
         events.withColumn("__name", kind_name(F.col("kind")))
         .withColumn("__version", F.coalesce(kind_version(F.col("kind")), F.lit("")))
         .join(source_table, "source_id", "left")
         .join(kind_table, ["__name", "__version"], "left")
         .withColumn("__schema", F.coalesce("__by_source", "__by_kind"))
+        .join(rule_table, "__schema", "left")
         # a column of its own, parsed once and only where a schema applies
         .withColumn("__node", F.when(F.col("__schema").isNotNull(), F.try_parse_json("semantic")))
     )
-    invalid: Column = F.when(F.lit(False), F.lit(None).cast("boolean"))
     node = F.col("__node")
-    for text, i in texts.items():
+    ruled = F.col("__rules").isNotNull()
+    broken = node.isNull() | ~holds(node, F.col("__rules"))
+    invalid: Column = F.when(ruled, F.when(broken, True))
+    for text, i in compiled.items():
         bad = F.when(~valid_variant(node, json.loads(text)), True)
         invalid = invalid.when(F.col("__schema") == i, bad)
     kept = [c for c in events.columns if c != "schema_invalid"]

@@ -681,3 +681,10 @@ SELECT source_id, {_DESCRIBED}, NULL::VARCHAR AS peer_id FROM dsc WHERE source_i
 UNION ALL SELECT 'site.' || source_id, {_DESCRIBED}, 'hub' FROM dsc WHERE source_id GLOB 'user.2*'""",
     "federated_describe_status": "SELECT * FROM (VALUES ('hub', 'ok'), ('gone', 'error'), ('late', 'timeout')) v(peer_id, status)",
 }
+
+ORACLE["validate_declared"] = f"""WITH {_EV},
+k AS (SELECT *, substr(source_id, 6)::INT AS u, (semantic->>'$.k')::INT AS v FROM ev)
+SELECT event_id, source_id, kind,
+       CASE WHEN CASE WHEN u % 3 <> 0 THEN v IS NULL OR v < u % 60 WHEN u % 5 = 0 THEN false
+                      WHEN kind = 'view' THEN v IS NULL ELSE false END THEN true END AS schema_invalid
+FROM k"""

@@ -375,6 +375,16 @@ def validate_semantic(spark, d):
     )
 
 
+@query
+def validate_declared(spark, d):
+    """Payloads checked by what the descriptors declare, and 5000 sources of which each declares a schema of its own."""
+    rows = tables.events(spark, d)
+    book = normalize.declared_schemas(tables.sources(spark, d), tables.kinds(spark, d))
+    many = {f"user.{u}": {"title": f"of {u}", "properties": {"k": {"minimum": u % 60}}, "required": ["k"]} for u in range(5000) if u % 3}
+    checked = normalize.validate_semantic(rows, normalize.SchemaBook({**book.sources, **many}, book.kinds))
+    return checked.select("event_id", "source_id", "kind", "schema_invalid")
+
+
 @query
 def latest_kind_version(spark, d):
     return normalize.latest_versions(tables.kinds(spark, d))
