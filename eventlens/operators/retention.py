@@ -228,28 +228,38 @@ def survivors(
 
 
 def _pair_report(event_drops: DataFrame, vector_drops: DataFrame | None) -> DataFrame:
-    """Per-pair counts where something was dropped; inputs have column ``n``."""
+    """Per-pair counts where something was dropped, with the pair's limits, which the inputs bring beside their ``n``."""
+    zero = F.lit(0).cast("long")
     parts = event_drops.select(
-        *PAIR, F.col("n").alias("events_dropped"), F.lit(0).cast("long").alias("vectors_dropped")
+        *PAIR, *LIMITS, F.col("n").alias("events_dropped"), zero.alias("vectors_dropped")
     )
     if vector_drops is not None:
         parts = parts.unionByName(
             vector_drops.select(
-                *PAIR,
-                F.lit(0).cast("long").alias("events_dropped"),
-                F.col("n").alias("vectors_dropped"),
+                *PAIR, *LIMITS, zero.alias("events_dropped"), F.col("n").alias("vectors_dropped")
             )
         )
     return (
-        parts.groupBy(*PAIR)
+        parts.groupBy(*PAIR, *LIMITS)
         .agg(
             F.sum("events_dropped").alias("events_dropped"),
             F.sum("vectors_dropped").alias("vectors_dropped"),
         )
         .where("events_dropped > 0 or vectors_dropped > 0")
+        .select(*PAIR, "events_dropped", "vectors_dropped", *LIMITS)
     )
 
 
+def _expired_vector_counts(
+    vectors: DataFrame | None, policies: Sequence[RetentionPolicy], now_ms: int
+) -> DataFrame | None:
+    if vectors is None:
+        return None
+    resolved = resolve_retention(vectors.select(*PAIR, "ts_ms_utc"), policies)
+    gone = resolved.where(F.col("ts_ms_utc") < F.lit(now_ms) - F.col("vector_max_age_ms"))
+    return gone.groupBy(*PAIR, *LIMITS).agg(F.count("*").alias("n"))
+
+
 def sweep_report(
     events: DataFrame,
     policies: Sequence[RetentionPolicy],
@@ -259,13 +269,8 @@ def sweep_report(
 ) -> DataFrame:
     """What a sweep removes from each pair (exact, each row counted once)."""
     drops = drop_reasons(events, policies, now_ms, rows_per_range)
-    counted = drops.groupBy(*PAIR).agg(F.count("*").alias("n"))
-    gone = None
-    if vectors is not None:
-        gone = expired_vectors(vectors, policies, now_ms).groupBy(*PAIR).agg(
-            F.count("*").alias("n")
-        )
-    return resolve_retention(_pair_report(counted, gone), policies)
+    counted = drops.groupBy(*PAIR, *LIMITS).agg(F.count("*").alias("n"))
+    return _pair_report(counted, _expired_vector_counts(vectors, policies, now_ms))
 
 
 def dry_run_report(
@@ -284,22 +289,14 @@ def dry_run_report(
     resolved = resolve_retention(events, policies).where(F.coalesce(*limits).isNotNull())
     old = F.coalesce(F.col("ts_ms_utc") < F.lit(now_ms) - F.col("max_age_ms"), F.lit(False))
     # Age and count need only totals per pair; just size needs an order.
-    per_pair = resolved.groupBy(*PAIR, "max_count").agg(
+    per_pair = resolved.groupBy(*PAIR, *LIMITS).agg(
         F.count_if(old).alias("aged"), F.count("*").alias("rows")
     )
     excess = F.greatest(F.col("rows") - F.col("max_count"), F.lit(0))
-    plain = per_pair.select(*PAIR, (F.col("aged") + F.coalesce(excess, F.lit(0))).alias("n"))
-    sized = (
-        expired_by_bytes(events, policies, rows_per_range)
-        .groupBy(*PAIR)
-        .agg(F.count("*").alias("n"))
-    )
-    gone = None
-    if vectors is not None:
-        gone = expired_vectors(vectors, policies, now_ms).groupBy(*PAIR).agg(
-            F.count("*").alias("n")
-        )
-    return resolve_retention(_pair_report(plain.unionByName(sized), gone), policies)
+    plain = per_pair.select(*PAIR, *LIMITS, (F.col("aged") + F.coalesce(excess, F.lit(0))).alias("n"))
+    summed = _with_running(resolved.where("max_bytes is not null"), rows_per_range)
+    sized = summed.where("__size > max_bytes").groupBy(*PAIR, *LIMITS).agg(F.count("*").alias("n"))
+    return _pair_report(plain.unionByName(sized), _expired_vector_counts(vectors, policies, now_ms))
 
 
 def sweep_warnings(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions.embedding import hash_embedder
+from eventlens.functions.globs import glob_filter
 from eventlens.functions.scalars import day_of, kind_name, kind_version, utf8_cut, was_cut
 from eventlens.functions.topics import decode_payload
 from eventlens.model import Anchor, Peer, RetentionPolicy, TokenScope
@@ -187,14 +188,16 @@ def resolve_descriptors(spark, d):
 @query
 def describe_sources(spark, d):
     """Descriptors with schema errors of the sample events and their retention."""
-    checked = normalize.validate_semantic(tables.events(spark, d), S.SCHEMAS)
+    asked = ("user.*",)
+    rows = tables.events(spark, d).where(glob_filter(F.col("source_id"), asked))
+    checked = normalize.validate_semantic(rows.select(*PAIR, "ts_ms_utc", "semantic"), S.SCHEMAS)
     errors = health.recent_errors(
         health.event_errors(checked.where("schema_invalid"), "schema_invalid", "ts_ms_utc")
     )
     declared = descriptors.resolve_descriptors(
         tables.sources(spark, d), tables.kinds(spark, d)
     )
-    described = descriptors.describe_sources(declared, errors, S.POLICIES, ("user.*",), None)
+    described = descriptors.describe_sources(declared, errors, S.POLICIES, asked, None)
     return described.select(
         *PAIR, "kind_version", "description",
         F.element_at("recent_errors.counters", "schema_invalid").alias("schema_errors"),
