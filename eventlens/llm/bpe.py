@@ -24,6 +24,7 @@ import struct
 import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -38,7 +39,7 @@ from eventlens.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of a generation of the memos of chunks and of pieces, of which there are two each: for a job of its own,
 #: and for a stage whose executors hold what other stages left.
-ROOMY, TIGHT = (84 << 20, 28 << 20), (30 << 20, 10 << 20)
+ROOMY, TIGHT = (150 << 20, 50 << 20), (30 << 20, 10 << 20)
 #: Characters of texts that are worked on at a time.
 PART = 1 << 21
 #: Symbols of a fragment from which pairs are kept in a heap.
@@ -185,7 +186,7 @@ class Codec:
         for group in [new] if alike else [[c] for c in new]:
             pieces: list[list[str]] = [[] for _ in group]
             normal = whole if alike else self._normal(group[0])
-            ends = [i for i, sign in enumerate(normal) if sign == " "] if len(group) > 1 else []
+            ends = [end - 1 for end in accumulate(len(c) + 1 for c in normal.split(" "))] if len(group) > 1 else []
             at = 0
             for piece, (begin, _) in self.whole.pre_tokenizer.pre_tokenize_str(normal):
                 while at < len(ends) and begin > ends[at]:
