@@ -688,3 +688,7 @@ SELECT event_id, source_id, kind,
        CASE WHEN CASE WHEN u % 3 <> 0 THEN v IS NULL OR v < u % 60 WHEN u % 5 = 0 THEN false
                       WHEN kind = 'view' THEN v IS NULL ELSE false END THEN true END AS schema_invalid
 FROM k"""
+
+ORACLE["window_pages"] = f"""WITH {_EV}, seen AS (
+  SELECT event_id, ts_ms_utc, row_number() OVER (ORDER BY ts_ms_utc, event_id) - 1 AS n FROM ev WHERE {_GLOBBED})
+SELECT n // 200 AS page, n % 200 AS place, event_id, ts_ms_utc FROM seen"""

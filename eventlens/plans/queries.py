@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,19 @@ def window_page2(spark, d):
     return window.window_scan(rows, S.WEEK, anchor)
 
 
+@query
+def window_pages(spark, d):
+    """A window followed from page to page to its end; pages are brought to the caller, as to any reader of them."""
+    rows = tables.events(spark, d, S.GLOBBED.start_ms, S.GLOBBED.end_ms)
+    asked = replace(S.GLOBBED, limit=200)
+    told = [
+        (number, place, row["event_id"], row["ts_ms_utc"])
+        for number, page in enumerate(window.iter_pages(rows, asked))
+        for place, row in enumerate(page.rows)
+    ]
+    return spark.createDataFrame(told, "page long, place long, event_id string, ts_ms_utc long")
+
+
 @query
 def window_all(spark, d):
     return window.window_all(tables.events(spark, d), S.GLOBBED)
