@@ -3,6 +3,10 @@
 Quality rules drop documents and shared lines, near-duplicate removal keeps one document of
 each group, secrets are replaced, sources are mixed to target weights (documents may
 repeat), and what remains is encoded.
+
+A document without text, or with fewer words than the quality rules ask for, goes in the first stage; documents
+without doc_id, lang or source are kept like others, of repeated rows one stays. Texts are worked on whole, however
+long. Columns that documents do not have go with the first stage, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
