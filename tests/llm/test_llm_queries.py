@@ -52,6 +52,30 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, frames[5].collect()))
 
 
+def test_pipeline_on_an_empty_table(spark, make_docs, tmp_path):
+    make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_with_nulls_repeats_long_texts_and_other_columns(spark, make_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    prose = " ".join(f"word{i}" for i in range(90))
+    other = " ".join(f"more{i}" for i in range(120))
+    rows = [
+        (1, prose, "a", "en"), (1, prose, "a", "en"), (2, None, None, None), (3, "", "b", "en"), (4, other, "b", None),
+        (5, "long " * 3 + " ".join(f"x{i}" for i in range(60_000)), "c", "de"), (6, other + " end", "b", "en"), (7, "short", "a", "en"),
+    ]
+    frame = make_docs(rows)
+    for name in ("removed", "removed_words", "kept", "figures", "row", "root", "label", "ids", "taken", "size", "h", "l", "first"):
+        frame = frame.withColumn(name, F.lit("x"))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # texts of fewer than 50 words go, of repeats and near copies one stays; the mix need not take the one that outweighs all others
+    assert {r["doc_id"] for r in got} - {5} == {1, 4}
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+
+
 def test_the_rest_does_not_need_the_subpackage(tmp_path):
     import subprocess
     import sys

@@ -3,6 +3,8 @@
 import gzip
 import io
 
+import pytest
+
 from eventlens.llm import warc
 from eventlens.llm.common import shared_path
 
@@ -98,3 +100,21 @@ def test_headers_of_any_length(spark):
     manifest = warc.write_archives(table, folder)
     found = warc.read_archives(manifest, folder).collect()
     assert [r.kind for r in found] == ["record"] * manifest.agg({"records": "sum"}).first()[0] == ["record"] * 3
+
+
+def test_a_lost_record_is_no_silent_loss(spark):
+    found = spark.createDataFrame([("record",), ("gap",)], "kind string")
+    manifest = spark.createDataFrame([("p", 2, 9)], "path string, records long, bytes long")
+    with pytest.raises(ValueError, match="2 records were written, 1 could be read"):
+        warc.all_records(found, manifest)
+    assert warc.all_records(found, manifest.selectExpr("path", "1L AS records", "bytes")).count() == 1
+
+
+def test_archives_are_read_in_a_task_each(spark, tmp_path):
+    pages = spark.range(40).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('page ', id), 400) AS html")
+    manifest = warc.write_archives(pages.coalesce(1), f"file://{tmp_path}", archive_bytes=300)
+    archives = manifest.count()
+    assert archives > 8
+    read = warc.read_archives(manifest, f"file://{tmp_path}")
+    assert read.rdd.getNumPartitions() == archives
+    assert warc.all_records(read, manifest).count() == 40
