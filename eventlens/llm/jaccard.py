@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import WORD, stored, table
+from eventlens.llm.common import WORD, let, stored, table
 
 GRAM = 5
 PERCENT = 80
@@ -45,6 +45,8 @@ BLOCK, KEY_BITS, LOW_BITS = 1 << 21, 48, 24
 #: Documents of an n-gram's posting list that one task is to hold.
 HOT = 20_000
 STARS = 2
+#: First repeated n-grams of a class that its rows carry, to tell whether a pair has met before.
+HEAD = 16
 #: Bits of the hash that make the suffix filter's parts.
 PART_BITS = 4
 #: Size of the bit maps of n-grams and of classes that are broadcast (16 MB each).
@@ -338,20 +340,32 @@ def labelled(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
 def open_pairs(posts: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """All pairs of classes of different components that pass the length and positional filters.
 
-    N-grams of one document only come first in its order and are common to no pair, so a common n-gram at places i and j has at
-    most min(i - rare, j - rare') common ones before it and as many after it as the shorter rest has. A joined row that
-    leaves too few rules its pair out, whatever the pair's other rows say. Of a token's components the one with most classes meets the others, which meet each other; tokens
-    within one component give nothing.
+    Of a token's components the one with most classes meets the others, which meet each other; tokens
+    within one component give nothing. A pair is given out at its first common token: rows carry the first
+    `HEAD` tokens of their class, and where two classes share one of those that comes earlier, they meet there.
+    N-grams of one document only come first in its order and are common to no pair, so before a common token at places i and j
+    are at most min(i - rare, j - rare') common ones, none if all earlier ones are in the heads, and behind it as many as
+    the shorter rest has. A row that leaves too few rules its pair out.
     """
     rows = labelled(posts, labels)
     by_label = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
     largest = by_label.groupBy("token").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
     largest = largest.filter("labels > 1").drop("labels")
     rows = stored(rows.join(largest, "token").drop("salt"), "open-rows")
+    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy("place")))
+    first = ranked.filter(F.col("nth") <= HEAD).groupBy("class").agg(
+        F.sort_array(F.collect_list(F.struct("place", "token")))["token"].alias("head")
+    )
+    rows = stored(ranked.join(first, "class"), "open-rows")
     minor = rows.filter(F.col("label") != F.col("main"))
     a, b = minor.alias("a"), rows.alias("b")
     once = (F.col("b.label") == F.col("b.main")) | (F.col("a.class") < F.col("b.class"))
-    before = F.least(F.col("a.place") - F.col("a.rare"), F.col("b.place") - F.col("b.rare"))
+
+    def earlier(side: str) -> Column:
+        return F.slice(F.col(f"{side}.head"), F.lit(1), F.least(F.lit(HEAD), F.col(f"{side}.nth") - 1))
+
+    known = F.greatest("a.nth", "b.nth") <= HEAD + 1
+    before = F.when(known, 0).otherwise(F.least("a.nth", "b.nth") - 1)
     after = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
     possible = (100 + percent) * (before + after) >= percent * (F.col("a.size") + F.col("b.size"))
     met = a.join(
@@ -360,36 +374,34 @@ def open_pairs(posts: DataFrame, labels: DataFrame | None, percent: int) -> Data
         & (F.col("a.label") != F.col("b.label"))
         & once
         & close_sizes(F.col("a.size"), F.col("b.size"), percent)
-        & possible,
+        & possible
+        & ~F.arrays_overlap(earlier("a"), earlier("b")),
     )
     low, high = F.least("a.class", "b.class"), F.greatest("a.class", "b.class")
+    pairs = met.select(low.alias("hub"), high.alias("other")).distinct()
+    return counted(pairs, rows, percent)
 
-    def of(low_side: bool, column: str) -> Column:
-        first = F.col("a.class") < F.col("b.class")
-        one, two = F.col(f"a.{column}"), F.col(f"b.{column}")
-        return F.when(first, one).otherwise(two) if low_side else F.when(first, two).otherwise(one)
-
-    pairs = met.select(
-        low.alias("hub"),
-        high.alias("other"),
-        of(True, "size").alias("hub_size"),
-        of(False, "size").alias("other_size"),
-        of(True, "place").alias("hub_place"),
-        of(False, "place").alias("other_place"),
-    )
-    pairs = pairs.groupBy("hub", "other").agg(
-        F.max("hub_size").alias("hub_size"),
-        F.max("other_size").alias("other_size"),
-        F.max("hub_place").alias("hub_place"),
-        F.max("other_place").alias("other_place"),
-        F.count("*").alias("common"),
-    )
-    # All common n-grams up to the last one found are counted; behind it the shorter rest bounds them.
-    bound = F.col("common") + F.least(
-        F.col("hub_size") - F.col("hub_place") - 1, F.col("other_size") - F.col("other_place") - 1
+
+def counted(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those `pairs` whose common prefix tokens and the rests behind the last of them leave enough."""
+    listed = rows.groupBy("class").agg(
+        F.sort_array(F.collect_list(F.struct("place", "token"))).alias("prefix"), F.max("size").alias("size")
     )
+    listed = stored(listed, "open-prefixes")
+    hub = listed.select(F.col("class").alias("hub"), F.col("prefix").alias("x"), F.col("size").alias("hub_size"))
+    other = listed.select(F.col("class").alias("other"), F.col("prefix").alias("y"), F.col("size").alias("other_size"))
+    found = pairs.join(hub, "hub").join(other, "other")
+    both = F.array_intersect(F.col("x.token"), F.col("y.token"))
+
+    def rest(side: str, size: str, common: Column) -> Column:
+        # prefixes are in one order, so the last common n-gram is the same for both
+        at = F.array_position(F.col(f"{side}.token"), F.element_at(common, -1)).cast("int")
+        return F.col(size) - F.element_at(F.col(f"{side}.place"), at) - 1
+
+    # all common n-grams up to the last one found are counted; behind it the shorter rest bounds them
+    bound = let(both, lambda common: F.size(common) + F.least(rest("x", "hub_size", common), rest("y", "other_size", common)))
     enough = (100 + percent) * bound >= percent * (F.col("hub_size") + F.col("other_size"))
-    return pairs.filter(enough).select("hub", "other", "hub_size", "other_size")
+    return found.filter(enough).select("hub", "other", "hub_size", "other_size")
 
 
 def whole_sets(docs: DataFrame, posts: DataFrame, gram: int) -> str:
