@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.internal import InternalFunction
 from pyspark.sql.streaming import StreamingQuery
 
 from eventlens.functions.embedding import Embedder, hash_embedder
@@ -33,7 +34,7 @@ from eventlens.session import ROCKSDB_PROVIDER
 from eventlens.sources import versions
 from eventlens.sources.events_log import append_events
 from eventlens.sources.vectors import append_vectors
-from eventlens.streaming.processors import RateProcessor, RingProcessor
+from eventlens.streaming.processors import RateProcessor
 
 PAIR = ["source_id", "kind"]
 ARRIVAL = ("ingest_ts_ms_utc", "event_id")
@@ -359,11 +360,26 @@ def ring_stream(
     """Continuous `hot_window`: the whole ring of each pair that changed.
 
     Of a micro-batch only the newest ``max_events`` of a pair in each input partition reach the state, however busy the pair is.
+    A built-in aggregation: state is a pair's newest ``max_events``, merged without a call for each pair; as in
+    `hot_window`, what has expired beside the newest is left out from the oldest on. Columns have to be of
+    types that can be ordered.
     """
     use_rocksdb(events.sparkSession)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
-    processor = RingProcessor(events.columns, schema, arrival, max_events, max_age_ms)
-    return newest_rows(events, max_events, arrival).groupBy(*PAIR).transformWithState(processor, schema, "update", "none")
+    event = F.struct(F.struct(*arrival).alias("at"), F.struct(*events.columns).alias("e"))
+    rings = newest_rows(events, max_events, arrival).groupBy(*PAIR).agg(newest_of(event, max_events).alias("__ring"))
+
+    def pushed(entry: Column) -> Column:
+        return F.coalesce(entry["e"]["ingest_ts_ms_utc"], entry["e"]["ts_ms_utc"])
+
+    ring = F.col("__ring")
+    young = F.transform(ring, lambda entry, i: F.when(pushed(entry) >= pushed(ring[0]) - max_age_ms, i + 1))
+    live = F.slice(ring, F.lit(1), F.array_max(young))
+    return rings.select(F.explode(live).alias("__event")).select("__event.e.*")
+
+
+def newest_of(order: Column, most: int) -> Column:
+    """Aggregate: the greatest ``most`` values in falling order; Spark has no public name for it yet."""
+    return InternalFunction.collect_top_k(order, most, False)
 
 
 def newest_rows(

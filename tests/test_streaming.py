@@ -223,3 +223,23 @@ def test_counters_write_what_a_batch_brings(spark, make_events, tmp_path, monkey
     assert max(map(slots.count, slots)) <= 4
     expected = normalize.normalize(make_events(rows), jobs.ARRIVAL)
     same(events_log.read_log(spark, log), expected, ["event_id", "source_id", "seq"])
+
+
+def test_rings_of_many_pairs_need_no_call_per_pair(spark, stream):
+    """State is a built-in aggregation, so pairs cost no round trips; rings are those of the batch form, an old event behind a young one included."""
+    plans = []
+
+    def attach(rows, folder):
+        sink = jobs.changes_sink(f"{folder}/out")
+
+        def noted(batch, batch_id):
+            plans.append(batch._jdf.queryExecution().toString())
+            sink(batch, batch_id)
+
+        return jobs.start(jobs.ring_stream(rows, 4, 30, ["event_id"]), noted, f"{folder}/ck", "update")
+
+    folder, rows = stream(attach)
+    assert len(plans) == 3 and not any("TransformWithState" in plan for plan in plans)
+    got = jobs.read_changes(spark, f"{folder}/out")
+    assert got.columns[: len(rows.columns)] == rows.columns
+    same(got, state.hot_window(rows, 4, 30, ["event_id"]), ["event_id", "source_id", "kind", "semantic"])
