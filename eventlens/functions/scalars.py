@@ -122,16 +122,20 @@ def semantic_size(json_text: Column) -> Column:
     ]:
         plain = F.regexp_replace(plain, pattern, stand_in)
     plain = F.when(F.instr(json_text, "\\") > 0, plain).otherwise(json_text)
-    rest = F.regexp_replace(plain, '"[^"]*"', "")
-
-    def count(pattern: str) -> Column:
-        return F.regexp_count(rest, F.lit(pattern))
-
-    return (
-        F.octet_length(plain)
-        - F.octet_length(rest)
-        + count(r"[:{\[]") * 2
-        + count(r"null") * 4
-        + count(r"true|false") * 5
-        + count(r"-?[0-9][0-9.eE+-]*") * 16
-    ).cast("long")
+
+    def weighed(plain: Column, rest: Column) -> Column:
+        def count(pattern: str) -> Column:
+            return F.regexp_count(rest, F.lit(pattern))
+
+        return (
+            F.octet_length(plain)
+            - F.octet_length(rest)
+            + count(r"[:{\[]") * 2
+            + count(r"null") * 4
+            + count(r"true|false") * 5
+            + count(r"-?[0-9][0-9.eE+-]*") * 16
+        ).cast("long")
+
+    # an element of an array is evaluated once, however often the function names it
+    pieces = F.transform(F.array(plain), lambda p: F.struct(p.alias("plain"), F.regexp_replace(p, '"[^"]*"', "").alias("rest")))
+    return F.transform(pieces, lambda p: weighed(p["plain"], p["rest"]))[0]

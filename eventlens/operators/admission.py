@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,6 +16,14 @@ from eventlens.model import HARD_CAP_BYTES, SOFT_CAP_BYTES, TokenScope
 from eventlens.operators.lookup import config_table
 from eventlens.operators.ordered import ROWS_PER_RANGE, running_totals
 
+#: Stores a frame that is read several times under a name, and gives the stored one.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def as_is(frame: DataFrame, name: str) -> DataFrame:
+    return frame
+
+
 # Units of a rate and their length in nanoseconds.
 _UNIT_NS = {"s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
 
@@ -185,14 +193,16 @@ def admit_batches(
     soft_cap: int = SOFT_CAP_BYTES,
     limit_rates: bool = False,
     due: DataFrame | None = None,
+    keep: Keep = as_is,
 ) -> Admission:
     """Split events by their whole batch's verdict.
 
-    ``due`` says where tokens' rates stand from an earlier run (`grants`).
+    ``due`` says where tokens' rates stand from an earlier run (`grants`); ``keep`` stores the verdicts, which
+    otherwise are found anew for whatever reads them.
     Only refused batches travel to the events, as an anti and an inner join on
     batch_id, which adaptive execution splits when one batch is very large.
     """
-    verdicts = batch_verdicts(events, tokens, hard_cap, soft_cap)
+    verdicts = keep(batch_verdicts(events, tokens, hard_cap, soft_cap), "verdicts")
     if limit_rates:
         passed = rate_limit(
             verdicts.where("reason is null").select("batch_id", "token_name", "at_ms"), tokens, due=due
@@ -203,6 +213,7 @@ def admit_batches(
             .withColumn("reason", F.when(F.col("slowed"), "rate_limit").otherwise(F.col("reason")))
             .drop("slowed")
         )
+        verdicts = keep(verdicts, "audit")
     refused = verdicts.where("reason is not null").select("batch_id", "reason")
     return Admission(
         accepted=events.join(refused, "batch_id", "left_anti"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.model import HARD_CAP_BYTES, SOFT_CAP_BYTES, TokenScope
-from eventlens.operators.admission import Admission, admit_batches
+from eventlens.operators.admission import Admission, Keep, admit_batches, as_is
 from eventlens.operators.health import admission_errors, event_errors
 from eventlens.operators.normalize import SchemaBook, normalize
 from eventlens.sources.payloads import parse_payloads
@@ -74,9 +74,13 @@ def ingest_events(
     hard_cap: int = HARD_CAP_BYTES,
     soft_cap: int = SOFT_CAP_BYTES,
     due: DataFrame | None = None,
+    keep: Keep = as_is,
 ) -> Ingested:
-    """`ingest` from events already parsed; ``due`` is where tokens stand from an earlier run."""
-    admitted = admit_batches(events, tokens, hard_cap, soft_cap, limit_rates=True, due=due)
+    """`ingest` from events already parsed; ``due`` is where tokens stand from an earlier run.
+
+    ``keep`` stores what several of the later steps read: verdicts, the audit and the normalised events.
+    """
+    admitted = admit_batches(events, tokens, hard_cap, soft_cap, limit_rates=True, due=due, keep=keep)
     accepted = admitted.accepted.withColumn("ingest_ts_ms_utc", F.col("at_ms"))
-    normal = normalize(accepted, ARRIVAL, None, book)
+    normal = keep(normalize(accepted, ARRIVAL, None, book), "normal")
     return Ingested(normal, admitted, refused, admission_log(admitted).unionByName(schema_log(normal)))

@@ -288,7 +288,8 @@ def ingest_sink(
 ) -> Callable[[DataFrame, int], None]:
     """The whole way in for each micro-batch of request bodies (batch_id, token_name, at_ms, body).
 
-    Bodies are parsed once, into a table of the micro-batch's own. Rates and sequence numbers go on from the
+    Bodies are parsed once, into a table of the micro-batch's own; verdicts, the audit and the normalised events, which
+    several steps read, are found once as well. Rates and sequence numbers go on from the
     batches before; errors are written under the batch's number. A replay gives the same rows.
     """
 
@@ -306,10 +307,14 @@ def ingest_sink(
         refused = spark.read.parquet(f"{staged}/refused")
         before = _counters(spark, f"{state_path}/rates", batch_id, events.select(F.col("token_name").alias("key")))
         due = before.last.select(F.col("key").alias("token_name"), F.col("value").alias("due_ns"))
-        found = ingest_events(events, refused, tokens, book, hard_cap, soft_cap, due)
+
+        def keep(frame: DataFrame, name: str) -> DataFrame:
+            frame.write.mode("overwrite").parquet(f"{staged}/{name}")
+            return spark.read.schema(frame.schema).parquet(f"{staged}/{name}")
+
         # what was let in is decided once; the audit and the events then agree whatever is read again
-        found.admission.audit.write.mode("overwrite").parquet(f"{staged}/audit")
-        passed = spark.read.parquet(f"{staged}/audit").where("reason is null or reason = 'rate_limit'")
+        found = ingest_events(events, refused, tokens, book, hard_cap, soft_cap, due, keep)
+        passed = found.admission.audit.where("reason is null or reason = 'rate_limit'")
         dues = grants(passed.select("batch_id", "token_name", "at_ms"), tokens, due)
         moved = dues.groupBy(F.col("token_name").alias("key")).agg(F.max("due_ns").alias("value"))
         _advance(spark, f"{state_path}/rates", batch_id, before, moved)
