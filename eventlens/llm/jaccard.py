@@ -42,6 +42,8 @@ PERCENT = 80
 FREQUENT = 1 << 19
 #: N-grams that a task packs at once, bits of their hashes by which they are counted, and bits packed as they are.
 BLOCK, KEY_BITS, LOW_BITS = 1 << 21, 48, 24
+#: Documents whose results a task holds at a time.
+PIECE = 1024
 #: Documents of an n-gram's posting list that one task is to hold.
 HOT = 20_000
 STARS = 2
@@ -120,6 +122,29 @@ def unpacked(data: bytes) -> np.ndarray:
     return (highs << LOW_BITS) + lows.view("<u4").ravel()
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches PIECE rows at a time; at the end Arrow gives back what the worker would keep for its next task."""
+    for batch in batches:
+        for at in range(0, len(batch), PIECE):
+            yield batch.slice(at, PIECE)
+    pa.default_memory_pool().release_unused()
+
+
+def by_range(held: list[np.ndarray], width: int) -> tuple[list[int], list[bytes]]:
+    """Empties `held`, n-grams' hashes, into ranges of the first bits of their keys: numbers of ranges, packed keys.
+
+    Works in place: beside the hashes it takes one copy of them."""
+    whole = np.concatenate(held)
+    held.clear()
+    whole >>= _U(64 - KEY_BITS)
+    whole.sort()
+    keys = whole.view(np.int64)
+    starts = np.searchsorted(keys, np.arange((1 << (KEY_BITS - width)) + 1) << width)
+    buckets = np.flatnonzero(np.diff(starts))
+    low = (1 << width) - 1
+    return buckets.tolist(), [packed(keys[starts[b] : starts[b + 1]] & low, width) for b in buckets]
+
+
 def survey(docs: DataFrame, gram: int) -> DataFrame:
     """One pass and one shuffle: a row for each document (`size` is its set's, `class` names its set), and rows
     with `size` null for n-grams (their first KEY_BITS bits, in `class`) that occur in `count` > 1 documents.
@@ -137,14 +162,11 @@ def survey(docs: DataFrame, gram: int) -> DataFrame:
         n = 0
 
         def ranges() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held) >> _U(64 - KEY_BITS)).astype(np.int64)
-            buckets, starts = np.unique(keys >> width, return_index=True)
-            keys &= (1 << width) - 1
-            parts = [packed(keys[a:b], width) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
+            buckets, parts = by_range(held, width)
             none = pa.nulls(len(parts), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(parts, pa.binary()), none, none, none, none], names)
+            return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(parts, pa.binary()), none, none, none, none], names)
 
-        for batch in batches:
+        for batch in pieces(batches):
             sizes, classes = [], []
             for grams in gram_sets(batch.column("words"), gram):
                 own = class_of(grams) if len(grams) else None
@@ -156,7 +178,7 @@ def survey(docs: DataFrame, gram: int) -> DataFrame:
                     n += len(grams)
                 if n >= BLOCK:
                     yield ranges()
-                    held, n = [], 0
+                    n = 0
             rows = batch.column("row")
             spread = -1 - (rows.to_numpy() & 1023)
             columns = [pa.array(spread), pa.nulls(len(rows), pa.binary()), batch.column("doc_id"), rows]
@@ -256,7 +278,7 @@ def prefixes(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known, counts = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             found: list[tuple] = []
             for grams in gram_sets(batch.column("words"), gram):
                 size = len(grams)
@@ -415,7 +437,7 @@ def whole_sets(docs: DataFrame, posts: DataFrame, gram: int) -> str:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
-        for batch in batches:
+        for batch in pieces(batches):
             classes, sets, parts = [], [], []
             for grams in gram_sets(batch.column("words"), gram):
                 if not len(grams) or (own := class_of(grams)) in seen:

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,3 +385,18 @@ def test_bpe_many_added_tokens_in_one_text():
     own = bpe.codec(bpe.tokenizer_path())
     text = "<|endoftext|>" * 20_000
     assert own.encode(text) == [own.added["<|endoftext|>"]] * 20_000
+
+
+def test_ngrams_are_dealt_to_ranges_in_little_memory():
+    """A task's block of n-grams takes one copy of itself beside it, and is the same ranges as by a plain sort."""
+    rng = np.random.default_rng(5)
+    held = [rng.integers(0, 1 << 64, 4096, np.uint64) for _ in range(256)]
+    width, whole = jaccard.KEY_BITS - 8, np.concatenate(held)
+    tracemalloc.start()
+    buckets, parts = jaccard.by_range(held, width)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and peak < 2.5 * whole.nbytes
+    keys = np.sort(whole >> np.uint64(64 - jaccard.KEY_BITS)).astype(np.int64)
+    found = np.concatenate([jaccard.unpacked(part) + (b << width) for b, part in zip(buckets, parts, strict=True)])
+    assert buckets == sorted(set((keys >> width).tolist())) and (found == keys).all()
